@@ -1,9 +1,14 @@
 """The training-data queries and, where SQL can express them, the same as SQL."""
 
-from logsift.llm import substring_dedup, suffix_dedup
+from logsift.llm import chat_format, decontaminate, embedding_dedup, packing, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op3_benchmark_decontamination": decontaminate.query,
+    "op4_chat_formatting": chat_format.query,
+    "op5_best_fit_packing": packing.query,
+    "op7_simhash_near_dedup": simhash.query,
+    "op9_embedding_near_dedup": embedding_dedup.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
-ORACLE = {}
+ORACLE = {"op4_chat_formatting": chat_format.ORACLE_SQL}
