@@ -39,7 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that are read, so that extra columns can't clash; null texts become empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    # an id that is a long already keeps its column, so that two uses of the result stay the same plan
+    ids = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(ids, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def fold(key: str, modulus: int):
@@ -48,8 +50,36 @@ def fold(key: str, modulus: int):
 
 
 def buckets(df: DataFrame) -> int:
-    """How many coarse groups to deal keys into: they grow with the input's own splits."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+    """How many coarse groups to deal keys into: two for each 16 MB of a full input split, so groups keep their size."""
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2, round(split / (8 << 20))) * df.rdd.getNumPartitions())
+
+
+def summed(partials: DataFrame, size: int) -> np.ndarray:
+    """The sum of the float64 arrays of ``size`` in (deal int, sums binary): one array a task, added up in two levels.
+
+    ``dealt`` gives the deal, of which there are about as many as the square root of the tasks.
+    """
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for x in rows.column("sums"):
+            total += np.frombuffer(x.as_buffer(), np.float64)
+        return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    total = np.zeros(size)
+    for (x,) in partials.groupBy("deal").applyInArrow(add, "sums binary").toLocalIterator():
+        total += np.frombuffer(x, np.float64)
+    return total
+
+
+def dealt(tasks: int, total: np.ndarray) -> pa.RecordBatch:
+    """One task's array for ``summed``."""
+    from pyspark import TaskContext
+
+    deal = TaskContext.get().partitionId() % max(1, round(tasks**0.5))
+    return pa.RecordBatch.from_arrays([pa.array([deal], pa.int32()), pa.array([np.ascontiguousarray(total, np.float64).tobytes()], pa.binary())], names=["deal", "sums"])
 
 
 class Flush:

@@ -84,7 +84,7 @@ def _send(kind: int, n: int, key, doc, low, high):
     edge = np.flatnonzero(np.diff(to[k], prepend=-1)) if len(k) else k
     for i, j in zip(edge, np.append(edge[1:], len(k))):
         x = k[i:j]
-        yield int(to[x[0]]), kind, key[x], doc[x], low[x], high[x], several[x]
+        yield int(to[x[0]]), kind, key[x], doc[x], low[x], high[x] if kind == BLOCK else high[:0], several[x]
     if len(x := np.flatnonzero(~own)):
         state = {BLOCK: LATER, SEED: SEEDED, WINDOW: LATER}[kind]
         yield _done(n, doc[x], packed(np.full(len(x), state), low[x], high[x]))
@@ -153,6 +153,8 @@ def _met(first_too: bool):
             key, doc, low, high, flag = _joined(rows, kind)
             if not len(key):
                 continue
+            if kind != BLOCK:
+                high = low + 1
             order = np.lexsort((doc, key))
             key, doc, low, high, flag = key[order], doc[order], low[order], high[order], flag[order]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -220,14 +222,13 @@ def _windows(shape: Shape, n: int):
 
 
 def repeated(docs: DataFrame, shape: Shape, first_too: bool) -> DataFrame:
-    """(doc_id, marks) of the documents with repeated windows, ``docs`` having doc_id and text.
+    """(doc_id, marks) of the documents with repeated windows; ``docs`` has doc_id, never null, and text.
 
     A mark packs a state and a half-open range of window starts: ``LATER`` where a smaller doc_id has the
-    window too, ``SHARED`` (only with ``first_too``) where only larger ones have it. Rows without doc_id are
-    left out; rows that repeat a doc_id are one document, whose text they must repeat.
+    window too, ``SHARED`` (only with ``first_too``) where only larger ones have it. Rows that
+    repeat a doc_id are one document, whose text they must repeat.
     """
     n = buckets(docs)
-    docs = docs.filter("doc_id is not null")
     seeds = _marked(docs.select("doc_id", "text").mapInArrow(_seeds(shape, n), _KEYS_DDL), first_too)
-    near = docs.join(seeds, "doc_id").select("doc_id", "text", "marks")
+    near = docs.join(seeds, "doc_id").drop(*(c for c in docs.columns if c not in ("doc_id", "text")))
     return _marked(near.mapInArrow(_windows(shape, n), _KEYS_DDL), first_too)

@@ -72,8 +72,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, seed_words: int = 5, l
     """
     shape = Shape(min_words, seed_words)
     source = texts(docs, *carry)
-    marks = repeated(source, shape, first_too=False)
-    joined = source.join(marks, "doc_id", "left")
+    known = source.filter("doc_id is not null")
+    # the same rows meet marks twice, so that Spark deals the texts out once
+    joined = known.join(repeated(known, shape, first_too=False), "doc_id", "left")
+    joined = joined.union(source.filter("doc_id is null").withColumn("marks", F.lit(None).cast("array<long>")).select(joined.columns))
     columns = ["doc_id", *carry]
     out = T.StructType([source.schema[c] for c in columns])
     out = out.add("n_words", "long").add("n_removed", "long").add("spans", SPANS).add("kept", "string")

@@ -51,7 +51,7 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, gram: int = 8) -> DataFra
     one doc_id are one document; an empty table gives an empty result; other columns are ignored.
     """
     shape = Shape(min_words, gram)
-    marks = repeated(texts(docs), shape, first_too=True)
+    marks = repeated(texts(docs).filter("doc_id is not null"), shape, first_too=True)
     return marks.mapInArrow(_spans(shape), "doc_id long, start_word long, n_words long, n_removed long")
 
 
