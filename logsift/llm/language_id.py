@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, dealt, flushes, fold, summed, table, texts
+from logsift.llm.common import LOWER, cut, dealt, flushes, fold, summed, table, texts
 
 #: What is no letter is a space to the n-grams.
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -83,23 +83,21 @@ def fit(labelled: DataFrame, per_model: int, k: int, sizes: tuple[int, ...], dim
                 seen[:-1] += counts > 0
                 seen[-1] += 1
                 if lang is not None:
-                    k = np.flatnonzero(counts)
-                    rows.append((None, np.concatenate([k.astype(np.int32), counts[k].astype(np.int32)]).tobytes(), lang))
+                    place = np.flatnonzero(counts)
+                    rows.append((None, np.concatenate([place, counts[place]]).astype(np.int32).tobytes(), lang))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.string()))], names=["deal", "sums", "lang"])
         part = dealt(tasks, seen)
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None], pa.string())], names=["deal", "sums", "lang"])
 
-    from logsift.llm.common import cut
-
     found = cut(source.mapInArrow(scan, "deal int, sums binary, lang string"))
     seen = summed(found.filter("deal is not null").select("deal", "sums"), dims + 1)
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
     sample: dict[str, list[np.ndarray]] = {}
     for sums, lang in found.filter("deal is null").select("sums", "lang").toLocalIterator():
-        k, n = np.frombuffer(sums, np.int32).reshape(2, -1)
+        place, seen_there = np.frombuffer(sums, np.int32).reshape(2, -1)
         counts = np.zeros(dims, np.float32)
-        counts[k] = n
+        counts[place] = seen_there
         sample.setdefault(lang, []).append(_weights(counts, idf).astype(np.float32))
     centroids, langs = [], []
     for lang in sorted(sample):

@@ -1,13 +1,16 @@
 """The training-data queries and, where SQL can express them, the same as SQL."""
 
-from logsift.llm import chat_format, decontaminate, embedding_dedup, packing, simhash, substring_dedup, suffix_dedup
+from logsift.llm import chat_format, decontaminate, embedding_dedup, language_id, lm_score, packing, quality, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_chat_formatting": chat_format.query,
     "op5_best_fit_packing": packing.query,
+    "op6_language_id": language_id.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_lm_scoring": lm_score.query,
     "op9_embedding_near_dedup": embedding_dedup.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
