@@ -17,19 +17,25 @@ SPACE = frozenset([0x20, *range(0x09, 0x0E)])
 FLUSH_BYTES = 8 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it without its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset is one chosen here
-    (a temporary folder on a local master, else one beside the warehouse, which all executors share).
+    It is the session's ``spark.checkpoint.dir``; only where that is unset is one chosen here (a temporary folder
+    on a local master, else one beside the warehouse).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
         if not given:
             local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-            given = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+            given = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         sc.setCheckpointDir(given)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and return it without its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

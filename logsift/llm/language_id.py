@@ -115,7 +115,7 @@ def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, siz
     are learned from: all of them for the document frequencies, a hash sample of about ``per_model`` rows
     (shared evenly by the languages, at least 20 each) for the centroids.
 
-    Returns doc_id, the columns of ``carry``, lang_pred, score (the best cosine, 0 to 1) and rejected: no letter, or
+    Returns doc_id, the columns of ``carry`` (which may name the text), lang_pred, score (the best cosine, 0 to 1) and rejected: no letter, or
     too far from every centroid (score under ``reject_below``).
 
     Defined cases: a text that is null or has no letter is `und` with score 0; all texts are where nothing can be
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, siz
     rows = learned.filter("lang is not null and doc_id is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model = fit(rows, per_model, k, sizes, dims)
     told = docs.sparkSession.sparkContext.broadcast(model)
-    source = texts(docs, *carry).withColumn("lettered", F.col("text").rlike(r"\p{L}"))
+    source = texts(docs, *(c for c in carry if c != "text")).withColumn("lettered", F.col("text").rlike(r"\p{L}"))
     names = ["doc_id", *carry]
 
     def scan(batches):

@@ -1,5 +1,6 @@
 """The training-data queries and, where SQL can express them, the same as SQL."""
 
+import corpus_pipeline
 from logsift.llm import chat_format, decontaminate, embedding_dedup, language_id, lm_score, packing, quality, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.query,
     "op8_lm_scoring": lm_score.query,
     "op9_embedding_near_dedup": embedding_dedup.query,
+    "pipeline": corpus_pipeline.run,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 ORACLE = {"op4_chat_formatting": chat_format.ORACLE_SQL}
