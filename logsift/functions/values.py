@@ -54,15 +54,20 @@ def is_host_like(c: Column) -> Column:
     return value.rlike(r"^[A-Za-z0-9._-]{1,253}$") & value.rlike("[A-Za-z]") & parse_ip(value).isNull()
 
 
-def is_identity_like(c: Column) -> Column:
+def is_user_value(c: Column) -> Column:
     """DOMAIN\\user, user@domain.tld, a security identifier or a plain account name."""
+    domain_user = c.rlike(r"^[A-Za-z0-9_-]{1,64}\\[A-Za-z0-9._$-]{1,128}$")
+    principal = c.rlike(r"^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]*\.[A-Za-z0-9.-]*[A-Za-z0-9-]$")
+    identifier = c.rlike(r"^S-1-[0-9]+(?:-[0-9]+)*$")
+    plain = c.rlike(r"^[A-Za-z0-9_$-]{2,64}$") & c.rlike("[A-Za-z]") & parse_ip(c).isNull()
+    return domain_user | principal | identifier | plain
+
+
+def is_identity_like(c: Column) -> Column:
+    """A user value that is no path and no program file; a backslash makes a path of it."""
     value = trim(c)
-    domain_user = value.rlike(r"^[A-Za-z0-9_-]{1,64}\\[A-Za-z0-9._$-]{1,128}$")
-    principal = value.rlike(r"^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]*\.[A-Za-z0-9.-]*[A-Za-z0-9-]$")
-    identifier = value.rlike(r"^S-1-[0-9]+(?:-[0-9]+)*$")
-    plain = value.rlike(r"^[A-Za-z0-9_$-]{2,64}$") & value.rlike("[A-Za-z]") & parse_ip(value).isNull()
     usable = (value != "") & (F.octet_length(value) <= 256) & ~looks_like_path(value) & ~ascii_lower(value).endswith(".exe")
-    return usable & (domain_user | principal | identifier | plain)
+    return usable & is_user_value(value)
 
 
 def is_evidence_text(c: Column) -> Column:

@@ -102,7 +102,7 @@ def resolve_identity(df: DataFrame, column: str, value: str, most: int = 16, kee
     One spelling (the smallest) for each folded value; at most ``keep`` well-formed ones are returned.
     """
     from logsift.functions.text import ascii_lower
-    from logsift.functions.values import is_identity_like
+    from logsift.functions.values import is_user_value
 
     c = F.col(f"`{column}`").cast("string")
     low, name = ascii_lower(c), ascii_lower(F.lit(value))
@@ -111,5 +111,5 @@ def resolve_identity(df: DataFrame, column: str, value: str, most: int = 16, kee
         same = same | low.endswith(F.concat(F.lit("\\"), name)) | low.startswith(F.concat(name, F.lit("@")))
     found = df.filter(same & (F.char_length(c) <= 256)).groupBy(low.alias("_low")).agg(F.min(c).alias("user")).orderBy("_low").limit(most + 1)
     told = found.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("_low", "user"))).alias("all"))
-    users = F.slice(F.filter(F.transform("all", lambda x: x["user"]), lambda u: (u == trim(u)) & is_identity_like(u)), 1, keep)
+    users = F.slice(F.filter(F.transform("all", lambda x: x["user"]), lambda u: (u == trim(u)) & is_user_value(u)), 1, keep)
     return told.select((F.col("n") > most).alias("overflow"), F.explode_outer(users).alias("user"))

@@ -421,9 +421,10 @@ _CELLS = rf"""
 WITH c AS (SELECT page_id + 1 AS row_num, url AS cell, true AS command FROM pages UNION ALL SELECT page_id + 1, html, false FROM pages),
 l AS (SELECT *, lower(cell) AS low, regexp_extract_all(cell, '[A-Za-z0-9+/=]{{60,}}') AS runs FROM c WHERE cell <> ''),
 b AS (SELECT *, list_aggregate(list_transform(runs, lambda x: length(x)), 'max') AS longest FROM l),
-e AS (SELECT row_num, command, sum(-n / total * log2(n / total)) AS bits FROM (
-  SELECT row_num, command, ch, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY row_num, command)::DOUBLE AS total FROM (
-    SELECT row_num, command, unnest(string_split(substr(cell, 1, 4096), '')) AS ch FROM l WHERE strlen(cell) >= 100) GROUP BY ALL) GROUP BY ALL),
+h AS (SELECT row_num, command, unnest(string_split(substr(cell, 1, 4096), '')) AS ch FROM l WHERE strlen(cell) >= 100),
+k AS (SELECT row_num, command, ch, count(*)::DOUBLE AS n FROM h GROUP BY ALL),
+t AS (SELECT row_num, command, sum(n) AS total FROM k GROUP BY ALL),
+e AS (SELECT row_num, command, sum(-n / total * log2(n / total)) AS bits FROM k JOIN t USING (row_num, command) GROUP BY ALL),
 f AS (
   SELECT row_num, 'encoded_blob' AS category, CASE WHEN low LIKE '%-encodedcommand%' OR low LIKE '%-enc %' OR low LIKE '%frombase64string%' THEN 75
     WHEN regexp_matches(list_filter(runs, lambda x: length(x) = longest)[1], '[A-Z]') AND regexp_matches(list_filter(runs, lambda x: length(x) = longest)[1], '[a-z]') AND regexp_matches(list_filter(runs, lambda x: length(x) = longest)[1], '[0-9]') THEN 70 END AS score FROM b
