@@ -72,7 +72,6 @@ def fit(labelled: DataFrame, per_model: int, k: int, sizes: tuple[int, ...], dim
     most = 1 << 20
     share = F.create_map(*[x for lang, n in by_lang for x in (F.lit(lang), F.lit(min(most, -(-most * each // n))))])
     source = labelled.select(F.when(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(most)) < share[F.col("lang")], F.col("lang")).alias("lang"), "text")
-    tasks = source.rdd.getNumPartitions()
 
     def scan(batches):
         seen = np.zeros(dims + 1)
@@ -87,7 +86,7 @@ def fit(labelled: DataFrame, per_model: int, k: int, sizes: tuple[int, ...], dim
                     rows.append((None, np.concatenate([place, counts[place]]).astype(np.int32).tobytes(), lang))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.string()))], names=["deal", "sums", "lang"])
-        part = dealt(tasks, seen)
+        part = dealt(seen)
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None], pa.string())], names=["deal", "sums", "lang"])
 
     found = cut(source.mapInArrow(scan, "deal int, sums binary, lang string"))

@@ -120,7 +120,6 @@ def fit(labelled: DataFrame, features: int = 384, gamma: float = 0.03, ridge: fl
     model.values = np.array([float(moments["rate"])])
     d = features + 1
     told = labelled.sparkSession.sparkContext.broadcast(model)
-    tasks = labelled.rdd.getNumPartitions()
 
     def normal(batches):
         a, b, n = np.zeros((d, d)), np.zeros(d), 0
@@ -130,7 +129,7 @@ def fit(labelled: DataFrame, features: int = 384, gamma: float = 0.03, ridge: fl
                 a += z.T @ z
                 b += z.T @ y
                 n += len(y)
-        yield dealt(tasks, np.concatenate([a.reshape(-1), b, [n]]))
+        yield dealt(np.concatenate([a.reshape(-1), b, [n]]))
 
     total = summed(labelled.filter("not calibrate").select("stats", "label").mapInArrow(normal, "deal int, sums binary"), d * d + d + 1)
     a, b, n = total[: d * d].reshape(d, d), total[d * d : -1], total[-1]
