@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words are runs of bytes that are none of these (white space of the contracts: \x20 \x09-\x0D).
 SPACE = frozenset([0x20, *range(0x09, 0x0E)])
 #: About this much text is turned into arrays at a time in a Python worker.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

@@ -75,7 +75,7 @@ def fit(labelled: DataFrame, per_model: int, k: int, sizes: tuple[int, ...], dim
 
     def scan(batches):
         seen = np.zeros(dims + 1)
-        for flush in flushes(batches):
+        for flush in flushes(batches, most=1 << 20):
             langs = flush.rows.column(0).to_pylist()
             rows = []
             for lang, counts in zip(langs, _counts(flush, sizes, dims)):
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, siz
 
     def scan(batches):
         model = told.value
-        for flush in flushes(batches):
+        for flush in flushes(batches, most=1 << 20):
             lettered = flush.rows.column(flush.rows.schema.get_field_index("lettered")).to_pylist()
             langs, scores, block, at = ["und"] * flush.n, np.zeros(flush.n), [], []
 
