@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -43,8 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whole texts pass to Python in batches of about this size, at most: some documents are very long.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by their bytes; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that are read, so that extra columns can't clash; null texts become empty."""
+    _small_batches(docs.sparkSession)
     # an id that is a long already keeps its column, so that two uses of the result stay the same plan
     ids = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     return docs.select(ids, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
@@ -136,6 +149,17 @@ def flushes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 held, size = [], 0
     if held:
         yield join()
+    del held
+    give_back()
+
+
+def give_back() -> None:
+    """Return a task's freed memory to the system: a Python worker lives on and serves further tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def byte_table(words: bytes | None = None) -> np.ndarray:

@@ -68,12 +68,16 @@ def blocks(benchmark: DataFrame, window: int, most_bytes: int) -> Iterator[Phras
 
 
 def _pass(told, schema: pa.Schema):
-    """Search one block's windows in each shard of documents and add the hits to the rows'."""
+    """Search one block's windows in each shard of documents and add the hits to the rows'.
+
+    A schema with ``kept`` is the last pass's: hit words are cut out, each with what follows it up to the next word.
+    """
 
     def scan(batches):
         phrases = told.value
         shortest = int(phrases.lengths.min(initial=1 << 40))
         for flush in flushes(batches):
+            raw = flush.bytes
             starts, ends, first, h = _hashes(flush)
             symbol = phrases.symbols(h)
             # words outside the vocabulary can't be hit: index the stretches between them that a window fits in
@@ -113,31 +117,22 @@ def _pass(told, schema: pa.Schema):
                 items[row] = sorted(by_row.get(row, set()) | set(was_items[row].as_py()))
             n_hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
             new = {"n_words": np.diff(first), "n_hit": n_hit, "spans": spans, "items": items}
-            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else column(f.name) for f in schema], schema=schema)
+            if "kept" in schema.names:
+                new["kept"] = pa.array(_cut(raw.tobytes(), flush, starts, first, spans), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([(x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type)) if f.name in new else column(f.name) for f in schema], schema=schema)
 
     return scan
 
 
-def _cut(schema: pa.Schema):
-    """Take hit words out of the texts, each with what follows it up to the next word."""
-
-    def scan(batches):
-        for flush in flushes(batches):
-            raw = flush.bytes.tobytes()
-            starts, _, first, _ = _hashes(flush)
-            spans = flush.rows.column(flush.rows.schema.get_field_index("spans"))
-            kept = []
-            for r in range(flush.n):
-                low, high, a, b = int(flush.at[r]), int(flush.at[r + 1]), int(first[r]), int(first[r + 1])
-                parts, at = [], low
-                for x in spans[r].as_py():
-                    parts.append(raw[at : starts[a + x["start"]]])
-                    at = int(starts[a + x["end"]]) if a + x["end"] < b else high
-                kept.append(b"".join([*parts, raw[at:high]]))
-            column = lambda c: flush.rows.column(flush.rows.schema.get_field_index(c))
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()) if f.name == "kept" else column(f.name) for f in schema], schema=schema)
-
-    return scan
+def _cut(raw: bytes, flush: Flush, starts: np.ndarray, first: np.ndarray, spans: list[list[dict]]) -> list[bytes]:
+    kept = []
+    for r, own in enumerate(spans):
+        b, at, high, parts = int(first[r + 1]), int(flush.at[r]), int(flush.at[r + 1]), []
+        for x in own:
+            parts.append(raw[at : starts[first[r] + x["start"]]])
+            at = int(starts[first[r] + x["end"]]) if first[r] + x["end"] < b else high
+        kept.append(b"".join([*parts, raw[at:high]]))
+    return kept
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -160,15 +155,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     now = texts(docs, *carry).withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<long>")})
     now = now.withColumns({"spans": F.coalesce("spans", F.array().cast(SPANS)), "items": F.coalesce("items", F.array().cast("array<long>"))})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
-    found = False
+    last = T.StructType([f for f in schema if f.name != "text"])
+    last = last.add("kept", "string") if kept else last
+    held = None
     for phrases in blocks(benchmark, window, block_bytes):
-        now, found = now.mapInArrow(_pass(spark.sparkContext.broadcast(phrases), to_arrow_schema(schema)), schema), True
-    if not found:
-        now = now.mapInArrow(_pass(spark.sparkContext.broadcast(Phrases([], window)), to_arrow_schema(schema)), schema)
-    if not kept:
-        return now.drop("text")
-    out = T.StructType([f for f in schema if f.name != "text"]).add("kept", "string")
-    return now.mapInArrow(_cut(to_arrow_schema(out)), out)
+        if held is not None:
+            now = now.mapInArrow(_pass(spark.sparkContext.broadcast(held), to_arrow_schema(schema)), schema)
+        held = phrases
+    told = spark.sparkContext.broadcast(held if held is not None else Phrases([], window))
+    return now.mapInArrow(_pass(told, to_arrow_schema(last)), last)
 
 
 def query(spark, sf_dir) -> DataFrame:
