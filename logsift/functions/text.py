@@ -75,7 +75,10 @@ def normalize_tokens(c: Column) -> Column:
         )
 
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, one), " ")
+    # most tokens, and many cells, have nothing to replace
+    changing = r"[0-9:\p{Cntrl}]|[a-fA-F]{16}"
+    each = F.transform(words, lambda t: F.when(t.rlike(changing), one(t)).otherwise(F.lower(t)))
+    return F.when(c.rlike(r"[0-9:]|[a-fA-F]{16}|[\p{Cntrl}&&[^\s]]"), F.array_join(each, " ")).otherwise(F.lower(F.array_join(words, " ")))
 
 
 def informative(c: Column) -> Column:

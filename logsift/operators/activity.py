@@ -42,20 +42,14 @@ LABELS = {
 _FALLBACK = (("command_line", "process"), ("process_name", "process"), ("file_name", "file"), ("ip", "network"))
 
 
-def _label(category: Column, detail: Column, source: str) -> Column:
-    return F.struct(category.alias("category"), clip(detail, 120).alias("detail"), F.lit(source).alias("source_column"))
-
-
-def _by_id(value: Column, source: str) -> Column:
+def _by_id(value: Column) -> Column:
     digits = F.regexp_extract(value, r"^[0-9]+", 0).try_cast("long")
-    category = F.coalesce(*[F.when(digits.isin(*ids), F.lit(name)) for name, ids in EVENT_IDS.items()])
-    return F.when(category.isNotNull(), _label(category, F.concat(F.lit("Event ID "), digits.cast("string")), source))
+    return F.coalesce(*[F.when(digits.isin(*ids), F.lit(name)) for name, ids in EVENT_IDS.items()])
 
 
-def _by_words(value: Column, source: str) -> Column:
+def _by_words(value: Column) -> Column:
     low = F.lower(value)
-    category = F.coalesce(*[F.when(low.rlike("|".join(words)), F.lit(name)) for name, words in WORDS.items()])
-    return F.when((value != "") & category.isNotNull(), _label(category, value, source))
+    return F.coalesce(*[F.when(low.rlike("|".join(words)), F.lit(name)) for name, words in WORDS.items()])
 
 
 def classify_activity(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role], ignored: DataFrame | None = None) -> DataFrame:
@@ -64,20 +58,25 @@ def classify_activity(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Ro
     Tried in order: event numbers, description columns (in file order, each by its words), role columns, the first
     filled description as `other`, and `other` without detail.
     """
-    value = lambda c: trim(text(f"`{c}`"))
     by_key = [(header_key(m.name), m) for m in meta]
     ids = [m for k, m in by_key if k in EVENT_ID_HEADERS]
     told = [m for k, m in by_key if k in DESCRIPTOR_HEADERS]
     names = {m.name: m.original for m in meta}
-    tries = [_by_id(value(m.name), m.original) for m in ids]
-    tries += [_by_words(value(m.name), m.original) for m in told]
-    for role, category in _FALLBACK:
-        if role in roles and roles[role].status in ("suggested", "confirmed") and roles[role].column in names:
-            c = roles[role].column
-            tries.append(F.when(value(c) != "", _label(F.lit(category), value(c), names[c])))
-    tries += [F.when(value(m.name) != "", _label(F.lit("other"), value(m.name), m.original)) for m in told]
-    tries.append(_label(F.lit("other"), F.lit(""), ""))
-    return suppress(df, ignored).select("row_num", F.coalesce(*tries).alias("a")).select("row_num", "a.*")
+    fallback = [(category, roles[r].column) for r, category in _FALLBACK if r in roles and roles[r].status in ("suggested", "confirmed") and roles[r].column in names]
+    used = list(dict.fromkeys([m.name for m in (*ids, *told)] + [c for _, c in fallback]))
+    v = {c: F.col(f"v{i}") for i, c in enumerate(used)}
+    # cells first, then what each says, then the choice: nothing is computed twice
+    rows = suppress(df, ignored).select("row_num", *[trim(text(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(used)])
+    rows = rows.withColumns({f"id{i}": _by_id(v[m.name]) for i, m in enumerate(ids)} | {f"words{i}": _by_words(v[m.name]) for i, m in enumerate(told)})
+    label = lambda category, detail, source: F.struct(category.alias("category"), detail.alias("detail"), F.lit(source).alias("source_column"))
+    number = lambda c: F.concat(F.lit("Event ID "), F.regexp_extract(v[c], "^[0-9]+", 0).try_cast("long").cast("string"))
+    tries = [F.when(F.col(f"id{i}").isNotNull(), label(F.col(f"id{i}"), number(m.name), m.original)) for i, m in enumerate(ids)]
+    tries += [F.when(F.col(f"words{i}").isNotNull() & (v[m.name] != ""), label(F.col(f"words{i}"), v[m.name], m.original)) for i, m in enumerate(told)]
+    tries += [F.when(v[c] != "", label(F.lit(category), v[c], names[c])) for category, c in fallback]
+    tries += [F.when(v[m.name] != "", label(F.lit("other"), v[m.name], m.original)) for m in told]
+    tries.append(label(F.lit("other"), F.lit(""), ""))
+    chosen = rows.select("row_num", F.coalesce(*tries).alias("a"))
+    return chosen.select("row_num", "a.category", clip(F.col("a.detail"), 120).alias("detail"), "a.source_column")
 
 
 def activity_summary(activity: DataFrame, top: int = 3) -> DataFrame:

@@ -32,31 +32,44 @@ def first_ipv4(c: Column) -> Column:
     return F.when(found != "", F.regexp_replace(found, r"(^|\.)0+(?=[0-9])", "$1"))
 
 
-def _findings(cell: Column, command: Column, header: Column) -> Column:
-    """Array of (category, score, reason) of one cell."""
-    low = F.lower(cell)
-    words = F.filter(F.split(low, r"[^a-z0-9._-]+"), lambda t: t != "")
-    finding = lambda category, score, *reason: F.struct(F.lit(category).alias("category"), F.lit(score).alias("score"), clip(F.concat(*[F.lit(r) if isinstance(r, str) else r for r in reason]), 160).alias("reason"))
-    shown = clip(cell, 60)
-    encoded = low.contains("-encodedcommand") | low.contains("-enc ") | low.contains("frombase64string")
+#: A cell without any of this, and of fewer bytes, has no finding.
+_ANY = r"(?i)-enc|frombase64string|[a-z0-9+/=]{60}|" + "|".join(LOLBINS) + rf"|\.(?:{'|'.join(EXECUTABLE)})|[0-9]\.[0-9]|https?://"
+_LONG = 100
+
+
+def _derived(rows: DataFrame) -> DataFrame:
+    """Add what several findings need, one step after the other, so that nothing is computed twice."""
+    cell = F.col("cell")
     stretches = F.regexp_extract_all(cell, F.lit("[A-Za-z0-9+/=]{60,}"), F.lit(0))
-    longest = F.aggregate(stretches, F.lit(""), lambda a, x: F.when(F.char_length(x) > F.char_length(a), x).otherwise(a))
-    blob = longest.rlike("[A-Z]") & longest.rlike("[a-z]") & longest.rlike("[0-9]")
-    bare = F.filter(F.transform(words, lambda t: F.regexp_replace(t, r"\.exe$", "")), lambda t: t.isin(*LOLBINS))
-    double = F.filter(words, lambda t: t.rlike(rf"\.(?:{'|'.join(DOCUMENT)})\.(?:{'|'.join(EXECUTABLE)})$"))
+    rows = rows.withColumns({
+        "low": F.lower(cell), "longest": F.aggregate(stretches, F.lit(""), lambda a, x: F.when(F.char_length(x) > F.char_length(a), x).otherwise(a)),
+        "ip": F.when(F.col("command"), first_ipv4(cell)), "bits": F.when(F.octet_length(cell) >= _LONG, entropy(F.substring(cell, 1, 4096))), "shown": clip(cell, 60),
+    })
+    rows = rows.withColumn("words", F.filter(F.split("low", r"[^a-z0-9._-]+"), lambda t: t != ""))
+    return rows.withColumns({
+        "bare": F.get(F.filter(F.transform("words", lambda t: F.regexp_replace(t, r"\.exe$", "")), lambda t: t.isin(*LOLBINS)), F.lit(0)),
+        "double": F.get(F.filter("words", lambda t: t.rlike(rf"\.(?:{'|'.join(DOCUMENT)})\.(?:{'|'.join(EXECUTABLE)})$")), F.lit(0)),
+    })
+
+
+def _findings() -> Column:
+    """Array of (category, score, reason) of one cell, from the columns of ``_derived``."""
+    c = F.col
+    low, command, header, shown = c("low"), c("command"), c("header"), c("shown")
+    finding = lambda category, score, *reason: F.struct(F.lit(category).alias("category"), F.lit(score).alias("score"), F.concat(*[F.lit(r) if isinstance(r, str) else r for r in reason]).alias("reason"))
+    encoded = low.contains("-encodedcommand") | low.contains("-enc ") | low.contains("frombase64string")
+    blob = c("longest").rlike("[A-Z]") & c("longest").rlike("[a-z]") & c("longest").rlike("[0-9]")
     staged = low.rlike("|".join(f.replace("\\", "\\\\") for f in STAGING)) & low.rlike(rf"\.(?:{'|'.join(EXECUTABLE)})")
-    ip = first_ipv4(cell)
-    bits = F.when(F.octet_length(cell) >= 100, entropy(F.substring(cell, 1, 4096)))
     return F.array_compact(F.array(
         F.when(encoded, finding("encoded_blob", 75, "encoded-command indicator in '", header, "': ", shown))
-        .when(blob, finding("encoded_blob", 70, F.char_length(longest).cast("string"), "-char base64-like blob in '", header, "': ", clip(longest, 60))),
-        F.when(F.size(bare) > 0, finding("lolbin", 45, "living-off-the-land binary '", F.get(bare, F.lit(0)), "' referenced in '", header, "'")),
+        .when(blob, finding("encoded_blob", 70, F.char_length("longest").cast("string"), "-char base64-like blob in '", header, "': ", clip(c("longest"), 60))),
+        F.when(c("bare").isNotNull(), finding("lolbin", 45, "living-off-the-land binary '", c("bare"), "' referenced in '", header, "'")),
         F.when(staged, finding("suspicious_path", 45, "executable content under a staging/temp path in '", header, "': ", shown)),
-        F.when(F.size(double) > 0, finding("double_extension", 65, "double file extension '", F.get(double, F.lit(0)), "' in '", header, "'")),
-        F.when(command & ip.isNotNull(), finding("ip_in_command", 35, F.when(private_ipv4(ipv4_number(ip)), "private").otherwise("public"), " IP address ", ip, " embedded in '", header, "'")),
+        F.when(c("double").isNotNull(), finding("double_extension", 65, "double file extension '", c("double"), "' in '", header, "'")),
+        F.when(c("ip").isNotNull(), finding("ip_in_command", 35, F.when(private_ipv4(ipv4_number(c("ip"))), "private").otherwise("public"), " IP address ", c("ip"), " embedded in '", header, "'")),
         F.when(command & (low.contains("http://") | low.contains("https://")), finding("url_in_command", 40, "URL in '", header, "': ", shown)),
-        F.when(command & (F.octet_length(cell) >= 400), finding("long_command", 30, F.octet_length(cell).cast("string"), "-char command line in '", header, "' (unusually long)")),
-        F.when(bits >= 5.0, finding("high_entropy", 40, "high-entropy content (", F.format_string("%.1f", bits), " bits/char) in '", header, "': ", shown)),
+        F.when(command & (F.octet_length("cell") >= 400), finding("long_command", 30, F.octet_length("cell").cast("string"), "-char command line in '", header, "' (unusually long)")),
+        F.when(c("bits") >= 5.0, finding("high_entropy", 40, "high-entropy content (", F.format_string("%.1f", c("bits")), " bits/char) in '", header, "': ", shown)),
     ))
 
 
@@ -70,9 +83,9 @@ def cell_findings(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role])
     cells = [F.struct(F.lit(i).alias("i"), F.lit(m.name).alias("column_name"), F.lit(m.original).alias("header"), F.lit(m.name in commands).alias("command"), text(f"`{m.name}`").alias("cell")) for i, m in enumerate(meta) if m.name != time]
     if not cells:
         return df.select("row_num").filter(F.lit(False)).selectExpr("row_num", "'' as category", "0 as score", "'' as reason", "'' as column_name")
-    rows = df.select("row_num", F.explode(F.array(*cells)).alias("c")).select("row_num", "c.*").filter("cell <> ''")
-    found = rows.select("row_num", "i", "column_name", F.explode(_findings(F.col("cell"), F.col("command"), F.col("header"))).alias("f"))
-    best = found.groupBy("row_num", "f.category").agg(F.max_by(F.struct("f.score", "f.reason", "column_name"), F.struct("f.score", -F.col("i"))).alias("b"))
+    rows = df.select("row_num", F.explode(F.array(*cells)).alias("c")).select("row_num", "c.*").filter((F.octet_length("cell") >= _LONG) | F.col("cell").rlike(_ANY))
+    found = _derived(rows).select("row_num", "i", "column_name", F.explode(_findings()).alias("f"))
+    best = found.groupBy("row_num", "f.category").agg(F.max_by(F.struct("f.score", clip(F.col("f.reason"), 160).alias("reason"), "column_name"), F.struct("f.score", -F.col("i"))).alias("b"))
     return best.select("row_num", "category", "b.score", "b.reason", "b.column_name")
 
 

@@ -44,6 +44,22 @@ def _records(events: DataFrame, names: int = 8, sample: int = 50) -> DataFrame:
     return out.select("host", "score", "tactic_count", "tactics", "techniques", "sample_rows", "event_count", "rows", "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
 
 
+def _tactics_ahead(timed: DataFrame, window_ms: int, most: int = 64) -> DataFrame:
+    """Add n: how many tactics have an event from each one up to ``window_ms`` later.
+
+    Read backward in time, the last event seen of each tactic is its next one: a running minimum for each tactic (of
+    which there are as many as the library has), whatever the number of events in a window.
+    """
+    kinds = [r[0] for r in timed.select("tactic_id").distinct().limit(most + 1).collect()]
+    if len(kinds) > most:
+        ahead = W.partitionBy("host").orderBy("epoch_ms").rangeBetween(0, window_ms)
+        return timed.withColumn("n", F.size(F.collect_set("tactic_id").over(ahead)))
+    back = W.partitionBy("host").orderBy(F.desc("epoch_ms")).rangeBetween(W.unboundedPreceding, 0)
+    coming = timed.withColumns({f"_next{i}": F.min(F.when(F.col("tactic_id") == k, F.col("epoch_ms"))).over(back) for i, k in enumerate(kinds)})
+    n = sum((F.coalesce((F.col(f"_next{i}") <= F.col("epoch_ms") + window_ms).cast("int"), F.lit(0)) for i in range(len(kinds))), F.lit(0))
+    return coming.withColumn("n", n).drop(*[f"_next{i}" for i in range(len(kinds))])
+
+
 def attack_chains(matches: DataFrame, df: DataFrame, row_time: DataFrame | None = None, host: str | None = None, window_ms: int = HOUR, least_tactics: int = 3, cap: int | None = 200_000, keep: int | None = 200) -> DataFrame:
     """Chains ranked from 1: tactics, score and events descending, then first row.
 
@@ -61,7 +77,7 @@ def attack_chains(matches: DataFrame, df: DataFrame, row_time: DataFrame | None
     else:
         timed = events.join(row_time.select("row_num", "epoch_ms"), "row_num")
         by_host = W.partitionBy("host").orderBy("epoch_ms")
-        ahead = timed.withColumn("n", F.size(F.collect_set("tactic_id").over(by_host.rangeBetween(0, window_ms))))
+        ahead = _tactics_ahead(timed, window_ms)
         starts = ahead.filter(F.col("n") >= least_tactics).select("host", "epoch_ms").distinct()
         gap = F.col("epoch_ms") - F.lag("epoch_ms").over(by_host) > window_ms
         stretch = starts.withColumn("stretch", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_host))

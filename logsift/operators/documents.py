@@ -85,18 +85,20 @@ def row_documents(df: DataFrame, meta: list[ColumnMeta], modes: dict[str, str],
     Every eligible cell gives its first chunk before any gives a second; wide rows are picked from evenly; two or
     more categorical cells also give a row_context.
     """
-    entries = []
-    for m in meta:
+    entries, values = [], {}
+    for i, m in enumerate(meta):
         if modes[m.name] == "exact_only":
             continue
         label = m.original.strip().lower() or m.name.replace("_", " ")
-        value = normalize_tokens(F.substring(trim(text(f"`{m.name}`")), 1, limits.cell_chars))
+        values[f"v{i}"] = normalize_tokens(F.substring(trim(text(f"`{m.name}`")), 1, limits.cell_chars))
+        value = F.col(f"v{i}")  # a step of its own: it is used twice
         chunks = word_chunks(value, limits.chunk_words, limits.overlap_words, None, limits.document_chars, None)
         entries.append(F.when(informative(value), F.struct(F.lit(m.name).alias("column_key"), F.lit(label).alias("label"), F.lit(modes[m.name] == "categorical").alias("categorical"), chunks.alias("chunks"))))
     if not entries:
         return df.select("row_num").filter(F.lit(False)).selectExpr("row_num", "'' as kind", "'' as column_key", "'' as text", "0 as ord")
     one = lambda cell, chunk: F.substring(F.concat(cell["label"], F.lit(": "), chunk), 1, limits.document_chars)
-    rows = df.select("row_num", _balanced(F.array_compact(F.array(*entries)), limits.primary_columns).alias("cells"))
+    rows = df.select("row_num", *[v.alias(k) for k, v in values.items()])
+    rows = rows.select("row_num", F.array_compact(F.array(*entries)).alias("cells")).select("row_num", _balanced(F.col("cells"), limits.primary_columns).alias("cells"))
     document = lambda kind, key, body: F.struct(F.lit(kind).alias("kind"), key.alias("column_key"), body.alias("text"))
     first = F.transform("cells", lambda c: document("cell", c["column_key"], one(c, F.get(c["chunks"], F.lit(0)))))
     more = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(limits.chunks_per_cell - 1)), lambda r: F.transform(F.filter("cells", lambda c: F.size(c["chunks"]) > r), lambda c: document("cell_chunk", c["column_key"], one(c, F.get(c["chunks"], r))))))
