@@ -33,7 +33,7 @@ def first_ipv4(c: Column) -> Column:
 
 
 #: A cell without any of this, and of fewer bytes, has no finding.
-_ANY = r"(?i)-enc|frombase64string|[a-z0-9+/=]{60}|" + "|".join(LOLBINS) + rf"|\.(?:{'|'.join(EXECUTABLE)})|[0-9]\.[0-9]|https?://"
+_ANY = r"(?i)-enc|frombase64string|[a-z0-9+/=]{60}|" + "|".join(LOLBINS) + "|" + "|".join(f.replace("\\", "\\\\") for f in STAGING) + rf"|\.(?:{'|'.join(DOCUMENT)})\.(?:{'|'.join(EXECUTABLE)})|[0-9]\.[0-9]|https?://"
 _LONG = 100
 
 

@@ -23,25 +23,19 @@ def _events(matches: DataFrame, df: DataFrame, host: str | None, cap: int | None
 def _records(events: DataFrame, names: int = 8, sample: int = 50) -> DataFrame:
     """One row a (host, start). Lists are made of one entry a tactic or technique, and of the first ``sample`` rows."""
     chain = ["host", "start"]
-    at = F.struct("epoch_ms", "row_num")
-    same = lambda a, b: a["host"].eqNullSafe(b["host"]) & a["start"].eqNullSafe(b["start"])
-    totals = events.groupBy(*chain).agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_distinct("row_num").alias("rows"), F.max("score").alias("_top"), F.min("epoch_ms").alias("first_epoch_ms"),
-        F.max("epoch_ms").alias("last_epoch_ms"), F.min("row_num").alias("first_row"), F.max("row_num").alias("last_row"),
+    kinds = events.groupBy(*chain, "tactic_id", "technique_name").agg(
+        F.min(F.struct("epoch_ms", "row_num")).alias("at"), F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.min("epoch_ms").alias("e0"), F.max("epoch_ms").alias("e1"), F.min("row_num").alias("r0"), F.max("row_num").alias("r1"),
     )
-
-    def listed(keys: list[str], value: str, most: int | None, name: str) -> DataFrame:
-        first = events.groupBy(*chain, *keys).agg(F.min(at).alias("at"))
-        if most:
-            # without order on the whole list: the first ones only
-            first = first.withColumn("_k", F.row_number().over(W.partitionBy(*chain).orderBy("at", *keys))).filter(F.col("_k") <= most)
-        return first.groupBy(*chain).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
-
-    out = totals.alias("t")
-    for i, part in enumerate((listed(["tactic_id"], "tactic_id", None, "tactics"), listed(["technique_name"], "technique_name", names, "techniques"), listed(["row_num"], "row_num", sample, "sample_rows"))):
-        out = out.join(part.select(F.col("host").alias(f"_h{i}"), F.col("start").alias(f"_s{i}"), part.columns[-1]), F.col("host").eqNullSafe(F.col(f"_h{i}")) & F.col("start").eqNullSafe(F.col(f"_s{i}"))).drop(f"_h{i}", f"_s{i}")
-    out = out.withColumn("tactic_count", F.size("tactics")).withColumn("score", F.least(F.lit(100), F.col("_top") + 10 * (F.col("tactic_count") - 1)))
-    return out.select("host", "score", "tactic_count", "tactics", "techniques", "sample_rows", "event_count", "rows", "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
+    # in order of first events: a kind's first entry is where it was first seen
+    seen = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("v")))), lambda x: x["v"]))
+    totals = kinds.groupBy(*chain).agg(F.sum("n").alias("event_count"), F.max("top").alias("top"), F.min("e0").alias("first_epoch_ms"), F.max("e1").alias("last_epoch_ms"), F.min("r0").alias("first_row"), F.max("r1").alias("last_row"), seen("tactic_id").alias("tactics"), seen("technique_name").alias("all_techniques"))
+    rows = events.groupBy(*chain, "row_num").agg(F.min("epoch_ms").alias("e"))
+    numbered = rows.withColumn("k", F.row_number().over(W.partitionBy(*chain).orderBy("e", "row_num")))
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= sample, F.struct("k", "row_num")))), lambda x: x["row_num"])
+    samples = numbered.groupBy(F.col("host").alias("_h"), F.col("start").alias("_s")).agg(F.count(F.lit(1)).alias("rows"), first.alias("sample_rows"))
+    out = totals.join(samples, F.col("host").eqNullSafe(F.col("_h")) & F.col("start").eqNullSafe(F.col("_s"))).withColumn("tactic_count", F.size("tactics"))
+    score = F.least(F.lit(100), F.col("top") + 10 * (F.col("tactic_count") - 1)).alias("score")
+    return out.select("host", score, "tactic_count", "tactics", F.slice("all_techniques", 1, names).alias("techniques"), "sample_rows", "event_count", "rows", "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
 
 
 def _tactics_ahead(timed: DataFrame, window_ms: int, most: int = 64) -> DataFrame:

@@ -82,9 +82,10 @@ def normalize_timestamps(df: DataFrame, column: str, tz: str | None = None, conv
         if bad:
             raise TimeError(f"row {bad['row_num']} timestamp '{bad['source_text']}' {'does not exist' if bad['gap'] else 'is ambiguous'} in {zone}")
     time = F.coalesce("epoch", "instant", utc)
-    out = rows.select("row_num", time.alias("event_time"), "source_text", F.when(F.col("epoch").isNotNull(), "epoch").when(F.col("instant").isNotNull(), "explicit_offset").otherwise(status).alias("parse_status"))
-    out = out.filter("event_time is not null")
-    return out.select("row_num", "event_time", F.unix_millis("event_time").alias("epoch_ms"), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("utc_text"), "source_text", "parse_status")
+    parsed = rows.select("row_num", time.alias("event_time"), "source_text", F.when(F.col("epoch").isNotNull(), "epoch").when(F.col("instant").isNotNull(), "explicit_offset").otherwise(status).alias("parse_status"))
+    # a plain filter would be pushed below the parsing and repeat it: rows that don't parse leave as empty arrays
+    told = F.struct("event_time", F.unix_millis("event_time").alias("epoch_ms"), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("utc_text"), "source_text", "parse_status")
+    return parsed.select("row_num", F.explode(F.array_compact(F.array(F.when(F.col("event_time").isNotNull(), told)))).alias("t")).select("row_num", "t.*")
 
 
 #: Header words that name a time: strong and weak ones.

@@ -373,11 +373,18 @@ def event_matches(spark, d) -> DataFrame:
     return events_log(spark, d).select("row_num", F.col("event_type").alias("tactic_id"), F.col("event_type").alias("tactic_name"), F.concat(F.lit("T-"), "event_type").alias("technique_id"), F.col("event_type").alias("technique_name"), F.lit(50).alias("score"), F.lit("").alias("keyword"), F.lit("event_type").alias("column_name"))
 
 
-@query("chains_by_time")
+@query("chains_by_time", """
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, epoch_us(ts) // 1000 AS t, event_id + 1 AS row_num, event_type AS kind FROM events),
+c AS (SELECT DISTINCT host, t FROM (SELECT host, t, len(list_distinct(list(kind) OVER (PARTITION BY host ORDER BY t RANGE BETWEEN CURRENT ROW AND 3600000 FOLLOWING))) AS n FROM e) WHERE n >= 3),
+r(host, s) AS (SELECT host, min(t) FROM c GROUP BY host UNION ALL SELECT r.host, min(c.t) FROM r JOIN c ON c.host = r.host AND c.t > r.s + 3600000 GROUP BY r.host),
+i AS (SELECT e.*, s FROM e JOIN r ON e.host = r.host AND e.t BETWEEN s AND s + 3600000),
+k AS (SELECT host, s, string_agg(kind, '>' ORDER BY first) AS tactics, count(*) AS n FROM (SELECT host, s, kind, min((t, row_num)) AS first FROM i GROUP BY ALL) GROUP BY ALL)
+SELECT host, CAST(least(100, 50 + 10 * (n - 1)) AS INTEGER) AS score, CAST(n AS INTEGER) AS tactic_count, tactics, count(*) AS event_count, min(t) AS first_epoch_ms, max(t) AS last_epoch_ms, min(row_num) AS first_row, max(row_num) AS last_row
+FROM i JOIN k USING (host, s) GROUP BY host, s, n, tactics""")
 def chains_by_time(spark, d):
-    """Windows of an hour in which a user has three kinds of events; checked against a sequential version in the tests."""
+    """Windows of an hour in which a user has three kinds of events."""
     found = ch.attack_chains(event_matches(spark, d), events_log(spark, d), security_times(spark, d), "user_id", cap=None, keep=None)
-    return found.select("host", "score", "tactic_count", "tactics", "event_count", "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
+    return found.select("host", "score", "tactic_count", F.array_join("tactics", ">").alias("tactics"), "event_count", "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
 
 
 @query("chains_without_time", "SELECT CAST(user_id AS VARCHAR) AS host, CAST(least(100, 50 + 10 * (count(DISTINCT event_type) - 1)) AS INTEGER) AS score, CAST(count(DISTINCT event_type) AS INTEGER) AS tactic_count, count(*) AS event_count, min(event_id) + 1 AS first_row, max(event_id) + 1 AS last_row FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 3")
