@@ -230,5 +230,5 @@ def repeated(docs: DataFrame, shape: Shape, first_too: bool) -> DataFrame:
     """
     n = buckets(docs)
     seeds = _marked(docs.select("doc_id", "text").mapInArrow(_seeds(shape, n), _KEYS_DDL), first_too)
-    near = docs.join(seeds, "doc_id").drop(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    near = docs.join(seeds, "doc_id")  # with all columns, as the caller joins marks to the same rows: they are dealt out once
     return _marked(near.mapInArrow(_windows(shape, n), _KEYS_DDL), first_too)
