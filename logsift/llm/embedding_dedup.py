@@ -11,7 +11,7 @@ from logsift.llm.common import buckets, cut, mix, table
 from logsift.llm.components import components
 
 
-def choose_pivots(reps: DataFrame, n: int, candidates: int, apart: float) -> np.ndarray:
+def choose_pivots(reps: DataFrame, n: int, candidates: int, apart: float) -> dict[int, np.ndarray]:
     """At most ``n`` reference vectors a dimension from a hash sample of ``candidates`` vectors, no two of them alike.
 
     Leader selection: a candidate is taken unless its cosine to a pivot is over ``apart``, so a large group of

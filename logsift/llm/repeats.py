@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import buckets, flushes, grams, pieces, ranges, texts, winnow, word_spans
+from logsift.llm.common import buckets, flushes, grams, ranges, winnow, word_spans
 
 BLOCK, SEED, WINDOW, DONE = 0, 1, 2, 3
 LATER, SHARED, SEEDED = 0, 1, 2

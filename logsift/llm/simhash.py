@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
