@@ -1,0 +1,157 @@
+"""Near-dedup by the Jaccard similarity of word shingles: MinHash bands for candidates, exact sets for links."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logsift.llm.common import LOWER, MULT, Flush, cut, flushes, grams, mix, ranges, texts, word_spans
+from logsift.llm.components import components
+
+#: Bands of rows: a pair of similarity 0.8 shares one of them with a chance of 1 - (1 - 0.8**6)**24, or 0.9993.
+BANDS, ROWS = 24, 6
+#: Lists of up to this many sets have all their pairs verified; longer ones meet one leader a round.
+WHOLE = 64
+
+
+def _shingles(flush: Flush, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all rows, sorted within each row, and for each row (and one past) its first one's number.
+
+    A row of fewer words than ``shingle`` has one shingle of all its words.
+    """
+    starts, ends, first = word_spans(flush)
+    word = ranges(LOWER[flush.bytes], starts, ends)
+    out, ok = grams(word, shingle, first)
+    count = np.diff(first)
+    for r in np.flatnonzero((count > 0) & (count < shingle)):
+        a, b = first[r], first[r + 1]
+        acc = np.array([b - a], np.uint64)
+        for x in word[a:b]:
+            acc = mix(acc * MULT + x)
+        out[a], ok[a] = acc[0], True
+    h, row = out[ok], np.repeat(np.arange(flush.n), count)[ok]
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[fresh], np.searchsorted(row[fresh], np.arange(flush.n + 1))
+
+
+def _names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's set; that of the empty set is 0."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ MULT), dtype=np.uint64)])
+    n = np.diff(first).astype(np.uint64)
+    return np.where(n > 0, mix(sums[first[1:]] - sums[first[:-1]] + n * MULT), np.uint64(0))
+
+
+def _sign(shingle: int):
+    def scan(batches):
+        seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * MULT)
+        times, plus = seeds[::2] | np.uint64(1), seeds[1::2]
+        for flush in flushes(batches, most=2 << 20):
+            h, first = _shingles(flush, shingle)
+            filled = np.flatnonzero(np.diff(first))
+            keys = np.zeros((len(filled), BANDS), np.uint64)
+            value = np.empty_like(h)
+            for k in range(BANDS * ROWS if len(filled) else 0):
+                np.multiply(h, times[k], out=value)
+                np.add(value, plus[k], out=value)
+                least = np.minimum.reduceat(value, first[filled])
+                band = k // ROWS
+                keys[:, band] = mix(keys[:, band] * MULT + least + np.uint64(band + 1))
+            offsets = np.concatenate([[0], np.cumsum(np.diff(first) > 0) * BANDS]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([flush.rows.column(0), pa.array(_names(h, first).view(np.int64)), listed], names=["doc_id", "sig", "keys"])
+
+    return scan
+
+
+def _sets(shingle: int):
+    def scan(batches):
+        for flush in flushes(batches, most=2 << 20):
+            h, first = _shingles(flush, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(_names(h, first).view(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["sig", "held"])
+
+    return scan
+
+
+def _alike(least: float):
+    """The pairs (a, b) of sets whose Jaccard similarity is ``least`` or more."""
+
+    def scan(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) >= least * max(len(x), len(y)):
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[i] = common >= least * (len(both) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return scan
+
+
+def _candidates(now: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b) of sets in one list that aren't in one component yet.
+
+    In every list the sets meet its leader: the least one at first (so that lists agree on it), another in each
+    later turn. After the first turn all pairs of lists of up to ``WHOLE`` sets are formed, too.
+    """
+    order = F.col("sig") if turn == 0 else F.xxhash64("sig", "key", F.lit(turn))
+    lists = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "sig", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    met = now.join(lists.select("key", "n", F.col("lead.sig").alias("other"), F.col("lead.c").alias("other_c")), "key")
+    pairs = met.filter("c <> other_c").select("sig", "other")
+    if turn:
+        few = met.filter(F.col("n") <= WHOLE).select("key", "sig", "c")
+        pairs = pairs.union(few.join(few.select("key", F.col("sig").alias("other"), F.col("c").alias("other_c")), "key").filter("c < other_c").select("sig", "other"))
+    return pairs.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
+
+
+def jaccard_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id that links of Jaccard similarity ``least`` or more reach.
+
+    Method: documents of one set of shingles are one node. ``BANDS`` MinHash keys of ``ROWS`` values give lists of
+    candidates, and a candidate pair is a link only if the exact sets say so. A list isn't compared pair by pair at
+    once: its sets meet one leader, links are joined to components, and only sets that are still in different
+    components meet again, until a turn finds no link. So a large group of near copies costs a pair a copy and list.
+
+    Defined cases: as in ``simhash_groups``, but rows without doc_id are left out.
+    """
+    docs = docs.filter("doc_id is not null")
+    source = texts(docs)
+    marked = cut(source.mapInArrow(_sign(shingle), "doc_id long, sig long, keys array<long>"))
+    nodes = marked.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    entries = nodes.select("sig", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    lists = cut(entries.join(shared, "key").select("sig", "key"))
+    wanted = nodes.select("sig", "first_id").join(lists.select("sig"), "sig", "left_semi").select(F.col("first_id").alias("doc_id"))
+    held = source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "sig long, held binary")
+    held = cut(held.groupBy("sig").agg(F.first("held").alias("held")))
+    links = groups = tested = None
+    turn = 0
+    while True:
+        now = lists.withColumn("c", F.col("sig"))
+        if groups is not None:
+            now = lists.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "key", F.coalesce("component", "sig").alias("c"))
+        pairs = _candidates(now, turn)
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        if pairs.isEmpty():
+            break
+        both = pairs.join(held.select(F.col("sig").alias("b"), F.col("held").alias("y")), "b").join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")), "a")
+        found = cut(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
+        # the first turn has leaders only: the second decides whether there is more to find
+        if found.isEmpty() and turn:
+            break
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        groups = components(links, "a", "b")
+        turn += 1
+    told = marked.select("doc_id", "sig")
+    if groups is None:
+        groups = nodes.select(F.col("sig").alias("node"), F.col("sig").alias("component")).limit(0)
+    named = nodes.select("sig", "first_id").join(groups, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("component"), "first_id")
+    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return told.join(named.join(smallest, "component").select("sig", "component_id"), "sig").select("doc_id", "component_id")
