@@ -118,17 +118,21 @@ def off_hours(df: DataFrame, row_time: DataFrame, least_rows: int = 50, below_sh
     return found.orderBy("row_num").limit(cap) if cap else found
 
 
-def scan_anomalies(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role], row_time: DataFrame | None = None, ignored: DataFrame | None = None, cap: int | None = 200_000) -> DataFrame:
-    """row_num, category, score, reason, column_name of all findings; profile findings come first under the cap."""
+def scan_anomalies(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role], row_time: DataFrame | None = None, ignored: DataFrame | None = None, cap: int | None = 200_000, profile_caps: tuple[int | None, int | None, int | None] = (2000, 2000, 3000)) -> DataFrame:
+    """row_num, category, score, reason, column_name of all findings; profile findings come first under the cap.
+
+    ``profile_caps``: those of ``rare_process``, ``rare_user_host`` and ``off_hours``; ``cap`` None lifts them too.
+    """
+    of_process, of_pair, of_hours = profile_caps if cap else (None, None, None)
     rows = suppress(df, ignored)
     names = {m.name: m.original for m in meta}
     profile = []
     if "process_name" in roles:
-        profile.append(rare_process(rows, roles["process_name"].column, names[roles["process_name"].column]))
+        profile.append(rare_process(rows, roles["process_name"].column, names[roles["process_name"].column], cap=of_process))
     if "user" in roles and "host" in roles:
-        profile.append(rare_user_host(rows, roles["user"].column, roles["host"].column))
+        profile.append(rare_user_host(rows, roles["user"].column, roles["host"].column, cap=of_pair))
     if row_time is not None:
-        profile.append(off_hours(rows, row_time))
+        profile.append(off_hours(rows, row_time, cap=of_hours))
     found = cell_findings(rows, meta, roles).withColumn("_late", F.lit(1))
     for p in profile:
         found = found.unionByName(p.withColumn("_late", F.lit(0)))

@@ -135,8 +135,8 @@ def timeline_table(matches: DataFrame, df: DataFrame, meta: list[ColumnMeta], ro
     return out.orderBy(F.col("epoch_ms").asc_nulls_last(), "row_num", "tactic_id", "technique_id", "keyword")
 
 
-def attack_story(chains: DataFrame, matches: DataFrame, df: DataFrame, host: str | None, row_time: DataFrame | None, most: int = 500) -> DataFrame:
-    """A summary line for each chain (seq 0), then at most ``most`` of its events in order.
+def attack_story(chains: DataFrame, matches: DataFrame, df: DataFrame, host: str | None, row_time: DataFrame | None, most: int | None = 500) -> DataFrame:
+    """A summary line for each chain (seq 0), then at most ``most`` of its events in order (None: all).
 
     Chains and matches meet on the host, then by time (or row) range; chains are few and broadcast.
     """
@@ -147,7 +147,8 @@ def attack_story(chains: DataFrame, matches: DataFrame, df: DataFrame, host: str
     timed = F.when(F.col("first_epoch_ms").isNotNull(), F.col("epoch_ms").between(F.col("first_epoch_ms"), F.col("last_epoch_ms"))).otherwise(F.col("row_num").between(F.col("first_row"), F.col("last_row")))
     inside = rows.join(c, F.col("_host").eqNullSafe(F.col("_h")) & timed)
     order = [F.col("epoch_ms").asc_nulls_last(), "row_num", "tactic_id", "technique_id", "keyword"]
-    events = inside.withColumn("seq", F.row_number().over(W.partitionBy("chain_id").orderBy(*order))).filter(F.col("seq") <= most)
+    events = inside.withColumn("seq", F.row_number().over(W.partitionBy("chain_id").orderBy(*order)))
+    events = events.filter(F.col("seq") <= most) if most else events
     line = F.concat(F.coalesce("host", F.lit("(no host)")), F.lit(": "), F.array_join("tactics", " > "), F.lit(", score "), F.col("score").cast("string"), F.lit(", "), F.col("event_count").cast("string"), F.lit(" events"))
     head = chains.select("chain_id", F.lit(0).alias("seq"), "first_row", line.alias("story"))
     told = events.select("chain_id", "seq", F.col("row_num").alias("first_row"), F.concat_ws(" ", "utc_text", "tactic_id", "technique_id", "technique_name", "keyword").alias("story"))

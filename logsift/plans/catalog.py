@@ -645,7 +645,7 @@ def report_attack_story(spark, d):
     log, matches = events_log(spark, d), event_matches(spark, d)
     # every user's chain is told, not only the 200 best: the number is the user's
     chains = ch.attack_chains(matches, log, None, "user_id", cap=None, keep=None).withColumn("chain_id", F.col("host").cast("int"))
-    story = rollups.attack_story(chains, matches, log, "user_id", None)
+    story = rollups.attack_story(chains, matches, log, "user_id", None, most=None)
     return story.select("row_num", F.when(F.col("seq") == 0, "chain").otherwise("event").alias("line"))
 
 

@@ -197,6 +197,21 @@ def test_cell_anomalies(spark):
     assert bits == pytest.approx(-sum(p * math.log2(p) for p in (0.5, 0.25, 0.25)))
 
 
+def test_no_cap_lifts_those_of_profiles_and_stories(spark):
+    night = spark.range(1, 40_001).selectExpr("id AS row_num", "CASE WHEN id <= 3500 THEN 'p' || id ELSE 'common' END AS process", "CASE WHEN id <= 10000 THEN 'u' || (id % 1000) ELSE 'alice' END AS account", "'h' || CASE WHEN id <= 10000 THEN id ELSE 0 END AS host")
+    meta = [ColumnMeta(n, n) for n in ("process", "account", "host")]
+    told = {"process_name": Role("process", status="confirmed"), "user": Role("account"), "host": Role("host")}
+    times_ = night.selectExpr("row_num", "cast(CASE WHEN row_num <= 4500 THEN 1 ELSE 8 END * 3600000 AS bigint) AS epoch_ms", "'t' AS utc_text")
+    count = lambda **how: {r["category"]: r["findings"] for r in anomalies.anomaly_summary(anomalies.scan_anomalies(night, meta, told, times_, **how)).collect()}
+    assert count(cap=None) == {"rare_process": 3500, "rare_user_host": 10_000, "off_hours": 4500}
+    assert count() == {"rare_process": 2000, "rare_user_host": 2000, "off_hours": 3000}
+    matches = spark.range(1, 1201).selectExpr("id AS row_num", "'t' || id % 3 AS tactic_id", "'n' AS tactic_name", "'k' || id % 3 AS technique_id", "'n' AS technique_name", "'w' AS keyword", "40 AS score")
+    df = spark.range(1, 1201).selectExpr("id AS row_num", "'H' AS host")
+    found = chains.attack_chains(matches, df, None, "host")
+    assert rollups.attack_story(found, matches, df, "host", None, most=None).count() == 1201
+    assert rollups.attack_story(found, matches, df, "host", None).count() == 501
+
+
 def test_rare_and_off_hours(spark):
     rows = [("svchost.exe", "alice", "WS-1")] * 120 + [("xyzdumper.exe", "alice", "DC-9")] + [("QualysAgent.exe", "alice", "DC-9")] * 6
     df, meta = log(spark, ["Process", "Account", "Host"], rows)
