@@ -27,12 +27,12 @@ def choose_pivots(reps: DataFrame, n: int, candidates: int, apart: float) -> dic
     return {k: np.stack(v) for k, v in by_size.items()}
 
 
-def _keys(order: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """A key for each pair of a vector's nearest pivots, with its label: two vectors have a key in common if they share two pivots."""
+def _keys(order: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
+    """A key for each pair of a vector's nearest pivots, with its label and length: two vectors have a key in common if they share two pivots."""
     near = np.sort(order, axis=1).astype(np.uint64)
     i, j = np.triu_indices(near.shape[1], 1)
     pair = near[:, i] << np.uint64(32) | near[:, j]
-    return mix(pair ^ mix(label.astype(np.int64).view(np.uint64))[:, None])
+    return mix(pair ^ mix(mix(label.astype(np.int64).view(np.uint64)) + np.uint64(size))[:, None])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def _index(told, near: int, n: int):
                 else:
                     m = min(near, len(far))
                     order = np.argpartition(-(x @ far.T), m - 1, axis=1)[:, :m] if m < len(far) else np.tile(np.arange(m), (len(k), 1))
-                    key = _keys(order, label[k]) if m > 1 else mix(label[k].view(np.uint64) + np.uint64(size))[:, None]
+                    key = _keys(order, label[k], size) if m > 1 else mix(label[k].view(np.uint64) + np.uint64(size))[:, None]
                 width = key.shape[1]
                 flat_key = key.reshape(-1)
                 to = ((flat_key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)

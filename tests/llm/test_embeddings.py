@@ -80,6 +80,18 @@ def test_edges(spark):
     assert embedding_dedup(empty).count() == 0
 
 
+def test_lengths_of_several_pivots_under_one_label_are_apart(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in (4, 6):
+        for _ in range(60):
+            c = rng.normal(size=size)
+            rows += [(len(rows) + k, [float(np.float32(x)) for x in c + rng.normal(size=size) * 0.02], 1) for k in (1, 2)]
+    expected, got = plain(rows), found(spark, rows)
+    assert all(got[i][0] <= expected[i][0] for i in got)
+    assert sum(v[0] for v in got.values()) >= 0.9 * sum(v[0] for v in expected.values()) > 0
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "x long, y long"), "x", "y").collect()}
