@@ -25,10 +25,11 @@ class TriageResult:
     steps: list[tuple[str, str, str]] = field(default_factory=list)
 
 
-def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | None = None, ignore: list | None = None, decided: dict | None = None, row_time: DataFrame | None = None, matches: DataFrame | None = None) -> TriageResult:
+def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | None = None, ignore: list | None = None, decided: dict | None = None, row_time: DataFrame | None = None, matches: DataFrame | None = None, cap: int | None = 200_000, sample_rows: int | None = 500) -> TriageResult:
     """Roles, times (where no answer is needed), ignored rows, matches and chains, anomalies, activity.
 
     Each step is recorded as ran, reused, skipped or failed; a failed step doesn't stop the others. What is given is reused.
+    ``cap`` bounds the events of chains and the anomalies, ``sample_rows`` the rows that roles are judged from; None lifts them.
     """
     out = TriageResult(meta, dict(decided or {}))
 
@@ -55,15 +56,15 @@ def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | No
 
     def linked():
         host = out.roles["host"].column if "host" in out.roles else None
-        return chains.attack_chains(out.matches, df, out.row_time, host), "by time" if out.row_time is not None else "without times"
+        return chains.attack_chains(out.matches, df, out.row_time, host, cap=cap), "by time" if out.row_time is not None else "without times"
 
-    found = step("roles", lambda: (roles.detect_roles(df, meta, out.roles), ""))
+    found = step("roles", lambda: (roles.detect_roles(df, meta, out.roles, sample_rows), ""))
     out.roles = found if found is not None else out.roles
     out.row_time = step("times", times, row_time)
     out.ignored = step("ignored", lambda: (rules.ignored_rows(df, ignore if ignore is not None else rules.load_rules(), meta, out.roles), ""))
     out.matches = step("matches", lambda: (matching.scan(df, library or matching.load_library(), meta, out.roles, out.ignored), ""), matches)
     out.chains = step("chains", lambda: linked() if out.matches is not None else (None, "no matches"))
-    out.anomalies = step("anomalies", lambda: (anomalies.scan_anomalies(df, meta, out.roles, out.row_time, out.ignored), ""))
+    out.anomalies = step("anomalies", lambda: (anomalies.scan_anomalies(df, meta, out.roles, out.row_time, out.ignored, cap), ""))
     out.activity = step("activity", lambda: (activity.classify_activity(df, meta, out.roles, out.ignored), ""))
     return out
 

@@ -688,6 +688,6 @@ def dataset_profile(spark, d):
 def triage_findings(spark, d):
     """The whole triage of the security log, told in lines."""
     log = security(spark, d)
-    found = triage.triage(log, META, decided=ROLES, row_time=security_times(spark, d))
+    found = triage.triage(log, META, decided=ROLES, row_time=security_times(spark, d), cap=None, sample_rows=None)
     lines = triage.narrative(found)
     return log.agg(F.count(F.lit(1)).alias("table_rows")).select("table_rows", F.explode(F.from_json(F.lit(json.dumps([{"section": s, "line": x, "rows": r} for s, x, r in lines])), "array<struct<section:string,line:string,rows:array<long>>>")).alias("x")).select("table_rows", "x.*")

@@ -169,6 +169,19 @@ def test_chains_without_time(spark):
     assert [(r["seq"], r["row_num"]) for r in story] == [(0, 1), (1, 1), (2, 2), (3, 3)]
 
 
+def test_triage_without_caps_uses_all_rows(spark):
+    df = spark.range(1, 2601).selectExpr("id AS row_num", "CASE WHEN id <= 2500 THEN 'p' || id ELSE 'common' END AS process", "'h' AS host", "CASE WHEN id > 600 THEN '10.0.0.' || id % 200 END AS address")
+    meta = [ColumnMeta(n, n) for n in ("process", "host", "address")]
+    told = {"process_name": Role("process", status="confirmed"), "host": Role("host", status="confirmed")}
+    matches = spark.range(1, 2601).selectExpr("id AS row_num", "CASE WHEN id > 2590 THEN 't' || id % 3 ELSE 't' END AS tactic_id", "'n' AS tactic_name", "'k' AS technique_id", "'n' AS technique_name", "'w' AS keyword", "40 AS score")
+    run = lambda **how: triage.triage(df, meta, decided=told, matches=matches, **how)
+    whole, part = run(cap=None, sample_rows=None), run(cap=2500)
+    assert whole.anomalies.filter("category = 'rare_process'").count() == 2500
+    assert part.anomalies.filter("category = 'rare_process'").count() == 2000
+    assert (whole.chains.count(), part.chains.count()) == (1, 0)
+    assert whole.roles.get("ip") is not None and part.roles.get("ip") is None
+
+
 def test_activity(spark):
     label = lambda df, meta, told={}: [r["category"] for r in activity.classify_activity(df, meta, told).orderBy("row_num").collect()]  # noqa: E731, B006
     assert label(*log(spark, ["EventID", "Message"], [(i, "") for i in ("4624", "4720", "4688.0", "5145", "4698", "9999")])) == ["authentication", "account_management", "process", "file", "scheduled_task", "other"]
