@@ -1,7 +1,10 @@
-"""SimHash near-dedup with covering locality-sensitive hashing."""
+"""SimHash near-dedup with covering locality-sensitive hashing.
 
-from __future__ import annotations
+``simhash_groups`` links fingerprints by their differing bits; ``near_groups`` takes its candidates from covering
+tables over several fingerprints and links documents by the exact similarity of their shingles.
+"""
 
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, buckets, cut, flushes, mix, table, texts, word_spans
+from logsift.llm.common import LOWER, MULT, buckets, cut, flushes, grams, mix, ranges, table, texts, word_spans
 from logsift.llm.components import components
 
 SEED = 42
@@ -149,6 +152,268 @@ def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, carry: tu
     return marked.join(told, "fingerprint").select("doc_id", *carry, "fingerprint", "component_id")
 
 
+#: The pipeline's stage: so many fingerprints a document, each with covering tables of this radius.
+PARTS, PART_RADIUS = 8, 2
+#: Candidates differ in at most this many bits of two further fingerprints; unrelated texts differ in about 60 of 128.
+FAR = 24
+#: Lists are compared whole up to this size and in blocks of it beyond.
+_BLOCK = 512
+#: Lists of more entries than this in one batch of a task are thinned out before the exchange.
+_LOCAL = 32
+
+
+def _sets(flush, word: np.ndarray, first: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingle hashes of all rows, sorted within each row, and each row's first (and one past).
+
+    A row of fewer words than ``shingle`` has one shingle of all its words.
+    """
+    h, ok = grams(word, shingle, first)
+    count = np.diff(first)
+    for r in np.flatnonzero((count > 0) & (count < shingle)):
+        a, b = first[r], first[r + 1]
+        acc = np.array([b - a], np.uint64)
+        for x in word[a:b]:
+            acc = mix(acc * MULT + x)
+        h[a], ok[a] = acc[0], True
+    h, row = h[ok], np.repeat(np.arange(flush.n), count)[ok]
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[fresh], np.searchsorted(row[fresh], np.arange(flush.n + 1))
+
+
+def _names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's set; that of the empty set is 0."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ MULT), dtype=np.uint64)])
+    n = np.diff(first).astype(np.uint64)
+    return np.where(n > 0, mix(sums[first[1:]] - sums[first[:-1]] + n * MULT), np.uint64(0))
+
+
+def _wide(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """One fingerprint for each odd seed of hashes that are mixed already."""
+    total = np.zeros(64 * len(seeds), np.int64)
+    for i in range(0, len(h), 255):
+        g = h[i : i + 255, None] * seeds
+        g ^= g >> np.uint64(32)
+        bits = np.unpackbits(g.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        total += bits.sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def _signed(shingle: int):
+    """Name of the set of shingles, and fingerprints of words and word pairs, of each row."""
+
+    def scan(batches):
+        seeds = mix(np.arange(1, PARTS + 1, dtype=np.uint64) * MULT) | np.uint64(1)
+        for flush in flushes(batches, most=2 << 20):
+            starts, ends, first = word_spans(flush)
+            word = ranges(LOWER[flush.bytes], starts, ends)
+            pair, ok = grams(word, 2, first)
+            h, at = _sets(flush, word, first, shingle)
+            out = np.zeros((flush.n, PARTS), np.uint64)
+            for r in np.flatnonzero(np.diff(first)):
+                a, b = first[r], first[r + 1]
+                out[r] = _wide(np.concatenate([word[a:b], pair[a:b][ok[a:b]]]), seeds)
+            words = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1).view(np.int64)), PARTS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([flush.rows.column(0), flush.rows.column(2), pa.array(_names(h, at).view(np.int64)), words], names=["doc_id", "text_hash", "sig", "words"])
+
+    return scan
+
+
+def _held(shingle: int):
+    """(sig, held): the sorted shingle hashes of each row."""
+
+    def scan(batches):
+        for flush in flushes(batches, most=2 << 20):
+            starts, ends, first = word_spans(flush)
+            h, at = _sets(flush, ranges(LOWER[flush.bytes], starts, ends), first, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(_names(h, at).view(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["sig", "held"])
+
+    return scan
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the last axis' words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _block(sig, group, check, nearest: int) -> tuple[list, int]:
+    """Candidate pairs of one block, and its medoid: entries meet their ``nearest`` ones of other groups, and the medoid.
+
+    The medoid is the entry that most others are near to: the original of a group of near copies rather than a copy.
+    """
+    far = _apart(check[:, None], check[None])
+    medoid = int((far <= FAR).sum(axis=1).argmax())
+    far[group[:, None] == group[None]] = 1 << 20
+    m = np.flatnonzero(far[medoid] <= FAR)
+    if nearest < len(sig) - 1:
+        least = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
+        own, least = np.repeat(np.arange(len(sig)), nearest), least.reshape(-1)
+        k = far[own, least] <= FAR
+        x, y = own[k], least[k]
+    else:
+        x, y = np.nonzero(far <= FAR)
+    return [(sig[x], sig[y]), (sig[m], np.full(len(m), sig[medoid]))], medoid
+
+
+def _compared(key, sig, group, check, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (a, b) of entries that share a key, and which entries may be left out of a further exchange.
+
+    Lists of over ``_BLOCK`` entries are sorted by a fingerprint (another each turn) and compared in blocks whose
+    medoids then meet one another. Left out are entries of long lists that are near their block's medoid.
+    """
+    order = np.lexsort((check[:, turn % 2] if turn < 2 else mix(check[:, 0] + np.uint64(turn)), key))
+    key, sig, group, check = key[order], sig[order], group[order], check[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(key)))
+    told = []
+    two = head[size == 2]
+    k = (group[two] != group[two + 1]) & (_apart(check[two], check[two + 1]) <= FAR)
+    told.append((sig[two[k]], sig[two[k] + 1]))
+    out = np.zeros(len(key), bool)
+    for a, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
+        own = np.arange(a, a + n)
+        while len(own) > 1:
+            leaders = []
+            for i in range(0, len(own), _BLOCK):
+                x = own[i : i + _BLOCK]
+                pairs, medoid = _block(sig[x], group[x], check[x], 4**turn)
+                told += pairs
+                leaders.append(x[medoid])
+                if n > _LOCAL:
+                    near = x[_apart(check[x], check[x[medoid]]) <= FAR]
+                    out[near[near != x[medoid]]] = True
+            own = np.array(leaders)
+    left = np.zeros(len(key), bool)
+    left[order] = out
+    a, b = (np.concatenate(x) for x in zip(*told))
+    least, most = np.minimum(a, b), np.maximum(a, b)
+    both = np.unique(np.stack([least, most], axis=1), axis=0)
+    return both[:, 0], both[:, 1], left
+
+
+_ENTRY = "bucket int, key long, sig long, grp long, check0 long, check1 long, other long"
+
+
+def _dealt(n: int, turn: int):
+    """Entries of all tables for (sig, words, grp); long lists of a batch are compared and thinned out here."""
+
+    def scan(batches):
+        masks = np.array(covering_masks(PART_RADIUS), np.uint64)
+        for batch in batches:
+            sig, group = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2))
+            words = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, PARTS)
+            for part in range(PARTS if len(sig) else 0):
+                check = words[:, [(part + 1) % PARTS, (part + 2) % PARTS]]
+                for i, mask in enumerate(masks):
+                    key = mix((words[:, part] & mask) ^ mix(np.array([part * len(masks) + i + 1], np.uint64)))
+                    order = np.argsort(key, kind="stable")
+                    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+                    size = np.diff(np.append(at, len(key)))
+                    keep = np.ones(len(key), bool)
+                    if len(crowd := np.flatnonzero(np.repeat(size > _LOCAL, size))):
+                        x = order[crowd]
+                        a, b, left = _compared(key[x], sig[x], group[x], check[x], turn)
+                        keep[x[left]] = False
+                        yield _entries(n, a.view(np.uint64) ^ b.view(np.uint64), a, a, np.zeros((len(a), 2), np.uint64), b)
+                    yield _entries(n, key[keep], sig[keep], group[keep], check[keep], None)
+
+    return scan
+
+
+def _entries(n: int, key, sig, group, check, other) -> pa.RecordBatch:
+    to = ((mix(key) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+    others = pa.nulls(len(sig), pa.int64()) if other is None else pa.array(other)
+    longs = (key.view(np.int64), sig, group, check[:, 0].view(np.int64), check[:, 1].view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(to), *[pa.array(np.ascontiguousarray(x)) for x in longs], others], names=["bucket", "key", "sig", "grp", "check0", "check1", "other"])
+
+
+def _candidates(turn: int):
+    def reduce(rows: pa.Table) -> pa.Table:
+        told = rows.filter(rows.column("other").is_valid())
+        rows = rows.filter(rows.column("other").is_null())
+        key, check0, check1 = (rows.column(c).to_numpy().view(np.uint64) for c in ("key", "check0", "check1"))
+        a, b, _ = _compared(key, rows.column("sig").to_numpy(), rows.column("grp").to_numpy(), np.stack([check0, check1], axis=1), turn)
+        return pa.table({"a": pa.chunked_array([*told.column("sig").chunks, pa.array(a)], pa.int64()), "b": pa.chunked_array([*told.column("other").chunks, pa.array(b)], pa.int64())})
+
+    return reduce
+
+
+def _alike(least: float):
+    """Which of the pairs (a, b, x, y) of sets have a Jaccard similarity of ``least`` or more."""
+
+    def scan(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) >= least * max(len(x), len(y)):
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[i] = common >= least * (len(both) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return scan
+
+
+def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, text_hash, copies, component_id, kept): groups of documents by links of similarity ``least`` or more.
+
+    Method: a document has ``PARTS`` SimHash fingerprints of its words and word pairs. Covering masks give each of
+    them the tables in which all pairs within ``PART_RADIUS`` bits collide, so that any two documents within
+    ``PARTS * (PART_RADIUS + 1) - 1`` of all bits meet in some table; most that are further apart meet as well.
+    Candidates also have to be near in two further fingerprints, and a pair is a link only if the exact sets of
+    ``shingle``-word shingles have a Jaccard similarity of ``least`` or more. Documents of one set are one node.
+
+    A list isn't compared pair by pair at once: its entries meet their nearest one and its medoid. Links are joined
+    to components, and what is still apart meets again, four times as many nearest ones each turn, until a turn
+    finds no link. Tasks thin out the long lists of
+    their own rows first, so a large group of near copies sends a few entries a batch.
+
+    ``text_hash`` tells apart different texts of one doc_id; ``kept`` marks the least (doc_id, text_hash) of its group.
+
+    Defined cases: white space splits words, A-Z are folded; a text of fewer words than ``shingle`` is one shingle;
+    null and empty texts are one group; rows without doc_id are left out; rows that repeat a doc_id and its text
+    give one row that counts its copies; an empty table gives an empty result; other columns are ignored.
+    """
+    n = buckets(docs)
+    source = texts(docs).filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    marked = source.mapInArrow(_signed(shingle), "doc_id long, text_hash long, sig long, words array<long>")
+    marked = cut(marked.groupBy("doc_id", "text_hash").agg(F.min("sig").alias("sig"), F.min("words").alias("words"), F.count(F.lit(1)).alias("copies")))
+    nodes = cut(marked.groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("words").alias("words")))
+    live = nodes.select("sig", "words", F.col("sig").alias("grp"))
+    held = links = groups = tested = None
+    turn = 0
+    while True:
+        pairs = live.mapInArrow(_dealt(n, turn), _ENTRY).groupBy("bucket").applyInArrow(_candidates(turn), "a long, b long").distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        if pairs.isEmpty():
+            break
+        if held is None:  # no other set can become a candidate later: every entry has met its nearest
+            near = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+            near = cut(nodes.join(near, "sig", "left_semi"))
+            wanted = near.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+            own = source.join(wanted, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").mapInArrow(_held(shingle), "sig long, held binary")
+            held = cut(own.groupBy("sig").agg(F.min("held").alias("held")))
+        both = pairs.join(held.select(F.col("sig").alias("b"), F.col("held").alias("y")), "b").join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")), "a")
+        found = cut(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
+        if found.isEmpty() and turn:
+            break
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        groups = components(links, "a", "b")
+        live = near.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "words", F.coalesce("component", "sig").alias("grp"))
+        turn += 1
+    if groups is None:
+        groups = nodes.select(F.col("sig").alias("node"), F.col("sig").alias("component")).limit(0)
+    named = nodes.select("sig", "first").join(groups, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("component"), "first")
+    winner = named.groupBy("component").agg(F.min("first").alias("least"))
+    told = named.join(winner, "component").select("sig", "least")
+    kept = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return marked.drop("words").join(told, "sig").select("doc_id", "text_hash", "copies", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: fingerprint and component of every document."""
     out = simhash_groups(table(spark, sf_dir, "documents"))
