@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.llm.common import LOWER, MULT, buckets, cut, flushes, grams, mix, ranges, table, texts, word_spans
@@ -154,8 +155,11 @@ def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, carry: tu
 
 #: The pipeline's stage: so many fingerprints a document, each with covering tables of this radius.
 PARTS, PART_RADIUS = 8, 2
-#: Candidates differ in at most this many bits of two further fingerprints; unrelated texts differ in about 60 of 128.
-FAR = 24
+#: Candidates differ in at most this many bits of two fingerprints of their shingle sets. At a similarity of 0.8 about
+#: 20 of the 128 bits differ (a standard deviation of 4), at 0.5 about 34 and in unrelated texts 64.
+CHECKS, FAR = 2, 34
+#: A document is compared with so many others each turn, at most.
+NEAR = 8
 #: Lists are compared whole up to this size and in blocks of it beyond.
 _BLOCK = 512
 #: Lists of more entries than this in one batch of a task are thinned out before the exchange.
@@ -202,20 +206,21 @@ def _wide(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def _signed(shingle: int):
-    """Name of the set of shingles, and fingerprints of words and word pairs, of each row."""
+    """Of each row the name of its set of shingles, ``PARTS`` fingerprints of words and word pairs and ``CHECKS`` of shingles."""
 
     def scan(batches):
-        seeds = mix(np.arange(1, PARTS + 1, dtype=np.uint64) * MULT) | np.uint64(1)
+        seeds = mix(np.arange(1, PARTS + CHECKS + 1, dtype=np.uint64) * MULT) | np.uint64(1)
         for flush in flushes(batches, most=2 << 20):
             starts, ends, first = word_spans(flush)
             word = ranges(LOWER[flush.bytes], starts, ends)
             pair, ok = grams(word, 2, first)
             h, at = _sets(flush, word, first, shingle)
-            out = np.zeros((flush.n, PARTS), np.uint64)
+            out = np.zeros((flush.n, PARTS + CHECKS), np.uint64)
             for r in np.flatnonzero(np.diff(first)):
                 a, b = first[r], first[r + 1]
-                out[r] = _wide(np.concatenate([word[a:b], pair[a:b][ok[a:b]]]), seeds)
-            words = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1).view(np.int64)), PARTS).cast(pa.list_(pa.int64()))
+                out[r, :PARTS] = _wide(np.concatenate([word[a:b], pair[a:b][ok[a:b]]]), seeds[:PARTS])
+                out[r, PARTS:] = _wide(h[at[r] : at[r + 1]], seeds[PARTS:])
+            words = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1).view(np.int64)), PARTS + CHECKS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([flush.rows.column(0), flush.rows.column(2), pa.array(_names(h, at).view(np.int64)), words], names=["doc_id", "text_hash", "sig", "words"])
 
     return scan
@@ -239,9 +244,10 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _block(sig, group, check, nearest: int) -> tuple[list, int]:
-    """Candidate pairs of one block, and its medoid: entries meet their ``nearest`` ones of other groups, and the medoid.
+    """Proposals (a, b, bits apart) of one block, and its medoid.
 
-    The medoid is the entry that most others are near to: the original of a group of near copies rather than a copy.
+    Every entry proposes its ``nearest`` ones of other groups, and the medoid: the entry that most others are near
+    to, which is the original of a group of near copies rather than a copy.
     """
     far = _apart(check[:, None], check[None])
     medoid = int((far <= FAR).sum(axis=1).argmax())
@@ -254,23 +260,24 @@ def _block(sig, group, check, nearest: int) -> tuple[list, int]:
         x, y = own[k], least[k]
     else:
         x, y = np.nonzero(far <= FAR)
-    return [(sig[x], sig[y]), (sig[m], np.full(len(m), sig[medoid]))], medoid
+    return [(sig[x], sig[y], far[x, y]), (sig[m], np.full(len(m), sig[medoid]), far[m, medoid])], medoid
 
 
-def _compared(key, sig, group, check, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (a, b) of entries that share a key, and which entries may be left out of a further exchange.
+def _compared(key, sig, group, check, turn: int) -> tuple[tuple, np.ndarray]:
+    """Proposals (a, b, bits apart) of entries that share a key, and which entries may be left out of a further exchange.
 
     Lists of over ``_BLOCK`` entries are sorted by a fingerprint (another each turn) and compared in blocks whose
     medoids then meet one another. Left out are entries of long lists that are near their block's medoid.
     """
-    order = np.lexsort((check[:, turn % 2] if turn < 2 else mix(check[:, 0] + np.uint64(turn)), key))
+    order = np.lexsort((check[:, turn] if turn < CHECKS else mix(check[:, 0] + np.uint64(turn)), key))
     key, sig, group, check = key[order], sig[order], group[order], check[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(key)))
-    told = []
     two = head[size == 2]
-    k = (group[two] != group[two + 1]) & (_apart(check[two], check[two + 1]) <= FAR)
-    told.append((sig[two[k]], sig[two[k] + 1]))
+    far = _apart(check[two], check[two + 1]) if len(two) else np.zeros(0, np.int64)
+    k = (group[two] != group[two + 1]) & (far <= FAR) if len(two) else far > 0
+    x = two[k]
+    told = [(sig[x], sig[x + 1], far[k]), (sig[x + 1], sig[x], far[k])]
     out = np.zeros(len(key), bool)
     for a, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
         own = np.arange(a, a + n)
@@ -278,7 +285,7 @@ def _compared(key, sig, group, check, turn: int) -> tuple[np.ndarray, np.ndarray
             leaders = []
             for i in range(0, len(own), _BLOCK):
                 x = own[i : i + _BLOCK]
-                pairs, medoid = _block(sig[x], group[x], check[x], 4**turn)
+                pairs, medoid = _block(sig[x], group[x], check[x], min(4**turn, 64))
                 told += pairs
                 leaders.append(x[medoid])
                 if n > _LOCAL:
@@ -287,25 +294,30 @@ def _compared(key, sig, group, check, turn: int) -> tuple[np.ndarray, np.ndarray
             own = np.array(leaders)
     left = np.zeros(len(key), bool)
     left[order] = out
-    a, b = (np.concatenate(x) for x in zip(*told))
-    least, most = np.minimum(a, b), np.maximum(a, b)
-    both = np.unique(np.stack([least, most], axis=1), axis=0)
-    return both[:, 0], both[:, 1], left
+    return tuple(np.concatenate(x) for x in zip(*told)), left
 
 
 _ENTRY = "bucket int, key long, sig long, grp long, check0 long, check1 long, other long"
+_NAMES = ["bucket", "key", "sig", "grp", "check0", "check1", "other"]
+
+
+def _bucket(key: np.ndarray, n: int) -> pa.Array:
+    return pa.array(((mix(key) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32))
 
 
 def _dealt(n: int, turn: int):
-    """Entries of all tables for (sig, words, grp); long lists of a batch are compared and thinned out here."""
+    """Entries of all tables for (sig, words, grp); long lists of a batch are compared and thinned out here.
+
+    A row with ``other`` is a proposal, the bits apart in ``grp``.
+    """
 
     def scan(batches):
         masks = np.array(covering_masks(PART_RADIUS), np.uint64)
         for batch in batches:
             sig, group = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2))
-            words = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, PARTS)
+            words = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, PARTS + CHECKS)
+            check = words[:, PARTS:]
             for part in range(PARTS if len(sig) else 0):
-                check = words[:, [(part + 1) % PARTS, (part + 2) % PARTS]]
                 for i, mask in enumerate(masks):
                     key = mix((words[:, part] & mask) ^ mix(np.array([part * len(masks) + i + 1], np.uint64)))
                     order = np.argsort(key, kind="stable")
@@ -314,28 +326,23 @@ def _dealt(n: int, turn: int):
                     keep = np.ones(len(key), bool)
                     if len(crowd := np.flatnonzero(np.repeat(size > _LOCAL, size))):
                         x = order[crowd]
-                        a, b, left = _compared(key[x], sig[x], group[x], check[x], turn)
+                        (a, b, far), left = _compared(key[x], sig[x], group[x], check[x], turn)
                         keep[x[left]] = False
-                        yield _entries(n, a.view(np.uint64) ^ b.view(np.uint64), a, a, np.zeros((len(a), 2), np.uint64), b)
-                    yield _entries(n, key[keep], sig[keep], group[keep], check[keep], None)
+                        none = pa.array(np.zeros(len(a), np.int64))
+                        yield pa.RecordBatch.from_arrays([_bucket(a.view(np.uint64), n), none, pa.array(a), pa.array(far), none, none, pa.array(b)], names=_NAMES)
+                    longs = (key[keep].view(np.int64), sig[keep], group[keep], *(np.ascontiguousarray(check[keep, j]).view(np.int64) for j in (0, 1)))
+                    yield pa.RecordBatch.from_arrays([_bucket(key[keep], n), *map(pa.array, longs), pa.nulls(int(keep.sum()), pa.int64())], names=_NAMES)
 
     return scan
 
 
-def _entries(n: int, key, sig, group, check, other) -> pa.RecordBatch:
-    to = ((mix(key) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
-    others = pa.nulls(len(sig), pa.int64()) if other is None else pa.array(other)
-    longs = (key.view(np.int64), sig, group, check[:, 0].view(np.int64), check[:, 1].view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(to), *[pa.array(np.ascontiguousarray(x)) for x in longs], others], names=["bucket", "key", "sig", "grp", "check0", "check1", "other"])
-
-
-def _candidates(turn: int):
+def _proposals(turn: int):
     def reduce(rows: pa.Table) -> pa.Table:
         told = rows.filter(rows.column("other").is_valid())
         rows = rows.filter(rows.column("other").is_null())
         key, check0, check1 = (rows.column(c).to_numpy().view(np.uint64) for c in ("key", "check0", "check1"))
-        a, b, _ = _compared(key, rows.column("sig").to_numpy(), rows.column("grp").to_numpy(), np.stack([check0, check1], axis=1), turn)
-        return pa.table({"a": pa.chunked_array([*told.column("sig").chunks, pa.array(a)], pa.int64()), "b": pa.chunked_array([*told.column("other").chunks, pa.array(b)], pa.int64())})
+        (a, b, far), _ = _compared(key, rows.column("sig").to_numpy(), rows.column("grp").to_numpy(), np.stack([check0, check1], axis=1), turn)
+        return pa.table({c: pa.chunked_array([*told.column(k).chunks, pa.array(x)], pa.int64()) for c, k, x in (("a", "sig", a), ("b", "other", b), ("far", "grp", far))})
 
     return reduce
 
@@ -363,12 +370,12 @@ def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     Method: a document has ``PARTS`` SimHash fingerprints of its words and word pairs. Covering masks give each of
     them the tables in which all pairs within ``PART_RADIUS`` bits collide, so that any two documents within
     ``PARTS * (PART_RADIUS + 1) - 1`` of all bits meet in some table; most that are further apart meet as well.
-    Candidates also have to be near in two further fingerprints, and a pair is a link only if the exact sets of
+    Candidates also have to be near in two fingerprints of their shingle sets, and a pair is a link only if the exact sets of
     ``shingle``-word shingles have a Jaccard similarity of ``least`` or more. Documents of one set are one node.
 
-    A list isn't compared pair by pair at once: its entries meet their nearest one and its medoid. Links are joined
-    to components, and what is still apart meets again, four times as many nearest ones each turn, until a turn
-    finds no link. Tasks thin out the long lists of
+    A list isn't compared pair by pair at once: its entries propose their nearest ones and its medoid, and of all
+    that a document proposes the ``NEAR`` nearest are compared. Links are joined to components, and what is still
+    apart proposes others, until a turn finds no link. Tasks thin out the long lists of
     their own rows first, so a large group of near copies sends a few entries a batch.
 
     ``text_hash`` tells apart different texts of one doc_id; ``kept`` marks the least (doc_id, text_hash) of its group.
@@ -386,8 +393,13 @@ def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     held = links = groups = tested = None
     turn = 0
     while True:
-        pairs = live.mapInArrow(_dealt(n, turn), _ENTRY).groupBy("bucket").applyInArrow(_candidates(turn), "a long, b long").distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        told = live.mapInArrow(_dealt(n, turn), _ENTRY).groupBy("bucket").applyInArrow(_proposals(turn), "a long, b long, far long")
+        # what one document proposes is bounded by the tables, whatever the lists hold
+        told = told.groupBy("a", "b").agg(F.min("far").alias("far"))
+        if tested is not None:
+            told = told.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
+        best = told.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("far", "b"))).filter(F.col("k") <= NEAR)
+        pairs = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if pairs.isEmpty():
             break
         if held is None:  # no other set can become a candidate later: every entry has met its nearest
