@@ -21,15 +21,16 @@ FLUSH_BYTES = 4 << 20
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset is one chosen here (a temporary folder
-    on a local master, else one beside the warehouse).
+    It is the session's ``spark.checkpoint.dir``. Only on a local master is one chosen here where that is unset, as
+    in tests; a cluster has to name a folder that all its machines see.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given:
-            local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-            given = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            given = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(given)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -75,29 +76,35 @@ def buckets(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2, round(split / (8 << 20))) * df.rdd.getNumPartitions())
 
 
+#: So many partial sums are added up at a time.
+FAN = 16
+
+
 def summed(partials: DataFrame, size: int) -> np.ndarray:
-    """The sum of the float64 arrays of ``size`` in (deal int, sums binary): one array a task, added up in two levels.
+    """The sum of the float64 arrays of ``size`` in (deal int, sums binary), one array a task (see ``dealt``).
 
-    ``dealt`` puts up to 64 arrays in a group; the groups' sums pass the driver one partition after the other.
+    Arrays are added up in groups of ``FAN``, level by level, until one is left: that one comes to the driver.
     """
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(size)
         for x in rows.column("sums"):
             total += np.frombuffer(x.as_buffer(), np.float64)
-        return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"deal": pa.array([rows.column("deal")[0].as_py() // FAN], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    total = np.zeros(size)
-    for (x,) in partials.groupBy("deal").applyInArrow(add, "sums binary").toLocalIterator():
-        total += np.frombuffer(x, np.float64)
-    return total
+    left = partials.rdd.getNumPartitions()
+    while left > 0:
+        left = -(-left // FAN) if left > 1 else 0
+        partials = partials.groupBy("deal").applyInArrow(add, "deal int, sums binary")
+    found = partials.collect()  # one row, or none of an empty table
+    return sum((np.frombuffer(x, np.float64) for _, x in found), np.zeros(size))
 
 
 def dealt(total: np.ndarray) -> pa.RecordBatch:
     """One task's array for ``summed``."""
     from pyspark import TaskContext
 
-    deal = TaskContext.get().partitionId() // 64
+    deal = TaskContext.get().partitionId() // FAN
     return pa.RecordBatch.from_arrays([pa.array([deal], pa.int32()), pa.array([np.ascontiguousarray(total, np.float64).tobytes()], pa.binary())], names=["deal", "sums"])
 
 

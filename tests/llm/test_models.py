@@ -96,12 +96,30 @@ def test_lattice_sums_all_segmentations():
     lattice = Lattice(list(pieces), np.log(list(pieces.values())))
     texts = [b"a", b"ab", b"abab", b"bbb", b"abaaba", b"ab"]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    gathered = np.zeros(len(pieces))
-    got = lattice.words(np.frombuffer(b"".join(texts), np.uint8), at, gathered, np.ones(len(texts)))
+    got = lattice.words(np.frombuffer(b"".join(texts), np.uint8), at)
     assert got == pytest.approx([math.log(_all_ways(b" " + t, pieces)) for t in texts])
     assert [lattice._one(b" " + t) for t in texts] == pytest.approx(got.tolist())
-    # the expected pieces of a word cover its bytes
-    assert gathered @ [len(p) for p in pieces] == pytest.approx(sum(len(t) + 1 for t in texts))
+
+
+def test_lm_score_is_the_sum_over_all_segmentations(spark):
+    rows = [(1, "The theory of it"), (2, "a b"), (3, None), (10, "unseen Wörter here"), (22, "of of of")]
+    pieces, logp = vocabulary(model_path())
+    weight = dict(zip(pieces, np.exp(logp)))
+    seen = collections.Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 10 for w in [*words(lower(t)), None])
+    end = (seen[None] + 0.1) / (sum(seen.values()) + 0.1 * (len(seen) + 1))
+    near = lambda text: {k: p for k, p in weight.items() if k in text}
+    for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        texts = [b" " + w.encode() for w in words(lower(dict(rows)[r["doc_id"]]))]
+        expected = math.log10(end) + sum(math.log10((1 - end) * _all_ways(t, near(t))) for t in texts)
+        assert r["score"] == pytest.approx(expected, rel=1e-9)
+
+
+def test_the_vocabularys_scores_beat_even_ones_on_english(spark):
+    # common words of a language that the vocabulary was made for
+    pieces, logp = vocabulary(model_path())
+    own = [w.encode() for w in "the people who live in this house were not at home when we came to see them after the meeting".split()]
+    data, at = np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in own])])
+    assert Lattice(pieces, logp).words(data, at).sum() > Lattice(pieces, np.full(len(pieces), -math.log(len(pieces)))).words(data, at).sum()
 
 
 def test_vocabulary_covers_every_byte():
