@@ -60,15 +60,15 @@ def _findings() -> Column:
     blob = c("longest").rlike("[A-Z]") & c("longest").rlike("[a-z]") & c("longest").rlike("[0-9]")
     staged = low.rlike("|".join(f.replace("\\", "\\\\") for f in STAGING)) & low.rlike(rf"\.(?:{'|'.join(EXECUTABLE)})")
     return F.array_compact(F.array(
-        F.when(encoded, finding("encoded_blob", 75, "encoded-command indicator in '", header, "': ", shown))
-        .when(blob, finding("encoded_blob", 70, F.char_length("longest").cast("string"), "-char base64-like blob in '", header, "': ", clip(c("longest"), 60))),
-        F.when(c("bare").isNotNull(), finding("lolbin", 45, "living-off-the-land binary '", c("bare"), "' referenced in '", header, "'")),
-        F.when(staged, finding("suspicious_path", 45, "executable content under a staging/temp path in '", header, "': ", shown)),
-        F.when(c("double").isNotNull(), finding("double_extension", 65, "double file extension '", c("double"), "' in '", header, "'")),
-        F.when(c("ip").isNotNull(), finding("ip_in_command", 35, F.when(private_ipv4(ipv4_number(c("ip"))), "private").otherwise("public"), " IP address ", c("ip"), " embedded in '", header, "'")),
-        F.when(command & (low.contains("http://") | low.contains("https://")), finding("url_in_command", 40, "URL in '", header, "': ", shown)),
-        F.when(command & (F.octet_length("cell") >= 400), finding("long_command", 30, F.octet_length("cell").cast("string"), "-char command line in '", header, "' (unusually long)")),
-        F.when(c("bits") >= 5.0, finding("high_entropy", 40, "high-entropy content (", F.format_string("%.1f", c("bits")), " bits/char) in '", header, "': ", shown)),
+        F.when(encoded, finding("encoded_blob", 75, "switch or call for an encoded command in '", header, "': ", shown))
+        .when(blob, finding("encoded_blob", 70, F.char_length("longest").cast("string"), " characters that look like base64 in '", header, "': ", clip(c("longest"), 60))),
+        F.when(c("bare").isNotNull(), finding("lolbin", 45, "often abused system program '", c("bare"), "' in '", header, "'")),
+        F.when(staged, finding("suspicious_path", 45, "program file in a folder for temporary or shared files in '", header, "': ", shown)),
+        F.when(c("double").isNotNull(), finding("double_extension", 65, "program that is named like a document '", c("double"), "' in '", header, "'")),
+        F.when(c("ip").isNotNull(), finding("ip_in_command", 35, F.when(private_ipv4(ipv4_number(c("ip"))), "private").otherwise("public"), " address ", c("ip"), " in the command of '", header, "'")),
+        F.when(command & (low.contains("http://") | low.contains("https://")), finding("url_in_command", 40, "web address in '", header, "': ", shown)),
+        F.when(command & (F.octet_length("cell") >= 400), finding("long_command", 30, F.octet_length("cell").cast("string"), " bytes of command in '", header, "'")),
+        F.when(c("bits") >= 5.0, finding("high_entropy", 40, "text close to random (", F.format_string("%.1f", c("bits")), " bits a character) in '", header, "': ", shown)),
     ))
 
 
@@ -93,7 +93,7 @@ def rare_process(df: DataFrame, column: str, header: str, least_rows: int = 100,
     rows = df.select("row_num", trim(text(f"`{column}`")).alias("v")).filter("v <> ''")
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_seen)
     enough = df.agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least_rows)
-    found = rows.join(counts, "v").join(F.broadcast(enough)).select("row_num", F.lit("rare_process").alias("category"), F.lit(30).alias("score"), clip(F.concat(F.lit("process '"), clip(F.col("v"), 60), F.lit("' appears on only "), F.col("n").cast("string"), F.lit(f" row(s) ('{header}')")), 160).alias("reason"), F.lit(column).alias("column_name"))
+    found = rows.join(counts, "v").join(F.broadcast(enough)).select("row_num", F.lit("rare_process").alias("category"), F.lit(30).alias("score"), clip(F.concat(F.lit("rare process '"), clip(F.col("v"), 60), F.lit("': rows "), F.col("n").cast("string"), F.lit(f", column '{header}'")), 160).alias("reason"), F.lit(column).alias("column_name"))
     return found.orderBy("row_num").limit(cap) if cap else found
 
 
@@ -104,7 +104,7 @@ def rare_user_host(df: DataFrame, user: str, host: str, least_rows: int = 100, m
     users = pairs.groupBy("u").agg(F.sum("n").alias("user_n")).filter(F.col("user_n") >= user_rows)
     rare = pairs.filter(F.col("n") <= most_seen).join(users, "u")
     enough = df.agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least_rows)
-    found = rows.join(rare, ["u", "h"]).join(F.broadcast(enough)).select("row_num", F.lit("rare_user_host").alias("category"), F.lit(35).alias("score"), clip(F.concat(F.lit("user '"), clip(F.col("u"), 60), F.lit("' on host '"), clip(F.col("h"), 60), F.lit("' only "), F.col("n").cast("string"), F.lit(" time(s)")), 160).alias("reason"), F.lit(user).alias("column_name"))
+    found = rows.join(rare, ["u", "h"]).join(F.broadcast(enough)).select("row_num", F.lit("rare_user_host").alias("category"), F.lit(35).alias("score"), clip(F.concat(F.lit("user '"), clip(F.col("u"), 60), F.lit("' is rare on host '"), clip(F.col("h"), 60), F.lit("': rows "), F.col("n").cast("string")), 160).alias("reason"), F.lit(user).alias("column_name"))
     return found.orderBy("row_num").limit(cap) if cap else found
 
 
@@ -114,7 +114,7 @@ def off_hours(df: DataFrame, row_time: DataFrame, least_rows: int = 50, below_sh
     hour = F.pmod(F.floor(F.col("epoch_ms") / 3_600_000), F.lit(24))
     marked = timed.withColumn("off", (hour >= 22) | (hour < 6))
     share = marked.agg(F.count(F.lit(1)).alias("_n"), F.count_if("off").alias("_off")).filter((F.col("_n") >= least_rows) & (F.col("_off") > 0) & (F.col("_off") / F.col("_n") < below_share))
-    found = marked.filter("off").join(F.broadcast(share)).select("row_num", F.lit("off_hours").alias("category"), F.lit(20).alias("score"), F.concat(F.lit("activity at "), F.col("utc_text"), F.lit(" is outside usual hours")).alias("reason"), F.lit("").alias("column_name"))
+    found = marked.filter("off").join(F.broadcast(share)).select("row_num", F.lit("off_hours").alias("category"), F.lit(20).alias("score"), F.concat(F.lit("night-time event: "), F.col("utc_text")).alias("reason"), F.lit("").alias("column_name"))
     return found.orderBy("row_num").limit(cap) if cap else found
 
 

@@ -30,28 +30,40 @@ def _records(events: DataFrame, names: int = 8, sample: int = 50) -> DataFrame:
     seen = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("v")))), lambda x: x["v"]))
     totals = kinds.groupBy(*chain).agg(F.sum("n").alias("event_count"), F.max("top").alias("top"), F.min("e0").alias("first_epoch_ms"), F.max("e1").alias("last_epoch_ms"), F.min("r0").alias("first_row"), F.max("r1").alias("last_row"), seen("tactic_id").alias("tactics"), seen("technique_name").alias("all_techniques"))
     rows = events.groupBy(*chain, "row_num").agg(F.min("epoch_ms").alias("e"))
-    numbered = rows.withColumn("k", F.row_number().over(W.partitionBy(*chain).orderBy("e", "row_num")))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= sample, F.struct("k", "row_num")))), lambda x: x["row_num"])
-    samples = numbered.groupBy(F.col("host").alias("_h"), F.col("start").alias("_s")).agg(F.count(F.lit(1)).alias("rows"), first.alias("sample_rows"))
+    counts = rows.groupBy(*chain).agg(F.count(F.lit(1)).alias("rows"))
+    # a chain's first rows are among the first of each of its parts, so a chain of a whole host isn't sorted at once
+    first = lambda *by: F.row_number().over(W.partitionBy(*chain, *by).orderBy("e", "row_num"))
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("row_num"), F.lit(64))).withColumn("k", first("part")).filter(F.col("k") <= sample)
+    kept = parts.withColumn("k", first()).filter(F.col("k") <= sample)
+    lists = kept.groupBy(F.col("host").alias("_lh"), F.col("start").alias("_ls")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "row_num"))), lambda x: x["row_num"]).alias("sample_rows"))
+    samples = counts.join(lists, F.col("host").eqNullSafe(F.col("_lh")) & F.col("start").eqNullSafe(F.col("_ls"))).select(F.col("host").alias("_h"), F.col("start").alias("_s"), "rows", "sample_rows")
     out = totals.join(samples, F.col("host").eqNullSafe(F.col("_h")) & F.col("start").eqNullSafe(F.col("_s"))).withColumn("tactic_count", F.size("tactics"))
     score = F.least(F.lit(100), F.col("top") + 10 * (F.col("tactic_count") - 1)).alias("score")
     return out.select("host", score, "tactic_count", "tactics", F.slice("all_techniques", 1, names).alias("techniques"), "sample_rows", "event_count", "rows", "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
 
 
 def _tactics_ahead(timed: DataFrame, window_ms: int, most: int = 64) -> DataFrame:
-    """Add n: how many tactics have an event from each one up to ``window_ms`` later.
+    """(host, epoch_ms, n): how many tactics have an event from each one up to ``window_ms`` later.
+
+    A host is cut into slices of a window's length, and every event also goes to the slice before its own: all that
+    can follow an event within a window is in its slice then, and no task has a whole host.
 
     Read backward in time, the last event seen of each tactic is its next one: a running minimum for each tactic (of
     which there are as many as the library has), whatever the number of events in a window.
     """
     kinds = [r[0] for r in timed.select("tactic_id").distinct().limit(most + 1).collect()]
+    own = F.floor(F.col("epoch_ms") / window_ms).cast("long")
+    sliced = timed.groupBy("host", "epoch_ms", "tactic_id").agg(F.first(F.lit(1)).alias("_"))
+    sliced = sliced.withColumn("own", own).select("host", "epoch_ms", "tactic_id", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("slice"))
     if len(kinds) > most:
-        ahead = W.partitionBy("host").orderBy("epoch_ms").rangeBetween(0, window_ms)
-        return timed.withColumn("n", F.size(F.collect_set("tactic_id").over(ahead)))
-    back = W.partitionBy("host").orderBy(F.desc("epoch_ms")).rangeBetween(W.unboundedPreceding, 0)
-    coming = timed.withColumns({f"_next{i}": F.min(F.when(F.col("tactic_id") == k, F.col("epoch_ms"))).over(back) for i, k in enumerate(kinds)})
-    n = sum((F.coalesce((F.col(f"_next{i}") <= F.col("epoch_ms") + window_ms).cast("int"), F.lit(0)) for i in range(len(kinds))), F.lit(0))
-    return coming.withColumn("n", n).drop(*[f"_next{i}" for i in range(len(kinds))])
+        ahead = W.partitionBy("host", "slice").orderBy("epoch_ms").rangeBetween(0, window_ms)
+        counted = sliced.withColumn("n", F.size(F.collect_set("tactic_id").over(ahead)))
+    else:
+        back = W.partitionBy("host", "slice").orderBy(F.desc("epoch_ms")).rangeBetween(W.unboundedPreceding, 0)
+        coming = sliced.withColumns({f"_next{i}": F.min(F.when(F.col("tactic_id") == k, F.col("epoch_ms"))).over(back) for i, k in enumerate(kinds)})
+        n = sum((F.coalesce((F.col(f"_next{i}") <= F.col("epoch_ms") + window_ms).cast("int"), F.lit(0)) for i in range(len(kinds))), F.lit(0))
+        counted = coming.withColumn("n", n)
+    return counted.filter("slice = own").select("host", "epoch_ms", "n")
 
 
 def attack_chains(matches: DataFrame, df: DataFrame, row_time: DataFrame | None = None, host: str | None = None, window_ms: int = HOUR, least_tactics: int = 3, cap: int | None = 200_000, keep: int | None = 200) -> DataFrame:
@@ -61,8 +73,10 @@ def attack_chains(matches: DataFrame, df: DataFrame, row_time: DataFrame | None
     ``least_tactics`` tactics it is a chain and the next starts after it, else one event is passed over. Rows
     without a time drop out. Without ``row_time`` a host's events are one window.
 
-    Starts are found by a range window. Which of them overlap is decided in stretches: two starts further apart
-    than a window don't depend on each other, so only a stretch, not a host, is folded in order.
+    Starts are found in slices of a host (``_tactics_ahead``). Which of them overlap is decided in stretches: two
+    starts further apart than a window don't depend on each other, so only a stretch, not a host, is folded in order.
+    Events meet the chosen starts by host and slice. Only the distinct times of possible starts are put in order by
+    host.
     """
     events = _events(matches, df, host, cap)
     if row_time is None:
@@ -77,10 +91,13 @@ def attack_chains(matches: DataFrame, df: DataFrame, row_time: DataFrame | None
         stretch = starts.withColumn("stretch", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_host))
         folded = stretch.groupBy("host", "stretch").agg(F.array_sort(F.collect_list("epoch_ms")).alias("all"))
         chosen = F.aggregate("all", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x > F.element_at(a, F.greatest(F.size(a), F.lit(1))) + window_ms), F.concat(a, F.array(x))).otherwise(a))
-        first = folded.select("host", F.explode(chosen).alias("epoch_ms"), F.lit(True).alias("is_start"))
-        marks = timed.select("host", "epoch_ms", "row_num", "tactic_id", "technique_name", "score", F.lit(False).alias("is_start")).unionByName(first, allowMissingColumns=True)
-        upto = W.partitionBy("host").orderBy("epoch_ms").rangeBetween(W.unboundedPreceding, 0)
-        inside = marks.withColumn("start", F.max(F.when(F.col("is_start"), F.col("epoch_ms"))).over(upto)).filter(~F.col("is_start") & (F.col("epoch_ms") <= F.col("start") + window_ms))
+        first = folded.select("host", F.explode(chosen).alias("epoch_ms"))
+        # a window reaches into the slice after that of its start
+        slice_ = lambda c: F.floor(F.col(c) / window_ms).cast("long")
+        reach = first.select(F.col("host").alias("_h"), F.col("epoch_ms").alias("start"), F.explode(F.array(slice_("epoch_ms"), slice_("epoch_ms") + 1)).alias("_slice"))
+        events_ = timed.select("host", "epoch_ms", "row_num", "tactic_id", "technique_name", "score", slice_("epoch_ms").alias("slice"))
+        same = F.col("host").eqNullSafe(F.col("_h")) & (F.col("slice") == F.col("_slice"))
+        inside = events_.join(reach, same).filter(F.col("epoch_ms").between(F.col("start"), F.col("start") + window_ms)).drop("_h", "_slice", "slice")
         found = _records(inside)
     rank = [F.desc("tactic_count"), F.desc("score"), F.desc("event_count"), "first_row"]
     best = found.orderBy(*rank).limit(keep) if keep else found

@@ -115,34 +115,75 @@ def document_key() -> Column:
     return F.sha2(F.concat(part("kind"), part("column_key"), part("text")).cast("binary"), 256)
 
 
+def _within(df: DataFrame, by: Column, most: int | None, groups: int = 1 << 16) -> DataFrame:
+    """Rows of the first hash groups of ``by`` that have at most ``most`` rows together: even over the table, never more.
+
+    Counts of the groups come to the driver, at most ``groups`` of them.
+    """
+    if not most:
+        return df
+    group = F.pmod(F.xxhash64(by), F.lit(groups))
+    counts = dict(df.groupBy(group.alias("g")).count().collect())
+    total, last = 0, groups
+    for g in range(groups):
+        total += counts.get(g, 0)
+        if total > most:
+            last = g
+            break
+    return df if last == groups else df.filter(group < last)
+
+
 def build_documents(df: DataFrame, meta: list[ColumnMeta], ignored: DataFrame | None = None, modes: dict[str, str] | None = None, limits: Limits = Limits(), stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, doc_rows): each text once by its key, and the rows that have it.
 
     ``stored`` documents (doc_key) are left out of ``documents``, so that a later build embeds only what is new.
-    Within the limits of a build, rows are drawn evenly: those of the smallest hash keep theirs, so every part of
-    the table is covered; what is left out shows in ``coverage``.
+    The limits of a build always hold: documents are drawn by the hash of their key, then their mappings by the hash
+    of the row, so every part of the table is covered alike; what is left out shows in ``coverage``.
     """
     rows = suppress(df, ignored)
     every = row_documents(rows, meta, modes or column_modes(df, meta, limits.sample_rows), limits)
     mapped = every.select(document_key().alias("doc_key"), "row_num", "kind", "column_key", "text")
-    if limits.mappings or limits.documents:
-        found = mapped.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_key").alias("d")).first()
-        share = min(1.0, (limits.mappings or found["n"]) / max(found["n"], 1), (limits.documents or found["d"]) / max(found["d"], 1))
-        if share < 1.0:
-            mapped = mapped.filter(F.pmod(F.xxhash64("row_num"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     documents = mapped.groupBy("doc_key").agg(F.min("kind").alias("kind"), F.min("column_key").alias("column_key"), F.min("text").alias("text"))
+    documents = _within(documents, F.col("doc_key"), limits.documents)
+    doc_rows = mapped.select("doc_key", "row_num").distinct()
+    if limits.documents:
+        doc_rows = doc_rows.join(documents.select("doc_key"), "doc_key", "left_semi")
+    doc_rows = _within(doc_rows, F.col("row_num"), limits.mappings)
     if stored is not None:
         documents = documents.join(stored.select("doc_key"), "doc_key", "left_anti")
-    return documents, mapped.select("doc_key", "row_num").distinct()
+    return documents, doc_rows
+
+
+def left_out(df: DataFrame, meta: list[ColumnMeta], modes: dict[str, str], limits: Limits = Limits()) -> DataFrame:
+    """One row: cells cut at their length, columns and chunks that rows have beyond their limits."""
+    cells = []
+    for m in meta:
+        if modes[m.name] != "exact_only":
+            cell = trim(text(f"`{m.name}`"))
+            value = normalize_tokens(F.substring(cell, 1, limits.cell_chars))
+            words = F.size(F.filter(F.split(value, r"\s+"), lambda w: w != ""))
+            chunks = F.greatest(F.lit(1), F.ceil((words - limits.overlap_words) / F.lit(limits.chunk_words - limits.overlap_words))).cast("int")
+            cells.append(F.when(informative(value), F.struct((F.char_length(cell) > limits.cell_chars).alias("long"), chunks.alias("chunks"))))
+    if not cells:
+        return df.agg(*[F.lit(0).cast("long").alias(c) for c in ("cells_truncated", "columns_omitted", "chunks_omitted")])
+    rows = df.select(F.array_compact(F.array(*cells)).alias("cells")).withColumn("taken", _balanced(F.col("cells"), limits.primary_columns))
+    room = F.greatest(F.lit(0), F.least(F.lit(limits.extra_chunks), limits.documents_per_row - F.size("taken")))
+    sums = lambda c, one: F.aggregate(c, F.lit(0), lambda a, x: a + one(x))
+    more = sums("taken", lambda x: F.least(x["chunks"], F.lit(limits.chunks_per_cell)) - 1)
+    all_more = sums("taken", lambda x: x["chunks"] - 1)
+    per_row = rows.select(sums("taken", lambda x: x["long"].cast("int")).alias("t"), (F.size("cells") - F.size("taken")).alias("c"), (all_more - F.least(more, room)).alias("k"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per_row.agg(total("t").alias("cells_truncated"), total("c").alias("columns_omitted"), total("k").alias("chunks_omitted"))
 
 
 def coverage(df: DataFrame, meta: list[ColumnMeta], doc_rows: DataFrame, modes: dict[str, str], limits: Limits = Limits(), ignored: DataFrame | None = None) -> DataFrame:
-    """One row: documents and mappings seen, kept and left out; rows covered."""
-    every = row_documents(suppress(df, ignored), meta, modes, limits).select(document_key().alias("doc_key"), "row_num").distinct()
+    """One row: documents and mappings seen, kept and left out; rows covered; what ``left_out`` counts."""
+    rows = suppress(df, ignored)
+    every = row_documents(rows, meta, modes, limits).select(document_key().alias("doc_key"), "row_num").distinct()
     seen = every.agg(F.count_distinct("doc_key").alias("documents_seen"), F.count(F.lit(1)).alias("mappings_seen"))
     kept = doc_rows.agg(F.count_distinct("doc_key").alias("documents_mapped"), F.count(F.lit(1)).alias("mappings_written"), F.count_distinct("row_num").alias("rows_covered"))
-    both = seen.join(F.broadcast(kept))
-    return both.withColumns({"documents_skipped": F.col("documents_seen") - F.col("documents_mapped"), "mappings_skipped": F.col("mappings_seen") - F.col("mappings_written")})
+    both = seen.join(F.broadcast(kept)).withColumns({"documents_skipped": F.col("documents_seen") - F.col("documents_mapped"), "mappings_skipped": F.col("mappings_seen") - F.col("mappings_written")})
+    return both.join(F.broadcast(left_out(rows, meta, modes, limits)))
 
 
 # --- vectors -------------------------------------------------------------------------------------------------

@@ -88,9 +88,8 @@ def _literal(records: list[dict], kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(records)), f"array<{kind}>")
 
 
-def _hits(cell: Column, library: Library) -> Column:
-    """Array of the patterns in a cell: ASCII case folded, one hit a pattern, the first place of whole words tested."""
-    low = ascii_lower(cell)
+def _hits(low: Column, library: Library) -> Column:
+    """Array of the patterns in a folded cell: one hit a pattern, the first place of whole words tested."""
     records, guards = [], []
     for t in library.techniques:
         for k in t["keywords"]:
@@ -113,9 +112,10 @@ def match_keywords(df: DataFrame, library: Library, evidence: list[str]) -> Data
 
     A scan: cells and patterns are compared within their row, nothing is shuffled.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), text(f"`{c}`").alias("cell")) for c in evidence])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), ascii_lower(text(f"`{c}`")).alias("low")) for c in evidence])
+    # exploded, a folded cell is a value: patterns inside the lambda don't fold it again
     rows = df.select("row_num", F.explode(cells).alias("c")).select("row_num", "c.*")
-    hits = rows.select("row_num", "column_name", F.explode(_hits(F.col("cell"), library)).alias("h"))
+    hits = rows.select("row_num", "column_name", F.explode(_hits(F.col("low"), library)).alias("h"))
     return hits.select("row_num", "column_name", "h.*", F.explode("h.tactics").alias("t")).select("row_num", F.col("t.id").alias("tactic_id"), F.col("t.name").alias("tactic_name"), "technique_id", "technique_name", "keyword", "column_name", "score", F.lit("keyword").alias("source"))
 
 

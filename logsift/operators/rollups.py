@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.functions.text import ascii_lower, text, trim
 from logsift.functions.values import ipv4_number, parse_ip, private_ipv4
@@ -29,14 +32,26 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def ip_text(c: Column) -> Column:
-    """The address of a value without quotes, brackets and port; IPv4 as it stands, IPv6 in lower case."""
+    """The address of a value without quotes, brackets and port, in lower case."""
     return F.lower(parse_ip(F.regexp_replace(trim(c), r"""^["'\[\]]+|["'\[\]]+$""", "")))
 
 
+@F.pandas_udf(T.StringType())
+def ipv6_text(values: pd.Series) -> pd.Series:
+    """IPv6 addresses in their one canonical spelling."""
+    return values.map(lambda v: str(ipaddress.ip_address(v)))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """ip, rows, first_row from (row_num, ip): each different spelling is counted before IPv6 is brought to one."""
+    counts = lambda d, n, first: d.groupBy("ip").agg(n.alias("rows"), F.min(first).alias("first_row"))
+    spelled = counts(rows.filter("ip is not null"), F.count(F.lit(1)), "row_num")
+    six = spelled.filter(F.col("ip").contains(":")).withColumn("ip", ipv6_text("ip"))
+    return counts(spelled.filter(~F.col("ip").contains(":")).unionByName(six), F.sum("rows"), "first_row")
+
+
 def cidr_ranges(spark: SparkSession, path: str | None = None) -> DataFrame:
     """low, high, label, ord of the known address ranges, in file order."""
-    import ipaddress
-
     lines = Path(path or Path(__file__).parent.parent / "resources" / "cidr_ranges.txt").read_text().splitlines()
     rows = []
     for line in lines:
@@ -52,7 +67,7 @@ def ip_rollup(df: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
     Addresses are counted first; only the distinct ones meet the ranges, which are cut to their /16 blocks so that
     the join has a key. The range that comes first in the file names an address.
     """
-    counted = df.select("row_num", ip_text(text(f"`{column}`")).alias("ip")).filter("ip is not null").groupBy("ip").agg(F.count(F.lit(1)).alias("rows"), F.min("row_num").alias("first_row"))
+    counted = _counted(df.select("row_num", ip_text(text(f"`{column}`")).alias("ip")))
     numbered = counted.withColumn("n", ipv4_number(F.col("ip"))).withColumn("block", F.shiftright("n", 16))
     blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))))
     named = numbered.alias("a").join(F.broadcast(blocks).alias("r"), (F.col("a.block") == F.col("r.block")) & F.col("n").between(F.col("low"), F.col("high")), "left")
@@ -85,28 +100,28 @@ def browsers(df: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("browser").agg(F.count(F.lit(1)).alias("rows"), F.min("row_num").alias("first_row")).orderBy(F.desc("rows"), "browser")
 
 
-def _joined(values: Column, most: int = 30_000) -> Column:
-    """Sorted values with "; " between, cut at ``most`` characters with the number left out."""
-    ends = F.aggregate(values, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(v) + F.when(F.size(a) > 1, 2).otherwise(0))))
-    fit = F.size(F.filter(ends, lambda e: e <= most)) - 1
-    more = F.size(values) - fit
-    shown = F.slice(values, F.lit(1), F.greatest(fit, F.lit(0)))
-    return F.when(more > 0, F.concat_ws("; ", F.array_join(shown, "; "), F.concat(F.lit("... (+"), more.cast("string"), F.lit(" more)")))).otherwise(F.array_join(shown, "; "))
-
-
-def associations(df: DataFrame, one: str, other: str, most_listed: int = 2000) -> DataFrame:
+def associations(df: DataFrame, one: str, other: str, most: int = 30_000) -> DataFrame:
     """value, rows, first_row, others, other_list for each value of ``one``: what it stands with in ``other``.
 
-    Pairs are counted first; a value's list is drawn from its ``most_listed`` smallest partners, which fill the text.
+    The list is sorted, with "; " between, and ends before it is longer than ``most`` bytes; then it says how many
+    more there are. Pairs are counted first. An entry of the list is also within ``most`` bytes among those of its
+    hash group, so a value's partners are cut down in 64 groups before they meet.
     """
     rows = df.select("row_num", trim(text(f"`{one}`")).alias("value"), trim(text(f"`{other}`")).alias("o")).filter("value <> ''")
     pairs = rows.groupBy("value", "o").agg(F.count(F.lit(1)).alias("n"), F.min("row_num").alias("first"))
     totals = pairs.groupBy("value").agg(F.sum("n").alias("rows"), F.min("first").alias("first_row"), F.count_if(F.col("o") != "").alias("others"))
-    first = pairs.filter("o <> ''").withColumn("k", F.row_number().over(W.partitionBy("value").orderBy("o"))).filter(F.col("k") <= most_listed)
-    lists = first.groupBy("value").agg(F.array_sort(F.collect_list("o")).alias("all"))
-    told = totals.join(lists, "value", "left")
-    whole = F.coalesce(_joined(F.col("all")), F.lit(""))
-    return told.select("value", "rows", "first_row", "others", whole.alias("other_list"))
+    size = F.octet_length("o") + 2
+    upto = lambda *by: F.sum(size).over(W.partitionBy(*by).orderBy("o").rowsBetween(W.unboundedPreceding, 0)) - 2
+    few = pairs.filter("o <> ''").withColumn("deal", F.pmod(F.xxhash64("o"), F.lit(64)))
+    few = few.filter(F.octet_length("o") <= most).withColumn("end", upto("value", "deal")).filter(F.col("end") <= most)
+    # one that is too long by itself ends the list, too
+    long = pairs.filter(F.octet_length("o") > most).groupBy("value").agg(F.min("o").alias("stop"))
+    shown = few.join(long, "value", "left").filter("stop is null or o < stop").withColumn("end", upto("value")).filter(F.col("end") <= most)
+    lists = shown.groupBy("value").agg(F.array_sort(F.collect_list("o")).alias("all"))
+    told = totals.join(lists, "value", "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
+    more = F.col("others") - F.size("all")
+    line = F.concat(F.array_join("all", "; "), F.when(more > 0, F.concat(F.when(F.size("all") > 0, "; ").otherwise(""), F.lit("... (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+    return told.select("value", "rows", "first_row", "others", line.alias("other_list"))
 
 
 def cells(columns: list[str]) -> Column:
@@ -138,12 +153,13 @@ def timeline_table(matches: DataFrame, df: DataFrame, meta: list[ColumnMeta], ro
 def attack_story(chains: DataFrame, matches: DataFrame, df: DataFrame, host: str | None, row_time: DataFrame | None, most: int | None = 500) -> DataFrame:
     """A summary line for each chain (seq 0), then at most ``most`` of its events in order (None: all).
 
-    Chains and matches meet on the host, then by time (or row) range; chains are few and broadcast.
+    Chains and matches meet on the host, then by time (or row) range. There may be a chain a host or more, so Spark
+    chooses how they are joined by their size.
     """
     name = trim(F.col(f"`{host}`").cast("string")) if host else F.lit(None).cast("string")
     rows = matches.join(df.select("row_num", name.alias("_host")), "row_num")
     rows = rows.join(row_time.select("row_num", "epoch_ms", "utc_text"), "row_num", "left") if row_time is not None else rows.withColumns({"epoch_ms": F.lit(None).cast("long"), "utc_text": F.lit(None).cast("string")})
-    c = F.broadcast(chains.select("chain_id", F.col("host").alias("_h"), "first_epoch_ms", "last_epoch_ms", "first_row", "last_row"))
+    c = chains.select("chain_id", F.col("host").alias("_h"), "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
     timed = F.when(F.col("first_epoch_ms").isNotNull(), F.col("epoch_ms").between(F.col("first_epoch_ms"), F.col("last_epoch_ms"))).otherwise(F.col("row_num").between(F.col("first_row"), F.col("last_row")))
     inside = rows.join(c, F.col("_host").eqNullSafe(F.col("_h")) & timed)
     order = [F.col("epoch_ms").asc_nulls_last(), "row_num", "tactic_id", "technique_id", "keyword"]
@@ -191,10 +207,40 @@ def tactic_table(timeline: DataFrame, tactic_id: str) -> DataFrame:
     return timeline.filter(F.col("tactic_id") == tactic_id)
 
 
-def general(df: DataFrame, meta: list[ColumnMeta], row_time: DataFrame | None) -> DataFrame:
-    """item, value: rows, columns, first and last time."""
-    rows = df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("rows").alias("item"), "value").union(df.sparkSession.range(1).select(F.lit("columns"), F.lit(str(len(meta)))))
-    if row_time is None:
-        return rows
-    span = date_range(row_time)
-    return rows.union(span.select(F.lit("first time"), "first_utc")).union(span.select(F.lit("last time"), "last_utc"))
+def general(df: DataFrame, meta: list[ColumnMeta], row_time: DataFrame | None, by_role: dict[str, Role] | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """section, item, value, detail, observed, row_num: the table at a glance.
+
+    Size and time span; users and hosts; addresses by the range that holds them, unlabelled private ones by their
+    /24; browsers; which users and hosts stand together. A section is there if its column is known.
+    """
+    by_role = by_role or {}
+    column = lambda role: by_role[role].column if role in by_role else None
+    none = F.lit(None).cast("long")
+
+    def lines(found: DataFrame, section: str, item: Column, value: Column, detail: Column, observed: Column, row: Column) -> DataFrame:
+        as_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+        return found.select(F.lit(section).alias("section"), as_text(item).alias("item"), as_text(value).alias("value"), as_text(detail).alias("detail"), observed.cast("long").alias("observed"), row.cast("long").alias("row_num"))
+
+    c, word = F.col, F.lit
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.min("row_num").alias("first"))
+    parts = [lines(size, "Table", word("rows"), c("n"), word(""), c("n"), c("first")), lines(size, "Table", word("columns"), word(str(len(meta))), word(""), word(len(meta)), c("first"))]
+    if row_time is not None:
+        span = date_range(row_time)
+        parts += [lines(span, "Time", word("first time"), c("first_utc"), word(""), c("timed_rows"), c("first_row")), lines(span, "Time", word("last time"), c("last_utc"), word(""), c("timed_rows"), c("last_row"))]
+    for role, section in (("user", "Users"), ("host", "Hosts")):
+        if column(role):
+            parts.append(lines(distinct_values(df, column(role)), section, word(role), c("value"), word(""), c("rows"), c("first_row")))
+    if column("ip"):
+        found = ip_rollup(df, column("ip"), ranges if ranges is not None else cidr_ranges(df.sparkSession))
+        kind = F.coalesce("label", F.when(c("private"), "private").otherwise("unclassified"))
+        parts.append(lines(found.filter("label is not null or not private or version = 6"), "Addresses", kind, c("ip"), F.concat(word("IPv"), c("version").cast("string")), c("rows"), c("first_row")))
+        parts.append(lines(private_groups(found), "Private networks", word("/24"), c("network"), F.concat(c("addresses").cast("string"), word(" addresses")), c("rows"), c("first_row")))
+    if agent := user_agent_column(meta):
+        parts.append(lines(browsers(df, agent), "Browsers", word("browser"), c("browser"), word(""), c("rows"), c("first_row")))
+    if column("user") and column("host"):
+        for one, other, section in (("user", "host", "Hosts of users"), ("host", "user", "Users of hosts")):
+            parts.append(lines(associations(df, column(one), column(other)), section, word(one), c("value"), c("other_list"), c("rows"), c("first_row")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -30,20 +30,29 @@ def samples(values: DataFrame, kind: str, n: int = 5) -> DataFrame:
 
 
 def infer_date_convention(df: DataFrame, column: str) -> DataFrame:
-    """One row: month_first and day_first evidence over all rows, the convention inferred, conflicting, ambiguous rows."""
-    seen = _values(df, column).select(times.slash_evidence(F.col("v")).alias("e"))
+    """One row: month_first and day_first evidence over all rows, the convention inferred, conflicting, ambiguous rows
+    and the first five ambiguous values (by row number)."""
+    seen = _values(df, column).select("row_num", "source_text", times.slash_evidence(F.col("v")).alias("e"))
+    first = seen.filter("e = 'ambiguous'").orderBy("row_num", "source_text").limit(5)
+    shown = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("row_num", "source_text"))), lambda x: x["source_text"]).alias("ambiguous_samples"))
     found = seen.agg(*[F.coalesce(F.bool_or(F.col("e") == k), F.lit(False)).alias(k) for k in ("month_first", "day_first")], F.count_if(F.col("e") == "ambiguous").alias("ambiguous_rows"))
     both = F.col("month_first") & F.col("day_first")
-    return found.select("month_first", "day_first", F.when(~both & F.col("month_first"), "month_first").when(~both & F.col("day_first"), "day_first").alias("inferred"), both.alias("conflicting"), "ambiguous_rows")
+    return found.select("month_first", "day_first", F.when(~both & F.col("month_first"), "month_first").when(~both & F.col("day_first"), "day_first").alias("inferred"), both.alias("conflicting"), "ambiguous_rows").join(F.broadcast(shown))
 
 
-def analyze_timestamps(df: DataFrame, column: str) -> DataFrame:
-    """One row: how many values of each kind, and which questions have to be answered before normalising."""
+def analyze_timestamps(df: DataFrame, column: str, with_samples: bool = False) -> DataFrame:
+    """One row: how many values of each kind, and which questions have to be answered before normalising.
+
+    ``with_samples`` adds a map of each kind's first five values, a further pass.
+    """
     values = _values(df, column).select(times.classify(F.col("v")).alias("kind"), times.slash_evidence(F.col("v")).alias("e"))
     counts = values.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("kind") == k).alias(f"{k}_rows") for k in KINDS],
         *[F.coalesce(F.bool_or(F.col("e") == k), F.lit(False)).alias(k) for k in ("month_first", "day_first", "ambiguous")],
     )
+    if with_samples:
+        shown = samples(_values(df, column).withColumn("kind", times.classify(F.col("v"))), "kind")
+        counts = counts.join(F.broadcast(shown.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "samples")))).alias("samples"))))
     return counts.withColumns({"needs_timezone": F.col("naive_rows") > 0, "needs_date_convention": F.col("ambiguous") & (F.col("month_first") == F.col("day_first")), "conflicting": F.col("month_first") & F.col("day_first")})
 
 

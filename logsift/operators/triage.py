@@ -72,7 +72,7 @@ def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | No
 def report_tables(df: DataFrame, found: TriageResult) -> dict[str, DataFrame]:
     """The report's tables by name, in order; a table is there only if its input has rows."""
     has = lambda d: d is not None and not d.isEmpty()
-    tables = {"General": rollups.general(df, found.meta, found.row_time)}
+    tables = {"General": rollups.general(df, found.meta, found.row_time, found.roles)}
     if has(found.ignored):
         tables["Ignored Rows"] = rollups.ignored_table(found.ignored, found.row_time)
     if has(found.activity):

@@ -450,7 +450,7 @@ def anomaly_cells(spark, d):
     return an.cell_findings(pages_log(spark, d), _CELL_META, _CELL_ROLES).select("row_num", "category", "score")
 
 
-@query("anomaly_commands", _SEC + ", t AS (SELECT row_num, event_id, command_line, CAST(row_num - 1 AS BIGINT) AS e FROM sec) SELECT row_num, 'ip_in_command' AS category, CASE WHEN e % 11 = 2 THEN 'private IP address 192.168.1.7 embedded in ''command_line''' ELSE (CASE WHEN e % 256 IN (10, 127) THEN 'private' ELSE 'public' END) || ' IP address ' || (e % 256) || '.2.3.4 embedded in ''command_line''' END AS reason FROM t WHERE e % 11 IN (1, 2)")
+@query("anomaly_commands", _SEC + ", t AS (SELECT row_num, event_id, command_line, CAST(row_num - 1 AS BIGINT) AS e FROM sec) SELECT row_num, 'ip_in_command' AS category, CASE WHEN e % 11 = 2 THEN 'private address 192.168.1.7 in the command of ''command_line''' ELSE (CASE WHEN e % 256 IN (10, 127) THEN 'private' ELSE 'public' END) || ' address ' || (e % 256) || '.2.3.4 in the command of ''command_line''' END AS reason FROM t WHERE e % 11 IN (1, 2)")
 def anomaly_commands(spark, d):
     """Addresses in commands, with the words of the finding."""
     log = security(spark, d)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from logsift.operators.filters import where
 from logsift.operators.paging import order, time_order
 from logsift.spec import ColumnMeta, QuerySpec
+from logsift.storage import cut
 
 #: What the words in a header say about its column, in the order in which they are tried.
 HINTS = (("timestamp", ("time", "date", "generated", "createdat")), ("ip", ("ip", "address")), ("identifier", ("id", "guid")))
@@ -34,19 +35,20 @@ def clean_headers(headers: list[str]) -> list[ColumnMeta]:
     return out
 
 
-def read_log_csv(spark: SparkSession, path: str, number: bool = True) -> tuple[DataFrame, list[ColumnMeta]]:
+def read_log_csv(spark: SparkSession, path: str, number: bool = True, line_breaks: bool = True) -> tuple[DataFrame, list[ColumnMeta]]:
     """A CSV file with a header as text columns: short rows are filled with '', extra cells dropped.
 
-    Only the header line comes to the driver. Rows are numbered from 1 in file order.
+    Only the header line comes to the driver. Rows are numbered from 1 in file order. With ``line_breaks`` a quoted
+    cell may hold some, and then a file can't be split: one task reads it. Say False for large files without them.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError(f"{path} has no header")
     meta = clean_headers(next(csv.reader([first[0][0].lstrip("﻿")])))
     schema = T.StructType([T.StructField(m.name, T.StringType(), True, {"original": m.original, "hint": m.hint}) for m in meta])
-    rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=True, enforceSchema=True)
+    rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=line_breaks, enforceSchema=True)
     rows = rows.select(*[F.coalesce(m.name, F.lit("")).alias(m.name) for m in meta])
-    return (with_row_num(rows) if number else rows), meta
+    return (with_row_num(rows, scan=True) if number else rows), meta
 
 
 def read_log_tables(spark: SparkSession, directory: str) -> dict[str, tuple[DataFrame, list[ColumnMeta]]]:
@@ -74,22 +76,28 @@ def stringify(df: DataFrame, keep: tuple[str, ...] = ("row_num",)) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`") if f.name in keep else F.coalesce(_one(F.col(f"`{f.name}`"), f.dataType), F.lit("")).alias(f.name) for f in df.schema])
 
 
-def with_row_num(df: DataFrame, order_by: Column | str | None = None) -> DataFrame:
+def with_row_num(df: DataFrame, order_by: Column | str | None = None, scan: bool = False) -> DataFrame:
     """Number rows from 1 without a gap, in the given order or, without one, in the order in which they are read.
 
-    Two passes: rows of each partition are counted, and each partition starts where those before it end. No row
-    meets another; only one count a partition comes to the driver.
+    Two passes over the same partitions: rows of each are counted, and each starts where those before it end. A sort
+    or shuffle needn't deal its rows out alike when it runs again, so what is numbered is first written to the
+    checkpoint folder; only a plain ``scan`` of files is read twice. No row meets another; one count a partition
+    comes to the driver and goes back as a table of starts, 16 bytes each.
     """
     source = df if order_by is None else df.orderBy(order_by)
-    names = list(source.columns)
-    counts = dict(source.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
-    start, offsets = 0, {}
-    for p in sorted(counts):
-        offsets[p] = start
-        start += counts[p]
-    at = F.create_map(*[x for p, n in offsets.items() for x in (F.lit(p), F.lit(n))]) if offsets else F.create_map(F.lit(-1), F.lit(0))
+    source = source if scan and order_by is None else cut(source)
+    names = [n for n in source.columns if n != "row_num"]
+    part = F.spark_partition_id().cast("long")
+    counts = sorted(source.select(part.alias("p")).groupBy("p").count().collect())
+    start, starts = 0, []
+    for p, n in counts:
+        starts.append((p, start))
+        start += n
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return source.select((within + at[F.spark_partition_id()].cast("long") + 1).alias("row_num"), *[f"`{n}`" for n in names if n != "row_num"])
+    rows = source.select(part.alias("_part"), within.alias("_within"), F.struct(*[f"`{n}`" for n in names]).alias("_row"))
+    told = source.sparkSession.createDataFrame(starts, "_part long, _start long")
+    out = rows.join(F.broadcast(told), "_part")
+    return out.select((F.col("_within") + F.col("_start") + 1).alias("row_num"), *[F.col("_row").getField(n).alias(n) for n in names])
 
 
 def number_by(df: DataFrame, key: str) -> DataFrame:
@@ -98,8 +106,13 @@ def number_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row, (rows, digest): the same for the same rows in any order, one pass."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+    """One row, (rows, digest): the same for the same rows in any order, one pass.
+
+    A row's cells are joined as text, null as '', by a unit separator; the digest adds up the first 60 bits of their md5.
+    """
+    cells = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+    number = F.conv(F.substring(F.md5(cells.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
 
 
 def export_frame(df: DataFrame, meta: list[ColumnMeta], spec: QuerySpec, row_time: DataFrame | None = None, order_by_time: str | None = None) -> DataFrame:

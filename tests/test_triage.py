@@ -204,7 +204,7 @@ def test_cell_anomalies(spark):
         got[r["row_num"]].add(r["category"])
     assert got[1] == {"encoded_blob"} and got[2] == {"lolbin", "suspicious_path", "url_in_command", "ip_in_command"} and got[3] == {"double_extension"}
     assert 4 not in got and 5 not in got and got[6] == {"encoded_blob"} and got[7] == {"long_command"} and got[9] >= {"high_entropy"}
-    assert {r["reason"] for r in found if r["row_num"] == 8} == {"public IP address 8.8.8.8 embedded in 'cmd'"}
+    assert {r["reason"] for r in found if r["row_num"] == 8} == {"public address 8.8.8.8 in the command of 'cmd'"}
     text = "aabc" * 30
     bits = spark.createDataFrame([(text,)], "v string").select(anomalies.entropy(F.col("v"))).first()[0]
     assert bits == pytest.approx(-sum(p * math.log2(p) for p in (0.5, 0.25, 0.25)))
