@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,33 +11,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsift.storage import checkpoint_folder, cut  # noqa: F401  operators take them from here
+
 #: Words are runs of bytes that are none of these (white space of the contracts: \x20 \x09-\x0D).
 SPACE = frozenset([0x20, *range(0x09, 0x0E)])
 #: About this much text is turned into arrays at a time in a Python worker.
 FLUSH_BYTES = 4 << 20
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share.
+#: A table of keys is broadcast up to so many rows (of 16 bytes or so); larger ones are joined by a shuffle.
+FEW_KEYS = 500_000
 
-    It is the session's ``spark.checkpoint.dir``. Only on a local master is one chosen here where that is unset, as
-    in tests; a cluster has to name a folder that all its machines see.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            given = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(given)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it without its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+
+def few(keys: DataFrame) -> DataFrame:
+    """Mark a written table of keys for broadcast if a count shows it to be small, so that texts needn't be dealt out."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, MULT, buckets, cut, flushes, grams, mix, ranges, table, texts, word_spans
+from logsift.llm.common import LOWER, MULT, buckets, cut, few, flushes, grams, mix, ranges, table, texts, word_spans
 from logsift.llm.components import components
 
 SEED = 42
@@ -406,7 +406,7 @@ def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
             near = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
             near = cut(nodes.join(near, "sig", "left_semi"))
             wanted = near.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-            own = source.join(wanted, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").mapInArrow(_held(shingle), "sig long, held binary")
+            own = source.join(few(wanted), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").mapInArrow(_held(shingle), "sig long, held binary")
             held = cut(own.groupBy("sig").agg(F.min("held").alias("held")))
         both = pairs.join(held.select(F.col("sig").alias("b"), F.col("held").alias("y")), "b").join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")), "a")
         found = cut(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
