@@ -291,8 +291,109 @@ def test_rollups(spark):
     assert {r["browser"] for r in rollups.browsers(df, rollups.user_agent_column(meta)).collect()} == {"Firefox", "Microsoft Edge", "Safari", "Internet Explorer"}
     hosts = {r["value"]: (r["rows"], r["others"], r["other_list"]) for r in rollups.associations(df, "host", "user").collect()}
     assert hosts == {"h1": (2, 2, "AL; Al"), "h2": (1, 1, "al"), "h3": (2, 0, "")}
-    cut = spark.createDataFrame([(["aa", "bb", "cc"],)], "v array<string>").select(rollups._joined(F.col("v"), 6), rollups._joined(F.col("v"), 1)).first()
-    assert tuple(cut) == ("aa; bb; ... (+1 more)", "; ... (+3 more)") or tuple(cut)[0] == "aa; bb; ... (+1 more)"
+    pairs, _ = log(spark, ["User", "Host"], [("a", h) for h in ("cc", "aa", "bb", "aa")])
+    lists = [rollups.associations(pairs, "user", "host", most).first()["other_list"] for most in (10, 6, 1)]
+    assert lists == ["aa; bb; cc", "aa; bb; ... (+1 more)", "... (+3 more)"]
+    v6, _ = log(spark, ["Ip"], [("2001:DB8:0:0::1",), ("2001:db8::1",), ("[2001:0db8::0001]:443",), ("::ffff:1.2.3.4",)])
+    assert {r["ip"]: r["rows"] for r in rollups.ip_rollup(v6, "ip", rollups.cidr_ranges(spark)).collect()}["2001:db8::1"] >= 2
+
+
+def test_partners_fill_the_list_to_its_bytes(spark):
+    pairs = spark.range(5000).select((F.col("id") + 1).alias("row_num"), F.lit("u").alias("user"), F.format_string("h%04d", "id").alias("host"))
+    got = rollups.associations(pairs, "user", "host").first()
+    shown = got["other_list"].split("; ")
+    fit = (30_000 + 2) // 7
+    assert shown[:-1] == [f"h{i:04d}" for i in range(fit)] and shown[-1] == f"... (+{5000 - fit} more)" and got["others"] == 5000
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_million_rows_are_numbered_without_gaps(spark, adaptive):
+    from logsift.sources.tables import with_row_num
+
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(0, 1_200_000, 1, 7).select(F.xxhash64("id").alias("k"), "id")
+        numbered = with_row_num(rows, "k")
+        told = numbered.agg(F.count("*").alias("n"), F.count_distinct("row_num").alias("d"), F.min("row_num").alias("a"), F.max("row_num").alias("b")).first()
+        assert tuple(told) == (1_200_000, 1_200_000, 1, 1_200_000)
+        # in order: the keys of each hundredth are below those of the next
+        parts = sorted(numbered.groupBy(F.floor((F.col("row_num") - 1) / 12_000).alias("p")).agg(F.min("k"), F.max("k")).collect())
+        assert all(x[2] < y[1] for x, y in zip(parts, parts[1:]))
+        # after a shuffle, without an order
+        dealt = with_row_num(rows.repartition("k")).agg(F.count_distinct("row_num"), F.max("row_num")).first()
+        assert tuple(dealt) == (1_200_000, 1_200_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_caps_of_documents_hold(spark):
+    df = spark.range(3000).select((F.col("id") + 1).alias("row_num"), F.concat(F.lit("alert about "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("message"), F.lit("common words here").alias("detail"))
+    meta = [ColumnMeta("message", "Message"), ColumnMeta("detail", "Detail")]
+    modes = {"message": "text", "detail": "text"}
+    limits = documents.Limits(documents=1000, mappings=2500)
+    found, rows = documents.build_documents(df, meta, modes=modes, limits=limits)
+    n, m = found.count(), rows.count()
+    assert 900 <= n <= 1000 and n - 1 <= m <= 2500
+    assert rows.join(found, "doc_key", "left_anti").count() == 0
+    told = documents.coverage(df, meta, rows, modes, limits).first()
+    assert (told["documents_seen"], told["mappings_seen"], told["mappings_written"], told["cells_truncated"], told["columns_omitted"], told["chunks_omitted"]) == (3001, 6000, m, 0, 0, 0)
+
+
+def test_what_rows_leave_out_is_counted(spark):
+    words = " ".join(f"word{chr(97 + i % 26)}" for i in range(400))
+    df = spark.createDataFrame([(1, words, "short text", "more text"), (2, "x" * 20_000, "abc", "def")], "row_num long, a string, b string, c string")
+    meta = [ColumnMeta(x, x) for x in "abc"]
+    told = documents.left_out(df, meta, dict.fromkeys("abc", "text"), documents.Limits(primary_columns=2, extra_chunks=2)).first()
+    # 400 words are seven chunks: one and two more are taken; the last column of two is always the third
+    assert (told["cells_truncated"], told["columns_omitted"], told["chunks_omitted"]) == (1, 2, 4)
+
+
+def test_chains_across_slices_are_those_of_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i + 1, rng.choice(["h1", "h2", None]), rng.randrange(40 * 3_600_000), f"T{rng.randrange(5)}") for i in range(400)]
+    df = spark.createDataFrame([(r, h) for r, h, _, _ in rows], "row_num long, host string")
+    times = spark.createDataFrame([(r, t) for r, _, t, _ in rows], "row_num long, epoch_ms long")
+    matches = spark.createDataFrame([(r, k, k, k, k, 50) for r, _, _, k in rows], "row_num long, tactic_id string, tactic_name string, technique_id string, technique_name string, score int")
+    expected = set()
+    for host in ("h1", "h2", None):
+        own = sorted((t, r, k) for r, h, t, k in rows if h == host)
+        i = 0
+        while i < len(own):
+            window = [x for x in own[i:] if x[0] <= own[i][0] + 3_600_000]
+            if len({k for _, _, k in window}) >= 3:
+                expected.add((host, own[i][0], window[-1][0], len(window)))
+                i += len(window)
+            else:
+                i += 1
+    got = chains.attack_chains(matches, df, times, "host", cap=None, keep=None).collect()
+    assert {(r["host"], r["first_epoch_ms"], r["last_epoch_ms"], r["event_count"]) for r in got} == expected and len(expected) > 10
+
+
+def test_one_host_is_dealt_to_many_tasks(spark):
+    n = 200_000
+    df = spark.range(n).select((F.col("id") + 1).alias("row_num"), F.lit("h").alias("host"))
+    times = df.select("row_num", (F.col("row_num") * 60_000).alias("epoch_ms"))
+    kind = F.concat(F.lit("T"), (F.col("row_num") % 4).cast("string"))
+    matches = df.select("row_num", kind.alias("tactic_id"), kind.alias("tactic_name"), kind.alias("technique_id"), kind.alias("technique_name"), F.lit(9).alias("score"))
+    events = chains._events(matches, df, "host", None).join(times, "row_num")
+    ahead = chains._tactics_ahead(events, 3_600_000).withColumn("p", F.spark_partition_id())
+    sizes = [r["count"] for r in ahead.groupBy("p").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 0.6 * n
+    assert chains.attack_chains(matches, df, times, "host", cap=None, keep=None).count() == -(-n // 61)
+
+
+def test_general_tells_every_section(spark):
+    df, meta = log(spark, ["SourceIP", "User", "Host", "UserAgent"], [("10.0.0.1", "Al", "h1", "Firefox/1"), ("10.0.0.9", "al", "h2", "x"), ("8.8.8.8", "bo", "h1", "x")])
+    by_role = {"ip": Role("sourceip"), "user": Role("user"), "host": Role("host")}
+    got = {(r["section"], r["value"]): (r["item"], r["detail"], r["observed"], r["row_num"]) for r in rollups.general(df, meta, None, by_role).collect()}
+    assert got == {
+        ("Table", "3"): ("rows", "", 3, 1), ("Table", "4"): ("columns", "", 4, 1), ("Users", "Al"): ("user", "", 2, 1), ("Users", "bo"): ("user", "", 1, 3), ("Hosts", "h1"): ("host", "", 2, 1), ("Hosts", "h2"): ("host", "", 1, 2),
+        ("Addresses", "8.8.8.8"): (got["Addresses", "8.8.8.8"][0], "IPv4", 1, 3), ("Private networks", "10.0.0.0/24"): ("/24", "2 addresses", 2, 1), ("Browsers", "Firefox"): ("browser", "", 1, 1),
+        ("Hosts of users", "Al"): ("user", "h1", 1, 1), ("Hosts of users", "al"): ("user", "h2", 1, 2), ("Hosts of users", "bo"): ("user", "h1", 1, 3), ("Users of hosts", "h1"): ("host", "Al; bo", 2, 1), ("Users of hosts", "h2"): ("host", "al", 1, 2),
+    }
 
 
 def intrusion(spark, n=2000):
