@@ -56,6 +56,22 @@ def analyze_timestamps(df: DataFrame, column: str, with_samples: bool = False) -
     return counts.withColumns({"needs_timezone": F.col("naive_rows") > 0, "needs_date_convention": F.col("ambiguous") & (F.col("month_first") == F.col("day_first")), "conflicting": F.col("month_first") & F.col("day_first")})
 
 
+def zone_problems(df: DataFrame, column: str, zone: str, convention: str | None = None) -> DataFrame:
+    """row_num, source_text, problem: naive times that a named zone skips or has twice."""
+    rows = _values(df, column).select("row_num", "source_text", F.when(times.classify(F.col("v")) == "naive", times.naive_local(F.col("v"), convention)).alias("local"))
+    return _zone_problems(rows, zone)
+
+
+def _zone_problems(rows: DataFrame, zone: str) -> DataFrame:
+    local = F.col("local")
+    utc = F.to_utc_timestamp(local, zone)
+    shifted = lambda minutes: F.from_utc_timestamp(utc + F.expr(f"interval {minutes} minutes"), zone) == local
+    gap = F.from_utc_timestamp(utc, zone) != local
+    twice = shifted(60) | shifted(-60) | shifted(30) | shifted(-30)
+    told = F.when(gap, "does not exist").when(twice, "is ambiguous")
+    return rows.select("row_num", "source_text", F.when(local.isNotNull(), told).alias("problem")).filter("problem is not null")
+
+
 def normalize_timestamps(df: DataFrame, column: str, tz: str | None = None, convention: str | None = None) -> DataFrame:
     """row_time: row_num, event_time, epoch_ms, utc_text, source_text, parse_status, for the rows that parse.
 
@@ -84,12 +100,8 @@ def normalize_timestamps(df: DataFrame, column: str, tz: str | None = None, conv
     else:
         zone = tz.strip()
         utc, status = F.to_utc_timestamp(local, zone), "naive_with_iana_timezone"
-        shifted = lambda minutes: F.from_utc_timestamp(utc + F.expr(f"interval {minutes} minutes"), zone) == local
-        gap = F.from_utc_timestamp(utc, zone) != local
-        twice = shifted(60) | shifted(-60) | shifted(30) | shifted(-30)
-        bad = rows.filter(local.isNotNull() & (gap | twice)).select("row_num", "source_text", gap.alias("gap")).orderBy("row_num").first()
-        if bad:
-            raise TimeError(f"row {bad['row_num']} timestamp '{bad['source_text']}' {'does not exist' if bad['gap'] else 'is ambiguous'} in {zone}")
+        if bad := _zone_problems(rows, zone).orderBy("row_num").first():
+            raise TimeError(f"row {bad['row_num']} timestamp '{bad['source_text']}' {bad['problem']} in {zone}")
     time = F.coalesce("epoch", "instant", utc)
     parsed = rows.select("row_num", time.alias("event_time"), "source_text", F.when(F.col("epoch").isNotNull(), "epoch").when(F.col("instant").isNotNull(), "explicit_offset").otherwise(status).alias("parse_status"))
     # a plain filter would be pushed below the parsing and repeat it: rows that don't parse leave as empty arrays

@@ -202,10 +202,13 @@ def row_numbers(spark, d):
     return src.with_row_num(read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("row_num", "c_name")
 
 
-@query("fingerprint")
+_PRINTED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+@query("fingerprint", f"SELECT count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(md5(concat_ws(chr(31), {', '.join(_PRINTED)})), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM lineitem")
 def fingerprint(spark, d):
     """An order-independent digest of all line items."""
-    return src.fingerprint(read(spark, d, "lineitem"))
+    return src.fingerprint(read(spark, d, "lineitem").select(*_PRINTED))
 
 
 # --- times ---------------------------------------------------------------------------------------------------
@@ -331,9 +334,22 @@ def scan_summary(spark, d):
     return matching.scan_summary(docs_log(spark, d), doc_matches(spark, d))
 
 
-@query("builtin_matches")
+def _keyword_sql(library, cells: str) -> str:
+    """All keyword columns of a library's matches in ``cells`` (row_num, column_name, cell)."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = [f"({quote(t['techniqueId'])}, {quote(t['name'])}, {quote(x['id'])}, {quote(x['name'])}, {quote(k['pattern'])}, {quote(matching._fold(k['pattern']))}, {str(k.get('match') == 'word' or (k['pattern'].isalnum() and len(k['pattern']) <= 3)).lower()}, {k['score']})" for t in library.techniques for x in t["tactics"] for k in t["keywords"]]
+    return f"""SELECT row_num, tactic_id, tactic_name, technique_id, technique_name, keyword, column_name, CAST(score AS INTEGER) AS score, 'keyword' AS source FROM (
+  SELECT row_num, column_name, translate(cell, {_AZ}) AS low, p.* FROM {cells}, (VALUES {', '.join(rows)}) AS p(technique_id, technique_name, tactic_id, tactic_name, keyword, folded, whole, score) WHERE strpos(translate(cell, {_AZ}), folded) > 0)
+  WHERE NOT whole OR NOT regexp_matches(CASE WHEN strpos(low, folded) > 1 THEN substr(low, strpos(low, folded) - 1, 1) ELSE '' END || substr(low, strpos(low, folded) + length(folded), 1), '[\\p{{L}}\\p{{N}}]')"""
+
+
+_KEPT = "k AS (SELECT * FROM sec WHERE lower(process_name) NOT LIKE '%qualys%' AND lower(process_name) NOT LIKE '%msedge_crashpad_handler.exe%')"
+_EVIDENCE = " UNION ALL ".join(f"SELECT row_num, '{c}' AS column_name, {c} AS cell FROM k" for c in ("command_line", "process_name", "computer"))
+
+
+@query("builtin_matches", f"{_SEC}, {_KEPT} {_keyword_sql(matching.load_library(), f'({_EVIDENCE})')}")
 def builtin_matches(spark, d):
-    """The built-in library's keywords and rules over the security log, ignored rows left out."""
+    """The built-in library over the security log, ignored rows left out; its rules need columns that this log hasn't."""
     log = security(spark, d)
     return matching.scan(log, matching.load_library(), META, ROLES, rules.ignored_rows(log, rules.load_rules(), META, ROLES))
 
@@ -468,11 +484,10 @@ def rare_user_host(spark, d):
     return an.rare_user_host(src.number_by(read(spark, d, "orders"), "o_orderkey"), "o_custkey", "o_orderpriority", cap=None).select("row_num")
 
 
-@query("off_hours", "WITH t AS (SELECT event_id + 1 AS row_num, hour(ts) >= 22 OR hour(ts) < 6 AS off FROM events WHERE NOT (hour(ts) < 6 AND user_id % 3 > 0) AND NOT (hour(ts) >= 22)) SELECT row_num FROM t WHERE off AND (SELECT count(*) FILTER (off) / count(*) FROM t) < 0.15 AND (SELECT count(*) FROM t) >= 50")
+@query("off_hours", "WITH t AS (SELECT event_id + 1 AS row_num, hour(ts) >= 22 OR hour(ts) < 6 AS off FROM events) SELECT row_num FROM t WHERE off AND (SELECT count(*) FILTER (off) / count(*) FROM t) < 0.5 AND (SELECT count(*) FROM t) >= 50")
 def off_hours(spark, d):
-    """Night rows where they are few: two thirds of the night's events are left out first."""
-    log = read(spark, d, "events").filter("NOT (hour(ts) < 6 AND user_id % 3 > 0) AND NOT (hour(ts) >= 22)").select((F.col("event_id") + 1).alias("row_num"))
-    return an.off_hours(log, security_times(spark, d), cap=None).select("row_num")
+    """Night rows, if they are under half of all: these events have no quiet nights."""
+    return an.off_hours(events_log(spark, d).select("row_num"), security_times(spark, d), below_share=0.5, cap=None).select("row_num")
 
 
 @query("anomaly_summary", f"SELECT category, count(*) AS findings, count(DISTINCT row_num) AS rows FROM ({_CELLS}) GROUP BY category")
@@ -639,7 +654,7 @@ def report_timeline(spark, d):
     return rollups.timeline_table(event_matches(spark, d), log, meta, {"host": Role("user_id")}, security_times(spark, d)).select("row_num", "tactic_id", "evidence", "host")
 
 
-@query("report_attack_story", "WITH h AS (SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 3), e AS (SELECT user_id, event_id + 1 AS row_num, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events JOIN h USING (user_id)) SELECT row_num, 'event' AS line FROM e WHERE k <= 500 UNION ALL SELECT min(row_num), 'chain' FROM e GROUP BY user_id")
+@query("report_attack_story", "WITH h AS (SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 3), e AS (SELECT user_id, event_id + 1 AS row_num, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events JOIN h USING (user_id)) SELECT row_num, 'event' AS line FROM e UNION ALL SELECT min(row_num), 'chain' FROM e GROUP BY user_id")
 def report_attack_story(spark, d):
     """Chains and their events."""
     log, matches = events_log(spark, d), event_matches(spark, d)
