@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, MULT, buckets, cut, few, flushes, grams, mix, ranges, table, texts, word_spans
+from logsift.llm.common import LOWER, MULT, buckets, cut, few, flushes, give_back, grams, mix, ranges, table, texts, word_spans
 from logsift.llm.components import components
 
 SEED = 42
@@ -332,6 +332,7 @@ def _dealt(n: int, turn: int):
                         yield pa.RecordBatch.from_arrays([_bucket(a.view(np.uint64), n), none, pa.array(a), pa.array(far), none, none, pa.array(b)], names=_NAMES)
                     longs = (key[keep].view(np.int64), sig[keep], group[keep], *(np.ascontiguousarray(check[keep, j]).view(np.int64) for j in (0, 1)))
                     yield pa.RecordBatch.from_arrays([_bucket(key[keep], n), *map(pa.array, longs), pa.nulls(int(keep.sum()), pa.int64())], names=_NAMES)
+        give_back()
 
     return scan
 
@@ -360,6 +361,7 @@ def _alike(least: float):
                     common = int((both[1:] == both[:-1]).sum())
                     keep[i] = common >= least * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     return scan
 
