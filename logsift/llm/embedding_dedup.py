@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.common import buckets, cut, mix, table
+from logsift.llm.common import buckets, cut, few, mix, table
 from logsift.llm.components import components
 
 
@@ -78,16 +78,30 @@ def _index(told, near: int, n: int):
 _BLOCK = 1024
 
 
+#: Lists of more vectors than this are cut into parts of about as many, and each pair of parts goes to a task of its own.
+LIST = 4096
+
+
+def _split(index: DataFrame, n: int, most: int) -> DataFrame:
+    """Add pair and part: which two parts of a long list a row meets in (0 in short lists), and its own part."""
+    long = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    told = index.join(few(long), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.lit(0)))
+    with_ = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    pair = F.transform(with_, lambda x: F.shiftleft(F.least(x, F.col("part")).cast("long"), 32) + F.greatest(x, F.col("part")))
+    rows = told.withColumn("pair", F.explode(pair))
+    return rows.withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.pmod(F.xxhash64("key", "pair"), F.lit(n)).cast("int"))).drop("parts")
+
+
 def _compare(threshold: float):
     """Verify all pairs of a list that have it as their least shared key, in blocks; count links and join classes.
 
-    A pair is counted in one list only. Lists are compared block by block and only a forest of their links is
+    A pair is counted in one list only, and in one pair of a long list's parts. Lists are compared block by block and only a forest of their links is
     given out, so what leaves grows with the list, not with its pairs.
     """
 
     def reduce(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by([("key", "ascending"), ("rep", "ascending")])
-        key, rep, copies = (rows.column(c).to_numpy() for c in ("key", "rep", "copies"))
+        rows = rows.combine_chunks().sort_by([("key", "ascending"), ("pair", "ascending"), ("rep", "ascending")])
+        key, rep, copies, pair, part = (rows.column(c).to_numpy() for c in ("key", "rep", "copies", "pair", "part"))
         vectors, keys = (rows.column(c).combine_chunks() for c in ("vector", "keys"))
         vectors, keys = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (vectors, keys))
         flat, at = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64), np.asarray(vectors.offsets) - vectors.offsets[0].as_py()
@@ -101,7 +115,7 @@ def _compare(threshold: float):
                 x = root[x]
             return x
 
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))) if len(key) else np.zeros(0, np.int64)
         for a, b in zip(head, np.append(head[1:], len(key))):
             if b - a < 2:
                 continue
@@ -112,7 +126,8 @@ def _compare(threshold: float):
                 for j in range(i, b - a, _BLOCK):
                     p, q = np.nonzero(x[i : i + _BLOCK] @ x[j : j + _BLOCK].T >= threshold)
                     p, q = p + i, q + j
-                    k = p < q
+                    # within one part in its own task only
+                    k = (p < q) & ((part[a + p] != part[a + q]) | (pair[a] >> 32 == pair[a] & 0xFFFFFFFF))
                     p, q = p[k], q[k]
                     for c in range(0, len(p), 1 << 16):
                         s, t = p[c : c + (1 << 16)], q[c : c + (1 << 16)]
@@ -135,14 +150,16 @@ def _compare(threshold: float):
     return reduce
 
 
-def embedding_dedup(rows: DataFrame, threshold: float = 0.93, near: int = 5, pivots: int | None = None, candidates: int = 4096, apart: float = 0.8) -> DataFrame:
+def embedding_dedup(rows: DataFrame, threshold: float = 0.93, near: int | None = None, pivots: int | None = None, candidates: int = 4096, apart: float = 0.8, most: int = LIST) -> DataFrame:
     """Link vectors of one label whose cosine is ``threshold`` or more; their number of links and components.
 
     Method: equal vectors of a label are one class. A bounded hash sample of ``candidates`` classes gives the
     pivots (about the square root of the number of classes, 64 to 2048). Each class is described by its ``near``
-    nearest pivots and posted in the inverted list of every pair of them; classes that share two pivots or more
-    meet in a list and their cosine is verified in double precision. Every vector is indexed. The lists are
-    approximate in what they bring together, never in what they link: recall is measured in the tests.
+    nearest pivots (by default 5 of 64, 6 of 256, 7 of 1024 and 8 of 2048, as more pivots lie between two near
+    vectors) and posted in the inverted list of every pair of them; classes that share two pivots or more meet in a
+    list and their cosine is verified in double precision. Every vector is indexed. Lists of more than ``most`` are
+    cut into parts, and the pairs of parts are compared in tasks of their own. The lists are approximate in what they
+    bring together, never in what they link: recall is measured in the tests.
 
     Returns vec_id, n_links (other vectors linked directly, copies included), component_id (the smallest vec_id
     reachable by links, itself included) and kept (it is that one).
@@ -161,10 +178,11 @@ def embedding_dedup(rows: DataFrame, threshold: float = 0.93, near: int = 5, piv
     count = classes.count()
     n = pivots or int(min(2048, max(64, 2 ** round(np.log2(max(count, 1)) / 2))))
     told = spark.sparkContext.broadcast(choose_pivots(classes, n, candidates, apart))
+    near = near or max(5, round(np.log2(n) / 2) + 2)
     deal = buckets(rows)
     posted = classes.drop("class")
     index = posted.mapInArrow(_index(told, near, deal), f"bucket int, key long, rep long, copies long, vector {kind}, keys array<long>")
-    found = cut(index.groupBy("bucket").applyInArrow(_compare(threshold), "rep long, links long, other long"))
+    found = cut(_split(index, deal, most).groupBy("bucket").applyInArrow(_compare(threshold), "rep long, links long, other long"))
     groups = components(found, "rep", "other")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("class", "rep", "copies").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("class", "rep", "copies", "links", "component")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logsift.llm.components import components
@@ -63,6 +64,29 @@ def test_a_large_group_of_near_copies(spark):
     assert {v[1] for v in got.values()} == {1} and got[5000][0] >= 0.97 * 1501
 
 
+def test_long_lists_are_compared_in_parts(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=32)
+    rows = [(i, [float(np.float32(x)) for x in c + rng.normal(size=32) * rng.uniform(0.02, 0.4)], 1) for i in range(1, 401)]
+    assert found(spark, rows, most=50) == found(spark, rows)
+
+
+@pytest.mark.parametrize("pivots", [256, 2048])
+def test_recall_with_many_pivots(spark, pivots):
+    # pairs at a cosine of 0.93 to 0.97: links that more pivots could keep apart
+    rng = np.random.default_rng(pivots)
+    rows = []
+    for _ in range(2500):
+        a, b = rng.normal(size=64), rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        cos = rng.uniform(0.93, 0.97)
+        rows += [a, cos * a + math.sqrt(1 - cos * cos) * b / np.linalg.norm(b)]
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(rows, 1)]
+    expected, got = plain(rows), found(spark, rows, pivots=pivots)
+    assert sum(v[0] for v in got.values()) >= 0.95 * sum(v[0] for v in expected.values()) > 0
+
+
 def test_query_is_brute_force(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in query(spark, small).collect()}
