@@ -59,8 +59,10 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str]):
-        self.idf, self.centroids, self.langs = idf.astype(np.float32), centroids.astype(np.float32), langs
+    """``floors``: the cosine that all but one in a hundred of a centroid's own training rows have to it."""
+
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floors: np.ndarray):
+        self.idf, self.centroids, self.langs, self.floors = idf.astype(np.float32), centroids.astype(np.float32), langs, floors
 
 
 def fit(labelled: DataFrame, per_model: int, k: int, sizes: tuple[int, ...], dims: int) -> Model | None:
@@ -98,15 +100,19 @@ def fit(labelled: DataFrame, per_model: int, k: int, sizes: tuple[int, ...], dim
         counts = np.zeros(dims, np.float32)
         counts[place] = seen_there
         sample.setdefault(lang, []).append(_weights(counts, idf).astype(np.float32))
-    centroids, langs = [], []
+    centroids, langs, floors = [], [], []
     for lang in sorted(sample):
-        c = cluster(np.stack(sample[lang]), k)
+        x = np.stack(sample[lang])
+        c = cluster(x, k)
+        cosine = x @ c.T
+        near = cosine.argmax(axis=1)
+        floors += [float(np.quantile(cosine[near == j, j], 0.01)) if (near == j).any() else 0.0 for j in range(len(c))]
         centroids.append(c)
         langs += [lang] * len(c)
-    return Model(idf, np.concatenate(centroids), langs) if langs else None
+    return Model(idf, np.concatenate(centroids), langs, np.array(floors)) if langs else None
 
 
-def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, sizes: tuple[int, ...] = (1, 2, 3), dims: int = 4096, reject_below: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, sizes: tuple[int, ...] = (1, 2, 3), dims: int = 4096, reject_below: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
     """The language of every whole text.
 
     Method: hashed byte n-grams (``sizes``, ``dims``) weighted by TF-IDF and normalised are compared by cosine with
@@ -115,7 +121,8 @@ def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, siz
     (shared evenly by the languages, at least 20 each) for the centroids.
 
     Returns doc_id, the columns of ``carry`` (which may name the text), lang_pred, score (the best cosine, 0 to 1) and rejected: no letter, or
-    too far from every centroid (score under ``reject_below``).
+    too far from its nearest centroid: the score is under ``reject_below`` times the cosine that all but one in a hundred
+    of that centroid's own training rows have.
 
     Defined cases: a text that is null or has no letter is `und` with score 0; all texts are where nothing can be
     learned; ties go to the language that sorts first; rows without doc_id aren't learned from; repeated rows count
@@ -132,13 +139,13 @@ def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, siz
         model = told.value
         for flush in flushes(batches, most=1 << 20):
             lettered = flush.rows.column(flush.rows.schema.get_field_index("lettered")).to_pylist()
-            langs, scores, block, at = ["und"] * flush.n, np.zeros(flush.n), [], []
+            langs, scores, far, block, at = ["und"] * flush.n, np.zeros(flush.n), np.ones(flush.n, bool), [], []
 
             def judge():
                 if block:
                     cosine = np.stack(block) @ model.centroids.T
                     for i, best, c in zip(at, cosine.argmax(axis=1).tolist(), cosine.max(axis=1).tolist()):
-                        langs[i], scores[i] = model.langs[best], min(1.0, max(0.0, c))
+                        langs[i], scores[i], far[i] = model.langs[best], min(1.0, max(0.0, c)), c < reject_below * model.floors[best]
                     block.clear(), at.clear()
 
             if model is not None:
@@ -150,8 +157,7 @@ def identify(docs: DataFrame, learn=None, per_model: int = 2000, k: int = 4, siz
                         judge()
                 judge()
             columns = [flush.rows.column(flush.rows.schema.get_field_index(c)) for c in names]
-            rejected = (scores < reject_below) | ~np.array(lettered, bool)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores), pa.array(far)], names=[*names, "lang_pred", "score", "rejected"])
 
     kinds = dict(source.dtypes)
     return source.mapInArrow(scan, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double, rejected boolean")
@@ -161,4 +167,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: the predicted language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, learn=fold("doc_id", 4) != 2)
-    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -49,6 +49,14 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([a == b for a, b in held]) >= 0.98
 
 
+def test_language_far_from_every_centroid_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "qxz " * 200, None), (-2, "zzzz" * 300, None), (-3, "Ω≈ç√ " * 90, None)], docs.schema)
+    got = {r["doc_id"]: r["rejected"] for r in language_id.identify(docs.union(odd), learn="doc_id >= 0").collect()}
+    assert all(got[i] for i in (-1, -2, -3))
+    assert sum(v for d, v in got.items() if d >= 0) <= 0.002 * len(got)
+
+
 def test_language_edges(spark):
     from pyspark.sql import functions as F
 
