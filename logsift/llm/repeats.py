@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import buckets, flushes, grams, ranges, winnow, word_spans
+from logsift.llm.common import buckets, cut, few, flushes, grams, ranges, winnow, word_spans
 
 BLOCK, SEED, WINDOW, DONE = 0, 1, 2, 3
 LATER, SHARED, SEEDED = 0, 1, 2
@@ -221,12 +221,26 @@ def _windows(shape: Shape, n: int):
     return scan
 
 
+def one_text(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, others) of ``docs`` with doc_id: where texts of one doc_id differ, those of the least hash, and the rest.
+
+    Marks go to documents by their id, so only one text of an id can take part.
+    """
+    several = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"), F.max(F.xxhash64("text")).alias("most")).filter("h <> most")
+    several = cut(several.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
+    if several.isEmpty():
+        return docs, docs.limit(0)
+    told = docs.join(few(several), F.col("doc_id") == F.col("_id"), "left")
+    mine = F.col("_h").isNull() | (F.col("_h") == F.xxhash64("text"))
+    return told.filter(mine).drop("_id", "_h"), told.filter(~mine).drop("_id", "_h")
+
+
 def repeated(docs: DataFrame, shape: Shape, first_too: bool) -> DataFrame:
     """(doc_id, marks) of the documents with repeated windows; ``docs`` has doc_id, never null, and text.
 
     A mark packs a state and a half-open range of window starts: ``LATER`` where a smaller doc_id has the
     window too, ``SHARED`` (only with ``first_too``) where only larger ones have it. Rows that
-    repeat a doc_id are one document, whose text they must repeat.
+    repeat a doc_id are one document and have one text (see ``one_text``).
     """
     n = buckets(docs)
     seeds = _marked(docs.select("doc_id", "text").mapInArrow(_seeds(shape, n), _KEYS_DDL), first_too)

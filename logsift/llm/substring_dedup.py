@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from logsift.llm.common import flushes, runs, texts, word_spans
-from logsift.llm.repeats import LATER, Shape, cover, repeated
+from logsift.llm.repeats import LATER, Shape, cover, one_text, repeated
 
 SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
 
@@ -68,14 +68,15 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, seed_words: int = 5, l
 
     Defined cases: a null or empty text has no words; a text shorter than a window keeps everything; a row
     without doc_id neither loses words nor takes any; repeated rows of one doc_id are one document and each
-    gets its result; an empty table gives an empty result; other columns are ignored.
+    gets its result; where texts of one doc_id differ, those of the least hash are the document and the others are
+    treated like rows without doc_id; an empty table gives an empty result; other columns are ignored.
     """
     shape = Shape(min_words, seed_words)
     source = texts(docs, *carry)
-    known = source.filter("doc_id is not null")
+    known, others = one_text(source.filter("doc_id is not null"))
     # the same rows meet marks twice, so that Spark deals the texts out once
     joined = known.join(repeated(known, shape, first_too=False), "doc_id", "left")
-    joined = joined.union(source.filter("doc_id is null").withColumn("marks", F.lit(None).cast("array<long>")).select(joined.columns))
+    joined = joined.union(source.filter("doc_id is null").union(others).withColumn("marks", F.lit(None).cast("array<long>")).select(joined.columns))
     columns = ["doc_id", *carry]
     out = T.StructType([source.schema[c] for c in columns])
     out = out.add("n_words", "long").add("n_removed", "long").add("spans", SPANS).add("kept", "string")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from logsift.llm.common import pieces, runs, table, texts
-from logsift.llm.repeats import LATER, SHARED, Shape, repeated, unpacked
+from logsift.llm.repeats import LATER, SHARED, Shape, one_text, repeated, unpacked
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 
@@ -48,10 +48,10 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, gram: int = 8) -> DataFra
     without repeated passages have no row. Repeats inside one document don't count.
 
     Defined cases: null, empty and short texts have no spans; rows without doc_id are left out; repeated rows of
-    one doc_id are one document; an empty table gives an empty result; other columns are ignored.
+    one doc_id are one document, and of several texts of one doc_id that of the least hash is taken; an empty table gives an empty result; other columns are ignored.
     """
     shape = Shape(min_words, gram)
-    marks = repeated(texts(docs).filter("doc_id is not null"), shape, first_too=True)
+    marks = repeated(one_text(texts(docs).filter("doc_id is not null"))[0], shape, first_too=True)
     return marks.mapInArrow(_spans(shape), "doc_id long, start_word long, n_words long, n_removed long")
 
 
