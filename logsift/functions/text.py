@@ -58,27 +58,29 @@ def leading_number(c: Column) -> Column:
 
 
 # templates: what stands for a changing part of a log line
+_EDGE = r"\p{Punct}&&[^./]"
+
+
+def _kind(core: str) -> str:
+    """A pattern of a whole token: marks at its edges, and a core that has none of them at its ends."""
+    return rf"(?<!\S)([{_EDGE}]*+)(?:{core})(?<![{_EDGE}])([{_EDGE}]*+)(?!\S)"
+
+
+_KINDS = (
+    (f"{IPV4}|{IPV6}", "<ip>"), (r"[sS]-1-\S*", "<sid>"),
+    (r"(?=[0-9a-fA-F-]{36}(?![0-9a-fA-F]))(?:[0-9a-fA-F]*-){4}[0-9a-fA-F]*", "<guid>"), (r"[0-9a-fA-F]{16,}", "<hash>"),
+)
+
+
 def normalize_tokens(c: Column) -> Column:
     """White-space tokens in lower case, addresses, identifiers, hashes and numbers replaced by their kind."""
-
-    edge = r"[\p{Punct}&&[^./]]*"
-
-    def one(t: Column) -> Column:
-        before, core, after = (F.regexp_extract(t, rf"(?s)^({edge})(.*?)({edge})$", g) for g in (1, 2, 3))
-        as_kind = lambda kind: F.concat(F.lower(before), F.lit(kind), F.lower(after))
-        return (
-            F.when(core.rlike(f"^(?:{IPV4}|{IPV6})$"), as_kind("<ip>"))
-            .when(core.rlike("(?i)^s-1-"), as_kind("<sid>"))
-            .when(core.rlike(r"^(?=.{36}$)(?:[0-9a-fA-F]*-){4}[0-9a-fA-F]*$"), as_kind("<guid>"))
-            .when(core.rlike(r"^[0-9a-fA-F]{16,}$"), as_kind("<hash>"))
-            .otherwise(F.regexp_replace(F.regexp_replace(F.lower(t), r"[0-9]+", "<number>"), r"\p{Cntrl}", " "))
-        )
-
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    # most tokens, and many cells, have nothing to replace
-    changing = r"[0-9:\p{Cntrl}]|[a-fA-F]{16}"
-    each = F.transform(words, lambda t: F.when(t.rlike(changing), one(t)).otherwise(F.lower(t)))
-    return F.when(c.rlike(r"[0-9:]|[a-fA-F]{16}|[\p{Cntrl}&&[^\s]]"), F.array_join(each, " ")).otherwise(F.lower(F.array_join(words, " ")))
+    plain = F.regexp_replace(trim(c), r"\s+", " ")
+    line = plain
+    for core, kind in _KINDS:
+        line = F.regexp_replace(line, _kind(core), f"$1{kind}$2")
+    line = F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "<number>"), r"\p{Cntrl}", " ")
+    # many cells have nothing to replace
+    return F.when(c.rlike(r"[0-9:]|[a-fA-F]{16}|[\p{Cntrl}&&[^\s]]"), line).otherwise(F.lower(plain))
 
 
 def informative(c: Column) -> Column:

@@ -38,9 +38,9 @@ def explicit_instant(c: Column) -> Column:
     return F.coalesce(offset, F.when(c.rlike(r"[Zz]$"), naive_local(F.regexp_replace(c, r"\s*[Zz]$", ""), None)))
 
 
-def slash_evidence(c: Column) -> Column:
+def slash_evidence(c: Column, trimmed: bool = False) -> Column:
     """month_first, day_first or ambiguous for a date written with slashes, year last; null for anything else."""
-    v = trim(c)
+    v = c if trimmed else trim(c)
     return F.when(v.rlike(f"^{_LOW}/{_LOW}/{_YEAR}"), "ambiguous").when(v.rlike(f"^{_LOW}/{_HIGH}/{_YEAR}"), "month_first").when(v.rlike(f"^{_HIGH}/{_LOW}/{_YEAR}"), "day_first")
 
 
@@ -55,15 +55,20 @@ def naive_local(c: Column, convention: str | None) -> Column:
     return F.coalesce(plain, own)
 
 
-def classify(c: Column) -> Column:
-    """blank, epoch, explicit_offset, naive or invalid; a slash date that could be read both ways counts as naive."""
-    v = trim(F.coalesce(c, F.lit("")))
+def kind(v: Column, epoch: Column, instant: Column, evidence: Column, local: Column) -> Column:
+    """blank, epoch, explicit_offset, naive or invalid of a trimmed value, from what it has been read as."""
     return (
-        F.when(v == "", "blank").when(epoch_millis(v).isNotNull(), "epoch").when(explicit_instant(v).isNotNull(), "explicit_offset")
-        .when((slash_evidence(v) == "ambiguous") | naive_local(v, None).isNotNull(), "naive").otherwise("invalid")
+        F.when(v == "", "blank").when(epoch.isNotNull(), "epoch").when(instant.isNotNull(), "explicit_offset")
+        .when((evidence == "ambiguous") | local.isNotNull(), "naive").otherwise("invalid")
     )
 
 
+def classify(c: Column) -> Column:
+    """The kind of a value; a slash date that could be read both ways counts as naive."""
+    v = trim(F.coalesce(c, F.lit("")))
+    return kind(v, epoch_millis(v), explicit_instant(v), slash_evidence(v, True), naive_local(v, None))
+
+
 def zone_seconds(zone: str) -> int | None:
     """Seconds east of UTC for a fixed offset like +02, +0200, +02:00, UTC+2:00; None for a named zone."""
     import re

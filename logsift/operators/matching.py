@@ -88,6 +88,17 @@ def _literal(records: list[dict], kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(records)), f"array<{kind}>")
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern that finds any of some texts. It is a tree by first characters, so that few branches are tried at a place."""
+    if "" in words:
+        return ""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    parts = [(c if c.isalnum() or c in ' "<>/\'' else re.escape(c)) + any_of(sorted(set(rest))) for c, rest in sorted(by_first.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def _hits(low: Column, library: Library) -> Column:
     """Array of the patterns in a folded cell: one hit a pattern, the first place of whole words tested."""
     records, guards = [], []
@@ -96,7 +107,7 @@ def _hits(low: Column, library: Library) -> Column:
             p = k["pattern"]
             whole = k.get("match") == "word" or (p.isalnum() and len(p) <= 3)
             records.append({"technique_id": t["techniqueId"], "technique_name": t["name"], "tactics": [{"id": x["id"], "name": x["name"]} for x in t["tactics"]], "keyword": p, "folded": _fold(p), "whole": whole, "score": k["score"]})
-            guards.append(re.escape(_fold(p)).replace(r"\ ", " "))
+            guards.append(_fold(p))
 
     def hit(p: Column) -> Column:
         at = F.position(p["folded"], low)
@@ -104,7 +115,7 @@ def _hits(low: Column, library: Library) -> Column:
         after = F.substring(low, at + F.char_length(p["folded"]), F.lit(1))
         return (at > 0) & (~p["whole"] | ~F.concat(before, after).rlike(r"[\p{L}\p{N}]"))
 
-    return F.when(low.rlike("|".join(guards)), F.filter(_literal(records, _HIT), hit))
+    return F.when(low.rlike(any_of(guards)), F.filter(_literal(records, _HIT), hit))
 
 
 def match_keywords(df: DataFrame, library: Library, evidence: list[str]) -> DataFrame:
@@ -181,6 +192,6 @@ def tag_text(df: DataFrame, column: str, library: Library) -> DataFrame:
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text(f"`{column}`")), "[^0-9a-z]+", " ")), F.lit(" "))
     terms = [{"technique_id": t, "term": f" {p} "} for t, p in _terms(library)]
     named = F.filter(_literal(terms, "struct<technique_id:string,term:string>"), lambda x: F.col("_words").contains(x["term"]))
-    guard = "|".join(sorted({re.escape(x["term"]).replace(r"\ ", " ") for x in terms}))
+    guard = any_of(sorted({x["term"] for x in terms}))
     rows = df.select("row_num", words.alias("_words")).filter(F.col("_words").rlike(guard))
     return rows.select("row_num", F.explode(F.array_distinct(F.transform(named, lambda x: x["technique_id"]))).alias("technique_id"))

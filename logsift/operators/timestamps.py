@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions import times
@@ -20,6 +20,13 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select("row_num", source.alias("source_text"), trim(source).alias("v"))
 
 
+def _kinds(df: DataFrame, column: str) -> DataFrame:
+    """(row_num, source_text, v, kind, e, local): every value is read once, step by step."""
+    v = F.col("v")
+    read = _values(df, column).select("row_num", "source_text", "v", times.epoch_millis(v).alias("epoch"), times.explicit_instant(v).alias("instant"), times.slash_evidence(v, True).alias("e"), times.naive_local(v, None).alias("local"))
+    return read.select("row_num", "source_text", "v", times.kind(v, F.col("epoch"), F.col("instant"), F.col("e"), F.col("local")).alias("kind"), "e", "local")
+
+
 def samples(values: DataFrame, kind: str, n: int = 5) -> DataFrame:
     """(kind, samples): the first ``n`` values of each kind by row number; a top-n for each kind, not a sort of all rows."""
     rows = None
@@ -32,7 +39,7 @@ def samples(values: DataFrame, kind: str, n: int = 5) -> DataFrame:
 def infer_date_convention(df: DataFrame, column: str) -> DataFrame:
     """One row: month_first and day_first evidence over all rows, the convention inferred, conflicting, ambiguous rows
     and the first five ambiguous values (by row number)."""
-    seen = _values(df, column).select("row_num", "source_text", times.slash_evidence(F.col("v")).alias("e"))
+    seen = _values(df, column).select("row_num", "source_text", times.slash_evidence(F.col("v"), True).alias("e"))
     first = seen.filter("e = 'ambiguous'").orderBy("row_num", "source_text").limit(5)
     shown = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("row_num", "source_text"))), lambda x: x["source_text"]).alias("ambiguous_samples"))
     found = seen.agg(*[F.coalesce(F.bool_or(F.col("e") == k), F.lit(False)).alias(k) for k in ("month_first", "day_first")], F.count_if(F.col("e") == "ambiguous").alias("ambiguous_rows"))
@@ -45,31 +52,37 @@ def analyze_timestamps(df: DataFrame, column: str, with_samples: bool = False) -
 
     ``with_samples`` adds a map of each kind's first five values, a further pass.
     """
-    values = _values(df, column).select(times.classify(F.col("v")).alias("kind"), times.slash_evidence(F.col("v")).alias("e"))
+    values = _kinds(df, column).select("kind", "e")
     counts = values.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("kind") == k).alias(f"{k}_rows") for k in KINDS],
         *[F.coalesce(F.bool_or(F.col("e") == k), F.lit(False)).alias(k) for k in ("month_first", "day_first", "ambiguous")],
     )
     if with_samples:
-        shown = samples(_values(df, column).withColumn("kind", times.classify(F.col("v"))), "kind")
+        shown = samples(_kinds(df, column), "kind")
         counts = counts.join(F.broadcast(shown.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "samples")))).alias("samples"))))
     return counts.withColumns({"needs_timezone": F.col("naive_rows") > 0, "needs_date_convention": F.col("ambiguous") & (F.col("month_first") == F.col("day_first")), "conflicting": F.col("month_first") & F.col("day_first")})
 
 
 def zone_problems(df: DataFrame, column: str, zone: str, convention: str | None = None) -> DataFrame:
     """row_num, source_text, problem: naive times that a named zone skips or has twice."""
-    rows = _values(df, column).select("row_num", "source_text", F.when(times.classify(F.col("v")) == "naive", times.naive_local(F.col("v"), convention)).alias("local"))
+    v = F.col("v")
+    zoned = times.epoch_millis(v).isNotNull() | times.explicit_instant(v).isNotNull()
+    rows = _values(df, column).select("row_num", "source_text", F.when(~zoned, times.naive_local(v, convention)).alias("local"))
     return _zone_problems(rows, zone)
 
 
 def _zone_problems(rows: DataFrame, zone: str) -> DataFrame:
-    local = F.col("local")
+    # an array's entry is a value: what is in the lambda doesn't read the time again
+    local = F.get(F.transform(F.array("local"), lambda x: _problem(x, zone)), F.lit(0))
+    return rows.select("row_num", "source_text", F.explode(F.array_compact(F.array(local))).alias("problem"))
+
+
+def _problem(local: Column, zone: str) -> Column:
     utc = F.to_utc_timestamp(local, zone)
     shifted = lambda minutes: F.from_utc_timestamp(utc + F.expr(f"interval {minutes} minutes"), zone) == local
     gap = F.from_utc_timestamp(utc, zone) != local
     twice = shifted(60) | shifted(-60) | shifted(30) | shifted(-30)
-    told = F.when(gap, "does not exist").when(twice, "is ambiguous")
-    return rows.select("row_num", "source_text", F.when(local.isNotNull(), told).alias("problem")).filter("problem is not null")
+    return F.when(local.isNotNull(), F.when(gap, "does not exist").when(twice, "is ambiguous"))
 
 
 def normalize_timestamps(df: DataFrame, column: str, tz: str | None = None, convention: str | None = None) -> DataFrame:
