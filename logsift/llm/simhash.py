@@ -160,6 +160,8 @@ PARTS, PART_RADIUS = 8, 2
 CHECKS, FAR = 2, 34
 #: A document is compared with so many others each turn, at most.
 NEAR = 8
+#: See ``near_groups``.
+RARE = 1000
 #: Lists are compared whole up to this size and in blocks of it beyond.
 _BLOCK = 512
 #: Lists of more entries than this in one batch of a task are thinned out before the exchange.
@@ -243,24 +245,26 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def _block(sig, group, check, nearest: int) -> tuple[list, int]:
-    """Proposals (a, b, bits apart) of one block, and its medoid.
+def _block(sig, group, check, turn: int) -> tuple[tuple, int]:
+    """Proposals (a, b, bits apart) of one block, one an entry at most, and the block's medoid.
 
-    Every entry proposes its ``nearest`` ones of other groups, and the medoid: the entry that most others are near
-    to, which is the original of a group of near copies rather than a copy.
+    In the first turn every entry proposes the medoid, or its nearest if that is too far: the medoid is the entry
+    that most others are near to, which is the original of a group of near copies rather than a copy. In later turns those outside the block's largest group propose
+    the nearest entry of another group, the next nearest a turn later, and so on.
     """
     far = _apart(check[:, None], check[None])
     medoid = int((far <= FAR).sum(axis=1).argmax())
     far[group[:, None] == group[None]] = 1 << 20
-    m = np.flatnonzero(far[medoid] <= FAR)
-    if nearest < len(sig) - 1:
-        least = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
-        own, least = np.repeat(np.arange(len(sig)), nearest), least.reshape(-1)
-        k = far[own, least] <= FAR
-        x, y = own[k], least[k]
+    if turn == 0:
+        x = np.arange(len(sig))
+        y = np.where(far[medoid] <= FAR, medoid, far.argmin(axis=1))
     else:
-        x, y = np.nonzero(far <= FAR)
-    return [(sig[x], sig[y], far[x, y]), (sig[m], np.full(len(m), sig[medoid]), far[m, medoid])], medoid
+        names, size = np.unique(group, return_counts=True)
+        x = np.flatnonzero(group != names[size.argmax()])
+        rank = min(turn, len(sig) - 1) - 1
+        y = np.argpartition(far[x], rank, axis=1)[:, rank]
+    k = far[x, y] <= FAR
+    return (sig[x[k]], sig[y[k]], far[x[k], y[k]]), medoid
 
 
 def _compared(key, sig, group, check, turn: int) -> tuple[tuple, np.ndarray]:
@@ -277,7 +281,7 @@ def _compared(key, sig, group, check, turn: int) -> tuple[tuple, np.ndarray]:
     far = _apart(check[two], check[two + 1]) if len(two) else np.zeros(0, np.int64)
     k = (group[two] != group[two + 1]) & (far <= FAR) if len(two) else far > 0
     x = two[k]
-    told = [(sig[x], sig[x + 1], far[k]), (sig[x + 1], sig[x], far[k])]
+    told = [(sig[x], sig[x + 1], far[k])]
     out = np.zeros(len(key), bool)
     for a, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
         own = np.arange(a, a + n)
@@ -285,8 +289,8 @@ def _compared(key, sig, group, check, turn: int) -> tuple[tuple, np.ndarray]:
             leaders = []
             for i in range(0, len(own), _BLOCK):
                 x = own[i : i + _BLOCK]
-                pairs, medoid = _block(sig[x], group[x], check[x], min(4**turn, 64))
-                told += pairs
+                pairs, medoid = _block(sig[x], group[x], check[x], turn)
+                told.append(pairs)
                 leaders.append(x[medoid])
                 if n > _LOCAL:
                     near = x[_apart(check[x], check[x[medoid]]) <= FAR]
@@ -375,10 +379,11 @@ def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     Candidates also have to be near in two fingerprints of their shingle sets, and a pair is a link only if the exact sets of
     ``shingle``-word shingles have a Jaccard similarity of ``least`` or more. Documents of one set are one node.
 
-    A list isn't compared pair by pair at once: its entries propose their nearest ones and its medoid, and of all
-    that a document proposes the ``NEAR`` nearest are compared. Links are joined to components, and what is still
-    apart proposes others, until a turn finds no link. Tasks thin out the long lists of
-    their own rows first, so a large group of near copies sends a few entries a batch.
+    A list isn't compared pair by pair at once: each entry proposes the list's medoid, and of all that a document
+    proposes the ``NEAR`` nearest are compared. Links are joined to components, and what is still apart proposes its
+    nearest entries, a further one each turn. The turn that links no more than one in ``RARE`` of the documents that
+    have candidates is the last. Tasks thin out the long lists of their own rows first, so a large group of near copies
+    sends a few entries a batch.
 
     ``text_hash`` tells apart different texts of one doc_id; ``kept`` marks the least (doc_id, text_hash) of its group.
 
@@ -412,12 +417,15 @@ def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
             held = cut(own.groupBy("sig").agg(F.min("held").alias("held")))
         both = pairs.join(held.select(F.col("sig").alias("b"), F.col("held").alias("y")), "b").join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")), "a")
         found = cut(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
-        if found.isEmpty() and turn:
+        n_found = found.count()
+        if not n_found and turn:
             break
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         groups = components(links, "a", "b")
         live = near.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "words", F.coalesce("component", "sig").alias("grp"))
+        if turn and n_found * RARE <= near.count():
+            break
         turn += 1
     if groups is None:
         groups = nodes.select(F.col("sig").alias("node"), F.col("sig").alias("component")).limit(0)
