@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logsift.functions.patterns import OCTET
 from logsift.functions.text import clip, text, trim
 from logsift.functions.values import ipv4_number, private_ipv4
+from logsift.operators.matching import any_of
 from logsift.operators.rules import Role, suppress
 from logsift.spec import ColumnMeta
 
@@ -31,8 +32,8 @@ def first_ipv4(c: Column) -> Column:
     return F.when(found != "", F.regexp_replace(found, r"(^|\.)0+(?=[0-9])", "$1"))
 
 
-#: A cell without any of this, and of fewer bytes, has no finding.
-_ANY = r"(?i)-enc|frombase64string|[a-z0-9+/=]{60}|" + "|".join(LOLBINS) + "|" + "|".join(f.replace("\\", "\\\\") for f in STAGING) + rf"|\.(?:{'|'.join(DOCUMENT)})\.(?:{'|'.join(EXECUTABLE)})|[0-9]\.[0-9]|https?://"
+#: A folded cell without any of this, and of fewer bytes, has no finding.
+_ANY = any_of(["-enc", "frombase64string", "http://", "https://", *LOLBINS, *STAGING]) + rf"|[a-z0-9+/=]{{60}}|[0-9]\.[0-9]|\.(?:{'|'.join(DOCUMENT)})\.(?:{'|'.join(EXECUTABLE)})"
 _LONG = 100
 
 
@@ -41,7 +42,7 @@ def _derived(rows: DataFrame) -> DataFrame:
     cell = F.col("cell")
     stretches = F.regexp_extract_all(cell, F.lit("[A-Za-z0-9+/=]{60,}"), F.lit(0))
     rows = rows.withColumns({
-        "low": F.lower(cell), "longest": F.aggregate(stretches, F.lit(""), lambda a, x: F.when(F.char_length(x) > F.char_length(a), x).otherwise(a)),
+        "longest": F.aggregate(stretches, F.lit(""), lambda a, x: F.when(F.char_length(x) > F.char_length(a), x).otherwise(a)),
         "ip": F.when(F.col("command"), first_ipv4(cell)), "bits": F.when(F.octet_length(cell) >= _LONG, entropy(F.substring(cell, 1, 4096))), "shown": clip(cell, 60),
     })
     rows = rows.withColumn("words", F.filter(F.split("low", r"[^a-z0-9._-]+"), lambda t: t != ""))
@@ -79,10 +80,10 @@ def cell_findings(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role])
     """
     commands = {roles[r].column for r in ("command_line", "process_name") if r in roles}
     time = roles["timestamp"].column if "timestamp" in roles else None
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(m.name).alias("column_name"), F.lit(m.original).alias("header"), F.lit(m.name in commands).alias("command"), text(f"`{m.name}`").alias("cell")) for i, m in enumerate(meta) if m.name != time]
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(m.name).alias("column_name"), F.lit(m.original).alias("header"), F.lit(m.name in commands).alias("command"), text(f"`{m.name}`").alias("cell"), F.lower(text(f"`{m.name}`")).alias("low")) for i, m in enumerate(meta) if m.name != time]
     if not cells:
         return df.select("row_num").filter(F.lit(False)).selectExpr("row_num", "'' as category", "0 as score", "'' as reason", "'' as column_name")
-    rows = df.select("row_num", F.explode(F.array(*cells)).alias("c")).select("row_num", "c.*").filter((F.octet_length("cell") >= _LONG) | F.col("cell").rlike(_ANY))
+    rows = df.select("row_num", F.explode(F.array(*cells)).alias("c")).select("row_num", "c.*").filter((F.octet_length("cell") >= _LONG) | F.col("low").rlike(_ANY))
     found = _derived(rows).select("row_num", "i", "column_name", F.explode(_findings()).alias("f"))
     best = found.groupBy("row_num", "f.category").agg(F.max_by(F.struct("f.score", clip(F.col("f.reason"), 160).alias("reason"), "column_name"), F.struct("f.score", -F.col("i"))).alias("b"))
     return best.select("row_num", "category", "b.score", "b.reason", "b.column_name")
