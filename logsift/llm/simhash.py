@@ -161,7 +161,7 @@ CHECKS, FAR = 2, 34
 #: A document is compared with so many others each turn, at most.
 NEAR = 8
 #: See ``near_groups``.
-RARE = 1000
+RARE = 100
 #: Lists are compared whole up to this size and in blocks of it beyond.
 _BLOCK = 512
 #: Lists of more entries than this in one batch of a task are thinned out before the exchange.
