@@ -44,3 +44,25 @@ r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, (SELECT min(c) FROM r WHERE r.vec_id = v.vec_id) AS component_id,
   v.vec_id = (SELECT min(c) FROM r WHERE r.vec_id = v.vec_id) AS kept FROM v
 """
+
+#: crc32 as a fold over bits: a table of 256 steps, then one step a byte of each different word.
+_CRC_STEPS = "s AS (SELECT list(c ORDER BY i) AS step FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i)))"
+
+IMPORTANCE = f"""
+WITH {_CRC_STEPS},
+d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT {_FOLDED} AS w FROM benchmark),
+dw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+v AS (SELECT DISTINCT word FROM dw UNION SELECT word FROM bw),
+h AS (SELECT word, hex(encode(word)) AS x, step FROM v, s),
+k AS (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(x), 2), lambda i: (16 * (strpos('0123456789ABCDEF', x[i]) - 1) + strpos('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT), lambda c, y: xor(step[(xor(c, y) % 256 + 1)::BIGINT], c // 256)), 4294967295) % 10000 AS bucket FROM h),
+sb AS (SELECT bucket, sum(n) AS s FROM dw JOIN k USING (word) GROUP BY bucket),
+tb AS (SELECT bucket, sum(n) AS t FROM bw JOIN k USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM sb) + 10000))::DOUBLE / ((s + 1) * (coalesce((SELECT sum(t) FROM tb), 0) + 10000))::DOUBLE)) AS gain FROM sb LEFT JOIN tb USING (bucket)),
+f AS (SELECT doc_id, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM dw JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+o AS (SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, 10 * (count(*) FILTER (n_features >= 20) OVER ()) // 100 AS most FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= most THEN k END AS rank FROM r
+"""

@@ -1,7 +1,7 @@
 """The training-data queries and, where SQL can express them, the same as SQL."""
 
 import corpus_pipeline
-from logsift.llm import chat_format, decontaminate, embedding_dedup, language_id, lm_score, oracles, packing, quality, simhash, substring_dedup, suffix_dedup
+from logsift.llm import chat_format, decontaminate, embedding_dedup, importance, language_id, lm_score, oracles, packing, quality, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_embedding_near_dedup": embedding_dedup.query,
     "pipeline": corpus_pipeline.run,
     "op10_suffix_array_dedup": suffix_dedup.query,
+    "op11_importance_resampling": importance.query,
 }
 ORACLE = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
@@ -22,4 +23,5 @@ ORACLE = {
     "op4_chat_formatting": chat_format.ORACLE_SQL,
     "op9_embedding_near_dedup": oracles.EMBEDDING_DEDUP,
     "op10_suffix_array_dedup": oracles.SUFFIX_DEDUP,
+    "op11_importance_resampling": oracles.IMPORTANCE,
 }
