@@ -1,7 +1,7 @@
 """The training-data queries and, where SQL can express them, the same as SQL."""
 
 import corpus_pipeline
-from logsift.llm import chat_format, decontaminate, embedding_dedup, importance, language_id, lm_score, oracles, packing, quality, simhash, substring_dedup, suffix_dedup
+from logsift.llm import chat_format, decontaminate, embedding_dedup, hard_negatives, importance, language_id, lm_score, oracles, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op10_suffix_array_dedup": suffix_dedup.query,
     "op11_importance_resampling": importance.query,
+    "op12_hard_negative_mining": hard_negatives.query,
+    "op13_toxicity": toxicity.query,
 }
 ORACLE = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
@@ -24,4 +26,5 @@ ORACLE = {
     "op9_embedding_near_dedup": oracles.EMBEDDING_DEDUP,
     "op10_suffix_array_dedup": oracles.SUFFIX_DEDUP,
     "op11_importance_resampling": oracles.IMPORTANCE,
+    "op12_hard_negative_mining": oracles.HARD_NEGATIVES,
 }
