@@ -12,13 +12,15 @@ from logsift.llm.quality import isotonic
 
 #: Symbols of an n-gram: up to eight before the one that is told, a word's start among them.
 ORDER = 9
+#: Shared continuation counts are of so many symbols at most: below the long n-grams, all there is to tell is spelling.
+LOW = 3
 #: What is taken off a class's counts: what a class has so few times is told by the shared counts.
 DISCOUNT = 2.0
 #: A word counts by how much its log-likelihood ratio is over this. Words below are no evidence of their own: they tell a
 #: text's language or subject, which may be unevenly spread over the classes, in every word of it.
 BEYOND = 2.0
 #: About so many labelled rows of each class are learned from, chosen by a hash of their id.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Up to so many different n-grams are kept; beyond, the rarest go and leave their mass to the shared counts.
 GRAMS = 2_000_000
 _MEMBER = byte_table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
@@ -64,8 +66,9 @@ _GRAM = "gram long, shorter long, context long, size int, start boolean, ordinar
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """All n-grams of the training words by length, how often each class has them, and what they end in and begin with.
+    """N-grams of the training words, how often each class has them, what they end in and what comes before their last symbol.
 
+    Kept are those of ``ORDER`` symbols or from a word's start, and all of up to ``LOW`` + 1 for the shared counts.
     ``rows``: text, label (1 toxic, 0 ordinary). A flush's words are counted before its n-grams are.
     """
 
@@ -80,12 +83,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             place, head, word = _places(begin, to)
             for size in range(1, ORDER + 1):
                 # a shorter n-gram that reaches its word's start is the same as the one before
-                k = np.flatnonzero(place - size + 1 >= head)
+                k = np.flatnonzero(place - size + 1 >= head if size <= LOW + 1 or size == ORDER else place - size + 1 == head)
                 low, high = place[k] - size + 1, place[k] + 1
                 h = _hashed(data, low, high)
                 unique, at, which = np.unique(h, return_index=True, return_inverse=True)
                 both = [np.bincount(which, counts[c][word[k]], minlength=len(unique)).astype(np.int64) for c in (0, 1)]
-                columns = [unique, _hashed(data, low + 1, high)[at], _hashed(data, low, high - 1)[at]]
+                columns = [unique, _hashed(data, np.maximum(low + 1, high - LOW), high)[at], _hashed(data, low, high - 1)[at]]
                 yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(np.full(len(unique), size, np.int32)), pa.array((low == head[k])[at]), *map(pa.array, both)], names=["gram", "shorter", "context", "size", "start", "ordinary", "toxic"])
 
     found = rows.select("text", F.col("label").cast("long").alias("label")).mapInArrow(count, _GRAM)
@@ -110,7 +113,7 @@ class Model:
 
     Both models are interpolated Kneser-Ney. The longest n-gram before a symbol, cut at the word's start, has counts
     of its class; what is discounted goes to the counts of both classes together, and from these to continuation counts
-    of ever shorter n-grams (by how many different symbols they are preceded). All that is backed off to is shared. So
+    of its last ``LOW`` symbols and ever fewer (by how many different symbols they are preceded). All that is backed off to is shared. So
     a symbol that neither class has seen after its context differs by the back-off weights alone, and one after an
     unseen context not at all.
     """
@@ -120,11 +123,11 @@ class Model:
         g = {k: v[by] for k, v in g.items()}
         self.gram, n = g["gram"], len(g["gram"])
         # how many different n-grams of one more symbol end in each one
-        ends, n_before = np.unique(g["shorter"][g["size"] > 1], return_counts=True)
+        ends, n_before = np.unique(g["shorter"][(g["size"] > 1) & (g["size"] <= LOW + 1)], return_counts=True)
         at, there = _at(ends, self.gram)
         before = np.where(there, n_before[at], 0) if len(ends) else np.zeros(n, np.int64)
         shared = np.zeros(n)
-        for size in range(1, ORDER):
+        for size in range(1, LOW + 1):
             k = np.flatnonzero((g["size"] == size) & (before > 0))
             if not len(k):
                 continue
@@ -172,7 +175,7 @@ class Model:
 def _collected(grams: DataFrame, most: int) -> dict[str, np.ndarray]:
     """The model's counts; if there are more than ``most`` n-grams, the least count that leaves few enough is asked for.
 
-    Shorter n-grams of a kept one are at least as frequent, so they are kept too.
+    What a kept one ends in is at least as frequent, so it is kept too.
     """
     count = F.col("ordinary") + F.col("toxic")
     by_count = sorted(grams.groupBy(F.least(count, F.lit(1000)).alias("c")).count().collect(), reverse=True)

@@ -22,17 +22,17 @@ def plain(docs, labels, beyond):
                         if i - n + 1 >= 0:
                             counts[labels[d]][w[i - n + 1 : i + 1]] += 1
     every = set(counts[0]) | set(counts[1])
-    before = Counter(g[1:] for g in every if len(g) > 1)
+    before = Counter(g[1:] for g in every if 1 < len(g) <= tox.LOW + 1)
 
     def discount(values):
         once, twice = sum(v == 1 for v in values), sum(v == 2 for v in values)
         return once / (once + 2 * twice) if once and twice else 0.75
 
     kept = [g for g in every if before[g]]
-    ds = {n: discount([before[g] for g in kept if len(g) == n]) for n in range(1, tox.ORDER)}
+    ds = {n: discount([before[g] for g in kept if len(g) == n]) for n in range(1, tox.LOW + 1)}
     after = defaultdict(list)
     for g in kept:
-        if len(g) < tox.ORDER:
+        if len(g) <= tox.LOW:
             after[g[:-1]].append(before[g])
 
     def shared(g):
@@ -53,7 +53,8 @@ def plain(docs, labels, beyond):
 
     def both(g):
         own = by[2].get(g[:-1])
-        return shared(g[1:]) if not own else (max(pool[g] - off, 0) + off * len(own) * shared(g[1:])) / sum(own)
+        low = shared(g[1:][-tox.LOW :])
+        return low if not own else (max(pool[g] - off, 0) + off * len(own) * low) / sum(own)
 
     def p(g, k):
         own = by[k].get(g[:-1])
