@@ -10,6 +10,7 @@ from logsift.functions.text import clip, text, trim
 from logsift.functions.values import ipv4_number, private_ipv4
 from logsift.operators.matching import any_of
 from logsift.operators.rules import Role, suppress
+from logsift.operators.selection import first_rows
 from logsift.spec import ColumnMeta
 
 # Programs of the system that are often abused, kinds of files, staging folders.
@@ -122,7 +123,8 @@ def off_hours(df: DataFrame, row_time: DataFrame, least_rows: int = 50, below_sh
 def scan_anomalies(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role], row_time: DataFrame | None = None, ignored: DataFrame | None = None, cap: int | None = 200_000, profile_caps: tuple[int | None, int | None, int | None] = (2000, 2000, 3000)) -> DataFrame:
     """row_num, category, score, reason, column_name of all findings; profile findings come first under the cap.
 
-    ``profile_caps``: those of ``rare_process``, ``rare_user_host`` and ``off_hours``; ``cap`` None lifts them too.
+    ``profile_caps``: those of ``rare_process``, ``rare_user_host`` and ``off_hours``; ``cap`` None lifts them too. The
+    place where the cap falls is found by counted ranges of the order (``selection``), so no task merges the findings.
     """
     of_process, of_pair, of_hours = profile_caps if cap else (None, None, None)
     rows = suppress(df, ignored)
@@ -137,9 +139,7 @@ def scan_anomalies(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role]
     found = cell_findings(rows, meta, roles).withColumn("_late", F.lit(1))
     for p in profile:
         found = found.unionByName(p.withColumn("_late", F.lit(0)))
-    if cap:
-        found = found.orderBy("_late", "row_num", "category").limit(cap)
-    return found.drop("_late")
+    return first_rows(found, ["_late", "row_num", "category"], cap).drop("_late")
 
 
 def anomaly_summary(findings: DataFrame) -> DataFrame:

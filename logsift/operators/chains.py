@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.text import trim
+from logsift.operators.selection import first_rows
+from logsift.storage import cut
 
 HOUR = 3_600_000
 
@@ -14,8 +16,7 @@ HOUR = 3_600_000
 def _events(matches: DataFrame, df: DataFrame, host: str | None, cap: int | None) -> DataFrame:
     """The best score of each row, tactic and technique, with the row's trimmed host; no host is a host of its own."""
     found = matches.groupBy("row_num", "tactic_id", "tactic_name", "technique_id", "technique_name").agg(F.max("score").alias("score"))
-    if cap:
-        found = found.orderBy("row_num", "tactic_id", "technique_id").limit(cap)
+    found = first_rows(found, ["row_num", "tactic_id", "technique_id"], cap)
     name = trim(F.col(f"`{host}`").cast("string")) if host else F.lit(None).cast("string")
     return found.join(df.select("row_num", name.alias("host")), "row_num")
 
@@ -51,8 +52,8 @@ def _tactics_ahead(timed: DataFrame, window_ms: int, most: int = 64) -> DataFram
     Read backward in time, the last event seen of each tactic is its next one: a running minimum for each tactic (of
     which there are as many as the library has), whatever the number of events in a window.
     """
-    kinds = [r[0] for r in timed.select("tactic_id").distinct().limit(most + 1).collect()]
-    own = F.floor(F.col("epoch_ms") / window_ms).cast("long")
+    kinds = sorted(r[0] for r in timed.select("tactic_id").distinct().limit(most + 1).collect())
+    own = _sliced("epoch_ms", window_ms)
     sliced = timed.groupBy("host", "epoch_ms", "tactic_id").agg(F.first(F.lit(1)).alias("_"))
     sliced = sliced.withColumn("own", own).select("host", "epoch_ms", "tactic_id", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("slice"))
     if len(kinds) > most:
@@ -66,6 +67,59 @@ def _tactics_ahead(timed: DataFrame, window_ms: int, most: int = 64) -> DataFram
     return counted.filter("slice = own").select("host", "epoch_ms", "n")
 
 
+def _sliced(at: str, window_ms: int):
+    """The slice of a host, a window long, that a time is in."""
+    return F.floor(F.col(at) / window_ms).cast("long")
+
+
+def _heads(starts: DataFrame, window_ms: int) -> DataFrame:
+    """(host, at) of starts with none in the window before: these don't depend on earlier ones.
+
+    ``starts``: host, at, all different. A start also stands in the slice after its own, so the one before any start
+    is in its own slice if it is within a window.
+    """
+    own = _sliced("at", window_ms)
+    told = starts.withColumn("own", own).withColumn("slice", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    before = F.lag("at").over(W.partitionBy("host", "slice").orderBy("at"))
+    return told.withColumn("before", before).filter("slice = own").filter(F.col("before").isNull() | (F.col("at") - F.col("before") > window_ms)).select("host", "at")
+
+
+def _next_starts(starts: DataFrame, window_ms: int) -> DataFrame:
+    """(host, at, to): the first start beyond the window of each one, where that isn't a head anyway.
+
+    A next start that is no head follows another one by a window at most, so it is within two windows. Each start
+    asks at the end of its window; starts answer in their own slice and the one before. Read backward in time, the last
+    start seen is the next one, so a task keeps one value whatever is in a slice.
+    """
+    ask = starts.select("host", (F.col("at") + window_ms).alias("t"), F.lit(True).alias("asks"), "at").withColumn("slice", _sliced("t", window_ms))
+    answer = starts.select("host", F.col("at").alias("t"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("at"))
+    answer = answer.withColumn("slice", F.explode(F.array(_sliced("t", window_ms), _sliced("t", window_ms) - 1)))
+    back = W.partitionBy("host", "slice").orderBy(F.desc("t"), F.desc("asks")).rowsBetween(W.unboundedPreceding, 0)
+    seen = F.last(F.when(~F.col("asks"), F.col("t")), ignorenulls=True).over(back)
+    return ask.unionByName(answer).withColumn("to", seen).filter("asks and to is not null").select("host", "at", "to")
+
+
+def chosen_starts(starts: DataFrame, window_ms: int) -> DataFrame:
+    """(host, at) of windows that don't overlap: from the first start of each host, always the first beyond the last window.
+
+    ``starts``: host (not null), at, all different. Every start points to the next one after its window; what the
+    pointers reach from the heads (``_heads``) is chosen. Pointers are doubled: after n rounds they lead over 2**n
+    windows and the reached ones are all within as many of a head, so there are as many rounds as the logarithm of
+    the longest series of windows without a break. Every step is a join on (host, time): no host and no stretch is held
+    whole or put in order.
+    """
+    reached = cut(_heads(starts, window_ms))
+    jump = cut(_next_starts(starts, window_ms))
+    while True:
+        more = reached.join(jump, ["host", "at"]).select("host", F.col("to").alias("at")).distinct()
+        more = cut(more.join(reached, ["host", "at"], "left_anti"))
+        if more.isEmpty():
+            return reached
+        reached = cut(reached.union(more))
+        ahead = jump.select("host", F.col("at").alias("to"), F.col("to").alias("far"))
+        jump = cut(jump.join(ahead, ["host", "to"]).select("host", "at", F.col("far").alias("to")))
+
+
 def attack_chains(matches: DataFrame, df: DataFrame, row_time: DataFrame | None = None, host: str | None = None, window_ms: int = HOUR, least_tactics: int = 3, cap: int | None = 200_000, keep: int | None = 200) -> DataFrame:
     """Chains ranked from 1: tactics, score and events descending, then first row.
 
@@ -73,32 +127,25 @@ def attack_chains(matches: DataFrame, df: DataFrame, row_time: DataFrame | None
     ``least_tactics`` tactics it is a chain and the next starts after it, else one event is passed over. Rows
     without a time drop out. Without ``row_time`` a host's events are one window.
 
-    Starts are found in slices of a host (``_tactics_ahead``). Which of them overlap is decided in stretches: two
-    starts further apart than a window don't depend on each other, so only a stretch, not a host, is folded in order.
-    Events meet the chosen starts by host and slice. Only the distinct times of possible starts are put in order by
-    host.
+    The timed events are written once. Possible starts are found in slices of a host (``_tactics_ahead``), those that
+    don't overlap by doubled pointers (``chosen_starts``), and events meet them by host and slice.
     """
     events = _events(matches, df, host, cap)
     if row_time is None:
         every = events.withColumns({"start": F.lit(None).cast("long"), "epoch_ms": F.lit(None).cast("long")})
         found = _records(every).filter(F.col("tactic_count") >= least_tactics)
     else:
-        timed = events.join(row_time.select("row_num", "epoch_ms"), "row_num")
-        by_host = W.partitionBy("host").orderBy("epoch_ms")
+        # a host's name gets a letter in front, so that no host has a name, too, that joins can meet
+        named = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))
+        timed = cut(events.join(row_time.select("row_num", "epoch_ms"), "row_num").withColumn("host", named))
         ahead = _tactics_ahead(timed, window_ms)
-        starts = ahead.filter(F.col("n") >= least_tactics).select("host", "epoch_ms").distinct()
-        gap = F.col("epoch_ms") - F.lag("epoch_ms").over(by_host) > window_ms
-        stretch = starts.withColumn("stretch", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_host))
-        folded = stretch.groupBy("host", "stretch").agg(F.array_sort(F.collect_list("epoch_ms")).alias("all"))
-        chosen = F.aggregate("all", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x > F.element_at(a, F.greatest(F.size(a), F.lit(1))) + window_ms), F.concat(a, F.array(x))).otherwise(a))
-        first = folded.select("host", F.explode(chosen).alias("epoch_ms"))
+        starts = cut(ahead.filter(F.col("n") >= least_tactics).select("host", F.col("epoch_ms").alias("at")).distinct())
+        first = chosen_starts(starts, window_ms)
         # a window reaches into the slice after that of its start
-        slice_ = lambda c: F.floor(F.col(c) / window_ms).cast("long")
-        reach = first.select(F.col("host").alias("_h"), F.col("epoch_ms").alias("start"), F.explode(F.array(slice_("epoch_ms"), slice_("epoch_ms") + 1)).alias("_slice"))
-        events_ = timed.select("host", "epoch_ms", "row_num", "tactic_id", "technique_name", "score", slice_("epoch_ms").alias("slice"))
-        same = F.col("host").eqNullSafe(F.col("_h")) & (F.col("slice") == F.col("_slice"))
-        inside = events_.join(reach, same).filter(F.col("epoch_ms").between(F.col("start"), F.col("start") + window_ms)).drop("_h", "_slice", "slice")
-        found = _records(inside)
+        reach = first.select("host", F.col("at").alias("start"), F.explode(F.array(_sliced("at", window_ms), _sliced("at", window_ms) + 1)).alias("slice"))
+        events_ = timed.select("host", "epoch_ms", "row_num", "tactic_id", "technique_name", "score", _sliced("epoch_ms", window_ms).alias("slice"))
+        inside = events_.join(reach, ["host", "slice"]).filter(F.col("epoch_ms").between(F.col("start"), F.col("start") + window_ms)).drop("slice")
+        found = _records(inside).withColumn("host", F.when(F.col("host") != "", F.substring("host", 2, 1 << 30)))
     rank = [F.desc("tactic_count"), F.desc("score"), F.desc("event_count"), "first_row"]
     best = found.orderBy(*rank).limit(keep) if keep else found
     # at most ``keep`` rows are numbered

@@ -7,16 +7,17 @@ import re
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.functions.text import ascii_lower, clip, text
+from logsift.functions.automaton import Automaton, spans
+from logsift.functions.text import clip, text
 from logsift.operators.rules import Role, Rule, condition, rule_evidence, suppress
 from logsift.spec import ColumnMeta
 
 EVIDENCE_ROLES = ("command_line", "process_name", "file_name", "host", "text_evidence")
-_TACTICS = "array<struct<id:string,name:string>>"
-_HIT = f"struct<technique_id:string,technique_name:string,tactics:{_TACTICS},keyword:string,folded:string,whole:boolean,score:int>"
 
 
 @dataclass(frozen=True)
@@ -83,11 +84,6 @@ def _fold(value: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in value)
 
 
-def _literal(records: list[dict], kind: str) -> Column:
-    """A constant array of structs, folded once by the optimizer."""
-    return F.from_json(F.lit(json.dumps(records)), f"array<{kind}>")
-
-
 def any_of(words: list[str]) -> str:
     """A pattern that finds any of some texts. It is a tree by first characters, so that few branches are tried at a place."""
     if "" in words:
@@ -99,35 +95,45 @@ def any_of(words: list[str]) -> str:
     return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
-def _hits(low: Column, library: Library) -> Column:
-    """Array of the patterns in a folded cell: one hit a pattern, the first place of whole words tested."""
-    records, guards = [], []
-    for t in library.techniques:
-        for k in t["keywords"]:
-            p = k["pattern"]
-            whole = k.get("match") == "word" or (p.isalnum() and len(p) <= 3)
-            records.append({"technique_id": t["techniqueId"], "technique_name": t["name"], "tactics": [{"id": x["id"], "name": x["name"]} for x in t["tactics"]], "keyword": p, "folded": _fold(p), "whole": whole, "score": k["score"]})
-            guards.append(_fold(p))
-
-    def hit(p: Column) -> Column:
-        at = F.position(p["folded"], low)
-        before = F.when(at > 1, F.substring(low, at - 1, F.lit(1))).otherwise("")
-        after = F.substring(low, at + F.char_length(p["folded"]), F.lit(1))
-        return (at > 0) & (~p["whole"] | ~F.concat(before, after).rlike(r"[\p{L}\p{N}]"))
-
-    return F.when(low.rlike(any_of(guards)), F.filter(_literal(records, _HIT), hit))
+_MATCH = "tactic_id string, tactic_name string, technique_id string, technique_name string, keyword string, column_name string, score int, source string"
 
 
 def match_keywords(df: DataFrame, library: Library, evidence: list[str]) -> DataFrame:
     """row_num, tactic, technique, keyword, column, score: one row for each (cell, pattern, tactic).
 
-    A scan: cells and patterns are compared within their row, nothing is shuffled.
+    One automaton of all patterns reads the cells of an Arrow batch side by side, a byte at a time (``Automaton``), so
+    the number of patterns doesn't matter; of a pattern the first place in a cell counts, and that of a whole word must
+    touch no letter or digit. A scan: nothing is shuffled. The automaton goes to each machine once; it is as large as the
+    library.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), ascii_lower(text(f"`{c}`")).alias("low")) for c in evidence])
-    # exploded, a folded cell is a value: patterns inside the lambda don't fold it again
-    rows = df.select("row_num", F.explode(cells).alias("c")).select("row_num", "c.*")
-    hits = rows.select("row_num", "column_name", F.explode(_hits(F.col("low"), library)).alias("h"))
-    return hits.select("row_num", "column_name", "h.*", F.explode("h.tactics").alias("t")).select("row_num", F.col("t.id").alias("tactic_id"), F.col("t.name").alias("tactic_name"), "technique_id", "technique_name", "keyword", "column_name", "score", F.lit("keyword").alias("source"))
+    keywords = [(t, k) for t in library.techniques for k in t["keywords"]]
+    whole = np.array([k.get("match") == "word" or (k["pattern"].isalnum() and len(k["pattern"]) <= 3) for _, k in keywords], bool)
+    # a line of the library for each tactic of a pattern
+    told = [(x["id"], x["name"], t["techniqueId"], t["name"], k["pattern"], k["score"]) for t, k in keywords for x in t["tactics"]]
+    n = np.array([len(t["tactics"]) for t, _ in keywords], np.int64)
+    types = [pa.string()] * 5 + [pa.int32()]
+    shared = df.sparkSession.sparkContext.broadcast((Automaton([k["pattern"] for _, k in keywords]), whole, n, np.cumsum(n) - n, [pa.array(c, t) for c, t in zip(zip(*told), types)]))
+    names = list(evidence)
+
+    def scan(batches):
+        automaton, whole, n, first, lines = shared.value
+        for batch in batches:
+            for i, name in enumerate(names):
+                data, at = spans(batch.column(i + 1))
+                cell, pattern, place = automaton.scan(data, at)
+                k = ~whole[pattern]
+                k[~k] = automaton.alone(data, at, cell[~k], pattern[~k], place[~k])
+                cell, pattern = cell[k], pattern[k]
+                if not len(cell):
+                    continue
+                size = n[pattern]
+                line = pa.array(np.repeat(first[pattern] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
+                row = batch.column(0).take(pa.array(np.repeat(cell, size)))
+                told = [c.take(line) for c in lines]
+                yield pa.RecordBatch.from_arrays([row, *told[:5], pa.array([name] * len(row), pa.string()), told[5], pa.array(["keyword"] * len(row), pa.string())], names=["row_num", *[c.split()[0] for c in _MATCH.split(", ")]])
+
+    rows = df.select("row_num", *[text(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
+    return rows.mapInArrow(scan, f"row_num {dict(df.dtypes)['row_num']}, {_MATCH}")
 
 
 def match_rules(df: DataFrame, library: Library, meta: list[ColumnMeta], roles: dict[str, Role]) -> DataFrame | None:
@@ -188,10 +194,19 @@ def _terms(library: Library) -> list[tuple[str, str]]:
 
 
 def tag_text(df: DataFrame, column: str, library: Library) -> DataFrame:
-    """row_num, technique_id of the techniques that a text names by a whole phrase."""
+    """row_num, technique_id of the techniques that a text names by a whole phrase, found by one automaton of all phrases."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text(f"`{column}`")), "[^0-9a-z]+", " ")), F.lit(" "))
-    terms = [{"technique_id": t, "term": f" {p} "} for t, p in _terms(library)]
-    named = F.filter(_literal(terms, "struct<technique_id:string,term:string>"), lambda x: F.col("_words").contains(x["term"]))
-    guard = any_of(sorted({x["term"] for x in terms}))
-    rows = df.select("row_num", words.alias("_words")).filter(F.col("_words").rlike(guard))
-    return rows.select("row_num", F.explode(F.array_distinct(F.transform(named, lambda x: x["technique_id"]))).alias("technique_id"))
+    terms = _terms(library)
+    ids = sorted({t for t, _ in terms})
+    number = {t: i for i, t in enumerate(ids)}
+    shared = df.sparkSession.sparkContext.broadcast((Automaton([f" {p} " for _, p in terms]), np.array([number[t] for t, _ in terms], np.int64), pa.array(ids)))
+
+    def tag(batches):
+        automaton, of, names = shared.value
+        for batch in batches:
+            cell, pattern, _ = automaton.scan(*spans(batch.column(1)))
+            if len(cell):
+                told = np.unique(np.stack([cell, of[pattern]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(told[:, 0])), names.take(pa.array(told[:, 1]))], names=["row_num", "technique_id"])
+
+    return df.select("row_num", words.alias("_words")).mapInArrow(tag, f"row_num {dict(df.dtypes)['row_num']}, technique_id string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import ipaddress
 from pathlib import Path
 
@@ -14,8 +15,12 @@ from pyspark.sql import types as T
 from logsift.functions.text import ascii_lower, text, trim
 from logsift.functions.values import ipv4_number, parse_ip, private_ipv4
 from logsift.operators import activity as act
+from logsift.operators.chains import HOUR
 from logsift.operators.rules import Role
+from logsift.operators.selection import first_rows
+from logsift.sources.tables import with_row_num
 from logsift.spec import ColumnMeta
+from logsift.storage import cut
 
 
 def date_range(row_time: DataFrame) -> DataFrame:
@@ -36,16 +41,27 @@ def ip_text(c: Column) -> Column:
     return F.lower(parse_ip(F.regexp_replace(trim(c), r"""^["'\[\]]+|["'\[\]]+$""", "")))
 
 
+def _value(c: Column) -> Column:
+    """A column as a generated row of one, so that it is worked out once, whatever reads it later."""
+    return F.explode(F.array(c))
+
+
 @F.pandas_udf(T.StringType())
 def ipv6_text(values: pd.Series) -> pd.Series:
     """IPv6 addresses in their one canonical spelling."""
     return values.map(lambda v: str(ipaddress.ip_address(v)))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """ip, rows, first_row from (row_num, ip): each different spelling is counted before IPv6 is brought to one."""
+def _counted(df: DataFrame, column: str) -> DataFrame:
+    """ip, rows, first_row of a column's addresses.
+
+    Cells are counted first, so each different one is parsed once, in a step of its own; then each different spelling is
+    counted before IPv6 is brought to one.
+    """
     counts = lambda d, n, first: d.groupBy("ip").agg(n.alias("rows"), F.min(first).alias("first_row"))
-    spelled = counts(rows.filter("ip is not null"), F.count(F.lit(1)), "row_num")
+    raw = counts(df.select("row_num", text(f"`{column}`").alias("ip")), F.count(F.lit(1)), "row_num")
+    parsed = raw.select(_value(ip_text(F.col("ip"))).alias("ip"), "rows", "first_row")
+    spelled = counts(parsed.filter("ip is not null"), F.sum("rows"), "first_row")
     six = spelled.filter(F.col("ip").contains(":")).withColumn("ip", ipv6_text("ip"))
     return counts(spelled.filter(~F.col("ip").contains(":")).unionByName(six), F.sum("rows"), "first_row")
 
@@ -61,18 +77,72 @@ def cidr_ranges(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "low long, high long, label string, ord int")
 
 
+#: Up to so many ranges are swept into disjoint segments on the driver; more stay as they are.
+SWEPT = 100_000
+
+
+def disjoint(ranges: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """(low, high, label, ord) that don't overlap: each stretch has the range that comes first in the file.
+
+    A sweep over the ends of the ranges with a heap of those that are open, the first of the file on top.
+    """
+    ends = sorted({x for low, high, _, _ in ranges for x in (low, high + 1)})
+    waiting, open_, out, k = sorted(ranges), [], [], 0
+    for low, after in zip(ends, ends[1:]):
+        while k < len(waiting) and waiting[k][0] <= low:
+            heapq.heappush(open_, (waiting[k][3], waiting[k][1], waiting[k][2]))
+            k += 1
+        while open_ and open_[0][1] < low:
+            heapq.heappop(open_)
+        if open_:
+            ord_, _, label = open_[0]
+            if out and out[-1][3] == ord_ and out[-1][1] == low - 1:
+                out[-1] = (out[-1][0], after - 1, label, ord_)
+            else:
+                out.append((low, after - 1, label, ord_))
+    return out
+
+
+def _blocks(low: int, high: int) -> list[tuple[int, int]]:
+    """A range as (bits, number) of aligned blocks of 2**bits addresses: 62 at most, however wide it is."""
+    out = []
+    while low <= high:
+        bits = min((low & -low).bit_length() - 1 if low else 32, (high - low + 1).bit_length() - 1)
+        out.append((bits, low >> bits))
+        low += 1 << bits
+    return out
+
+
+@F.udf(T.ArrayType(T.StructType([T.StructField("bits", T.IntegerType()), T.StructField("block", T.LongType())])))
+def _block_udf(low, high):
+    return _blocks(low, high)
+
+
+def address_blocks(ranges: DataFrame) -> DataFrame:
+    """bits, block, label, ord: known ranges as aligned blocks; disjoint ones where there are few enough to sweep."""
+    rows = ranges.select("low", "high", "label", "ord").limit(SWEPT + 1).collect()
+    if len(rows) <= SWEPT:
+        cells = [(bits, block, label, ord_) for low, high, label, ord_ in disjoint([tuple(r) for r in rows]) for bits, block in _blocks(low, high)]
+        return ranges.sparkSession.createDataFrame(cells, "bits int, block long, label string, ord int")
+    return ranges.select(F.explode(_block_udf("low", "high")).alias("b"), "label", "ord").select("b.bits", "b.block", "label", "ord")
+
+
 def ip_rollup(df: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
     """ip, version, label, private, rows, first_row: one row an address.
 
-    Addresses are counted first; only the distinct ones meet the ranges, which are cut to their /16 blocks so that
-    the join has a key. The range that comes first in the file names an address.
+    Addresses are counted first; only the distinct ones meet the ranges. Overlapping ranges are swept into disjoint
+    segments, each with the label that comes first in the file, and segments are cut into aligned blocks. An
+    address looks its blocks up, one for each size of block that there is (33 at most), so a wide range costs no
+    more than a narrow one and the join has a key; Spark broadcasts the blocks only while they are small.
     """
-    counted = _counted(df.select("row_num", ip_text(text(f"`{column}`")).alias("ip")))
-    numbered = counted.withColumn("n", ipv4_number(F.col("ip"))).withColumn("block", F.shiftright("n", 16))
-    blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))))
-    named = numbered.alias("a").join(F.broadcast(blocks).alias("r"), (F.col("a.block") == F.col("r.block")) & F.col("n").between(F.col("low"), F.col("high")), "left")
-    best = named.groupBy("ip", "n", "rows", "first_row").agg(F.min_by("label", "ord").alias("label"))
-    return best.select("ip", F.when(F.col("n").isNull(), 6).otherwise(4).alias("version"), "label", F.coalesce(private_ipv4(F.col("n")), F.lit(False)).alias("private"), "rows", "first_row")
+    blocks = cut(address_blocks(ranges))
+    sizes = sorted(r[0] for r in blocks.select("bits").distinct().collect())
+    counted = _counted(df, column).select("ip", "rows", "first_row", _value(ipv4_number(F.col("ip"))).alias("n"))
+    keys = F.transform(F.array(*[F.lit(b) for b in sizes]) if sizes else F.array().cast("array<int>"), lambda b: F.struct(b.alias("bits"), F.floor(F.col("n") / F.pow(F.lit(2), b)).cast("long").alias("block")))
+    asked = counted.filter("n is not null").select("n", F.explode(keys).alias("k")).select("n", "k.bits", "k.block")
+    label = asked.join(blocks, ["bits", "block"]).groupBy("n").agg(F.min_by("label", "ord").alias("label"))
+    known = counted.join(label, "n", "left")
+    return known.select("ip", F.when(F.col("n").isNull(), 6).otherwise(4).alias("version"), "label", F.coalesce(private_ipv4(F.col("n")), F.lit(False)).alias("private"), "rows", "first_row")
 
 
 def private_groups(rollup: DataFrame) -> DataFrame:
@@ -153,18 +223,27 @@ def timeline_table(matches: DataFrame, df: DataFrame, meta: list[ColumnMeta], ro
 def attack_story(chains: DataFrame, matches: DataFrame, df: DataFrame, host: str | None, row_time: DataFrame | None, most: int | None = 500) -> DataFrame:
     """A summary line for each chain (seq 0), then at most ``most`` of its events in order (None: all).
 
-    Chains and matches meet on the host, then by time (or row) range. There may be a chain a host or more, so Spark
-    chooses how they are joined by their size.
+    Chains with times and matches meet on the host and the hour, then by time; those without times have a host's rows
+    each. All events of a chain are numbered by one sort of all chains, not chain by chain.
     """
-    name = trim(F.col(f"`{host}`").cast("string")) if host else F.lit(None).cast("string")
+    name = F.coalesce(F.concat(F.lit("="), trim(F.col(f"`{host}`").cast("string"))), F.lit("")) if host else F.lit("")
     rows = matches.join(df.select("row_num", name.alias("_host")), "row_num")
     rows = rows.join(row_time.select("row_num", "epoch_ms", "utc_text"), "row_num", "left") if row_time is not None else rows.withColumns({"epoch_ms": F.lit(None).cast("long"), "utc_text": F.lit(None).cast("string")})
-    c = chains.select("chain_id", F.col("host").alias("_h"), "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
-    timed = F.when(F.col("first_epoch_ms").isNotNull(), F.col("epoch_ms").between(F.col("first_epoch_ms"), F.col("last_epoch_ms"))).otherwise(F.col("row_num").between(F.col("first_row"), F.col("last_row")))
-    inside = rows.join(c, F.col("_host").eqNullSafe(F.col("_h")) & timed)
+    c = chains.select("chain_id", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("_host"), "first_epoch_ms", "last_epoch_ms", "first_row", "last_row")
+    hour = lambda x: F.floor(F.col(x) / HOUR).cast("long")
+    by_row = rows.join(c.filter("first_epoch_ms is null"), "_host").filter(F.col("row_num").between(F.col("first_row"), F.col("last_row")))
+    inside = by_row.select("chain_id", *rows.columns)
+    if row_time is not None:
+        sliced = c.filter("first_epoch_ms is not null").withColumn("_hour", F.explode(F.sequence(hour("first_epoch_ms"), hour("last_epoch_ms"))))
+        by_time = rows.withColumn("_hour", hour("epoch_ms")).join(sliced, ["_host", "_hour"]).filter(F.col("epoch_ms").between(F.col("first_epoch_ms"), F.col("last_epoch_ms")))
+        inside = inside.unionByName(by_time.select("chain_id", *rows.columns))
     order = [F.col("epoch_ms").asc_nulls_last(), "row_num", "tactic_id", "technique_id", "keyword"]
-    events = inside.withColumn("seq", F.row_number().over(W.partitionBy("chain_id").orderBy(*order)))
-    events = events.filter(F.col("seq") <= most) if most else events
+    if most:
+        events = inside.withColumn("seq", F.row_number().over(W.partitionBy("chain_id").orderBy(*order))).filter(F.col("seq") <= most)
+    else:
+        numbered = with_row_num(inside.withColumnRenamed("row_num", "_row"), ["chain_id", order[0], "_row", *order[2:]])
+        start = numbered.groupBy("chain_id").agg(F.min("row_num").alias("_start"))
+        events = numbered.join(start, "chain_id").withColumn("seq", (F.col("row_num") - F.col("_start") + 1).cast("int")).drop("row_num").withColumnRenamed("_row", "row_num")
     line = F.concat(F.coalesce("host", F.lit("(no host)")), F.lit(": "), F.array_join("tactics", " > "), F.lit(", score "), F.col("score").cast("string"), F.lit(", "), F.col("event_count").cast("string"), F.lit(" events"))
     head = chains.select("chain_id", F.lit(0).alias("seq"), "first_row", line.alias("story"))
     told = events.select("chain_id", "seq", F.col("row_num").alias("first_row"), F.concat_ws(" ", "utc_text", "tactic_id", "technique_id", "technique_name", "keyword").alias("story"))
@@ -191,7 +270,7 @@ def activity_table(activity: DataFrame) -> DataFrame:
 
 def row_by_row(activity: DataFrame, matches: DataFrame | None, findings: DataFrame | None, row_time: DataFrame | None, cap: int | None = 1_000_000) -> DataFrame:
     """Every labelled row with its time, distinct techniques and anomaly categories: each side is grouped before the join."""
-    out = activity
+    out = first_rows(activity, ["row_num"], cap)
     if row_time is not None:
         out = out.join(row_time.select("row_num", "utc_text"), "row_num", "left")
     for part, column, name in ((matches, "technique_id", "techniques"), (findings, "category", "anomalies")):
@@ -200,7 +279,7 @@ def row_by_row(activity: DataFrame, matches: DataFrame | None, findings: DataFra
         else:
             grouped = part.groupBy("row_num").agg(F.array_join(F.array_sort(F.collect_set(column)), ", ").alias(name))
             out = out.join(grouped, "row_num", "left").withColumn(name, F.coalesce(name, F.lit("")))
-    return out.orderBy("row_num").limit(cap) if cap else out
+    return out.orderBy("row_num") if cap else out
 
 
 def tactic_table(timeline: DataFrame, tactic_id: str) -> DataFrame:

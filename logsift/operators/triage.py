@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions.text import text, trim
 from logsift.operators import activity, anomalies, chains, matching, roles, rollups, rules, timestamps
+from logsift.sources.tables import with_row_num
 from logsift.spec import ColumnMeta
 
 
@@ -25,11 +26,12 @@ class TriageResult:
     steps: list[tuple[str, str, str]] = field(default_factory=list)
 
 
-def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | None = None, ignore: list | None = None, decided: dict | None = None, row_time: DataFrame | None = None, matches: DataFrame | None = None, cap: int | None = 200_000, sample_rows: int | None = 500) -> TriageResult:
+def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | None = None, ignore: list | None = None, decided: dict | None = None, row_time: DataFrame | None = None, matches: DataFrame | None = None, cap: int | None = 200_000, sample_rows: int | None = 500, keep: int | None = 200, profile_caps: tuple[int | None, int | None, int | None] = (2000, 2000, 3000)) -> TriageResult:
     """Roles, times (where no answer is needed), ignored rows, matches and chains, anomalies, activity.
 
     Each step is recorded as ran, reused, skipped or failed; a failed step doesn't stop the others. What is given is reused.
-    ``cap`` bounds the events of chains and the anomalies, ``sample_rows`` the rows that roles are judged from; None lifts them.
+    ``cap`` bounds the events of chains and the anomalies, ``sample_rows`` the rows that roles are judged from, ``keep``
+    the chains and ``profile_caps`` the findings of each rarity; None lifts them.
     """
     out = TriageResult(meta, dict(decided or {}))
 
@@ -56,7 +58,10 @@ def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | No
 
     def linked():
         host = out.roles["host"].column if "host" in out.roles else None
-        return chains.attack_chains(out.matches, df, out.row_time, host, cap=cap), "by time" if out.row_time is not None else "without times"
+        found = chains.attack_chains(out.matches, df, out.row_time, host, cap=cap, keep=keep)
+        if keep is None:
+            found = with_row_num(found, [F.desc("tactic_count"), F.desc("score"), F.desc("event_count"), "first_row"]).withColumnRenamed("row_num", "chain_id")
+        return found, "by time" if out.row_time is not None else "without times"
 
     found = step("roles", lambda: (roles.detect_roles(df, meta, out.roles, sample_rows), ""))
     out.roles = found if found is not None else out.roles
@@ -64,13 +69,16 @@ def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | No
     out.ignored = step("ignored", lambda: (rules.ignored_rows(df, ignore if ignore is not None else rules.load_rules(), meta, out.roles), ""))
     out.matches = step("matches", lambda: (matching.scan(df, library or matching.load_library(), meta, out.roles, out.ignored), ""), matches)
     out.chains = step("chains", lambda: linked() if out.matches is not None else (None, "no matches"))
-    out.anomalies = step("anomalies", lambda: (anomalies.scan_anomalies(df, meta, out.roles, out.row_time, out.ignored, cap), ""))
+    out.anomalies = step("anomalies", lambda: (anomalies.scan_anomalies(df, meta, out.roles, out.row_time, out.ignored, cap, profile_caps), ""))
     out.activity = step("activity", lambda: (activity.classify_activity(df, meta, out.roles, out.ignored), ""))
     return out
 
 
-def report_tables(df: DataFrame, found: TriageResult) -> dict[str, DataFrame]:
-    """The report's tables by name, in order; a table is there only if its input has rows."""
+def report_tables(df: DataFrame, found: TriageResult, most: int | None = 500, row_cap: int | None = 1_000_000) -> dict[str, DataFrame]:
+    """The report's tables by name, in order; a table is there only if its input has rows.
+
+    ``most`` bounds a chain's events in the story, ``row_cap`` the rows of Row by Row; None lifts them.
+    """
     has = lambda d: d is not None and not d.isEmpty()
     tables = {"General": rollups.general(df, found.meta, found.row_time, found.roles)}
     if has(found.ignored):
@@ -82,14 +90,14 @@ def report_tables(df: DataFrame, found: TriageResult) -> dict[str, DataFrame]:
         tables["Timeline"] = line
         if has(found.chains):
             host = found.roles["host"].column if "host" in found.roles else None
-            tables["Attack Story"] = rollups.attack_story(found.chains, found.matches, df, host, found.row_time)
+            tables["Attack Story"] = rollups.attack_story(found.chains, found.matches, df, host, found.row_time, most)
         # as many as the library has tactics
         for tactic in found.matches.select("tactic_id", "tactic_name").distinct().orderBy("tactic_id").collect():
             tables[tactic["tactic_name"]] = rollups.tactic_table(line, tactic["tactic_id"])
     if has(found.anomalies):
         tables["Anomalies"] = rollups.anomaly_table(found.anomalies, df, found.meta, found.roles, found.row_time)
     if has(found.activity):
-        tables["Row by Row"] = rollups.row_by_row(found.activity, found.matches, found.anomalies, found.row_time)
+        tables["Row by Row"] = rollups.row_by_row(found.activity, found.matches, found.anomalies, found.row_time, row_cap)
     return tables
 
 

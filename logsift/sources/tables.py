@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from logsift.operators.filters import where
 from logsift.operators.paging import order, time_order
+from logsift.sources.quoted_csv import read_quoted
 from logsift.spec import ColumnMeta, QuerySpec
 from logsift.storage import cut
 
@@ -35,19 +37,35 @@ def clean_headers(headers: list[str]) -> list[ColumnMeta]:
     return out
 
 
-def read_log_csv(spark: SparkSession, path: str, number: bool = True, line_breaks: bool = True) -> tuple[DataFrame, list[ColumnMeta]]:
+def _largest(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file at a path."""
+    where_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where_.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where_)
+    sizes = [x.getLen() for f in found or [] for x in f.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(f.getPath())]
+    return max(sizes, default=0)
+
+
+def read_log_csv(spark: SparkSession, path: str, number: bool = True, line_breaks: bool = True, split: bool | None = None) -> tuple[DataFrame, list[ColumnMeta]]:
     """A CSV file with a header as text columns: short rows are filled with '', extra cells dropped.
 
-    Only the header line comes to the driver. Rows are numbered from 1 in file order. With ``line_breaks`` a quoted
-    cell may hold some, and then a file can't be split: one task reads it. Say False for large files without them.
+    Only the header comes to the driver. Rows are numbered from 1 in file order. With ``line_breaks`` a quoted cell may
+    hold some. Files of more than one split are then read by many tasks that first settle which line breaks are
+    quoted (``quoted_csv``); smaller ones by one task each. ``split`` decides that instead of the size.
     """
-    first = spark.read.text(path).limit(1).collect()
+    first = [r[0] for r in spark.read.option("lineSep", "\n").text(path).limit(64).collect()]
     if not first:
         raise ValueError(f"{path} has no header")
-    meta = clean_headers(next(csv.reader([first[0][0].lstrip("﻿")])))
+    meta = clean_headers(next(csv.reader(io.StringIO("\n".join(x.rstrip("\r") for x in first).lstrip("\ufeff"), newline=""))))
     schema = T.StructType([T.StructField(m.name, T.StringType(), True, {"original": m.original, "hint": m.hint}) for m in meta])
+    if split is None:
+        limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        split = line_breaks and _largest(spark, path) > limit
+    cells = [F.coalesce(m.name, F.lit("")).alias(m.name, metadata=schema[m.name].metadata) for m in meta]
+    if split:
+        rows = read_quoted(spark, path, schema)
+        return rows.select(*(["row_num"] if number else []), *cells), meta
     rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=line_breaks, enforceSchema=True)
-    rows = rows.select(*[F.coalesce(m.name, F.lit("")).alias(m.name) for m in meta])
+    rows = rows.select(*cells)
     return (with_row_num(rows, scan=True) if number else rows), meta
 
 
