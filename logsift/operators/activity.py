@@ -75,7 +75,8 @@ def classify_activity(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Ro
     tries += [F.when(v[c] != "", label(F.lit(category), v[c], names[c])) for category, c in fallback]
     tries += [F.when(v[m.name] != "", label(F.lit("other"), v[m.name], m.original)) for m in told]
     tries.append(label(F.lit("other"), F.lit(""), ""))
-    chosen = rows.select("row_num", F.coalesce(*tries).alias("a"))
+    # a generated row: what reads the parts later doesn't choose again
+    chosen = rows.select("row_num", F.explode(F.array(F.coalesce(*tries))).alias("a"))
     return chosen.select("row_num", "a.category", clip(F.col("a.detail"), 120).alias("detail"), "a.source_column")
 
 

@@ -11,6 +11,7 @@ from logsift.functions.text import text, trim
 from logsift.operators import activity, anomalies, chains, matching, roles, rollups, rules, timestamps
 from logsift.sources.tables import with_row_num
 from logsift.spec import ColumnMeta
+from logsift.storage import cut
 
 
 @dataclass
@@ -30,6 +31,7 @@ def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | No
     """Roles, times (where no answer is needed), ignored rows, matches and chains, anomalies, activity.
 
     Each step is recorded as ran, reused, skipped or failed; a failed step doesn't stop the others. What is given is reused.
+    Matches are written once, since chains and most of a report read them.
     ``cap`` bounds the events of chains and the anomalies, ``sample_rows`` the rows that roles are judged from, ``keep``
     the chains and ``profile_caps`` the findings of each rarity; None lifts them.
     """
@@ -67,7 +69,7 @@ def triage(df: DataFrame, meta: list[ColumnMeta], library: matching.Library | No
     out.roles = found if found is not None else out.roles
     out.row_time = step("times", times, row_time)
     out.ignored = step("ignored", lambda: (rules.ignored_rows(df, ignore if ignore is not None else rules.load_rules(), meta, out.roles), ""))
-    out.matches = step("matches", lambda: (matching.scan(df, library or matching.load_library(), meta, out.roles, out.ignored), ""), matches)
+    out.matches = step("matches", lambda: (cut(matching.scan(df, library or matching.load_library(), meta, out.roles, out.ignored)), ""), matches)
     out.chains = step("chains", lambda: linked() if out.matches is not None else (None, "no matches"))
     out.anomalies = step("anomalies", lambda: (anomalies.scan_anomalies(df, meta, out.roles, out.row_time, out.ignored, cap, profile_caps), ""))
     out.activity = step("activity", lambda: (activity.classify_activity(df, meta, out.roles, out.ignored), ""))
