@@ -38,10 +38,12 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, gram: int = 8) -> DataFra
     """Maximal spans of at least ``min_words`` words whose every window of that length stands in another document.
 
     Method: of all suffixes only those at minimiser positions are retained (the least hash of ``gram`` words in
-    some run of ``min_words - gram + 1``), about one in twenty. They are dealt to ranges of the order of their
-    leading words, sorted and compared with their neighbours; those that agree are extended left and right to
-    whole windows, which are compared again (see ``repeats``). Words are ordered by hash, not by letters, which
-    keeps equal suffixes adjacent and the ranges even.
+    some run of ``min_words - gram + 1``), about one in twenty. They are dealt to ranges of the order of the hash of
+    their ``gram`` leading words, sorted by it, and those with equal ones are brought together. What follows, to both
+    sides, isn't decided by the common prefixes of neighbours but by hashes of the whole windows around such a
+    position, which are dealt out and compared again (see ``repeats``). So this is no suffix array in the full sense:
+    a passage that very many documents hold gives as many suffixes with equal leading words, which no range of the
+    order could hold, while their windows deal themselves out.
 
     Returns one row a span: doc_id, start_word, n_words and n_removed, the words of the span that lie in a
     window which a smaller doc_id also holds: taking those out leaves one copy of every passage. Documents
