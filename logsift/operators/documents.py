@@ -5,14 +5,19 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from logsift.functions.text import informative, normalize_tokens, text, trim, word_chunks
 from logsift.functions.values import parse_ip
 from logsift.operators.rules import suppress
+from logsift.operators.selection import even_share
 from logsift.spec import ColumnMeta
+from logsift.storage import cut
 
 # Headers of columns that are only compared whole, and of columns that hold prose.
 EXACT = ("timestamp", "time generated", "date", "source ip", "src ip", "destination ip", "dst ip", "address", "hash", "guid", "uuid", "sid", "account", "user name", "username", "computer", "device name", "host name", "hostname", "report id", "session id", "port", "id")
@@ -115,43 +120,36 @@ def document_key() -> Column:
     return F.sha2(F.concat(part("kind"), part("column_key"), part("text")).cast("binary"), 256)
 
 
-def _within(df: DataFrame, by: Column, most: int | None, groups: int = 1 << 16) -> DataFrame:
-    """Rows of the first hash groups of ``by`` that have at most ``most`` rows together: even over the table, never more.
+def mapped_documents(rows: DataFrame, meta: list[ColumnMeta], modes: dict[str, str], limits: Limits = Limits()) -> DataFrame:
+    """doc_key, row_num, kind, column_key, text of all documents of all rows."""
+    every = row_documents(rows, meta, modes, limits)
+    return every.select(document_key().alias("doc_key"), "row_num", "kind", "column_key", "text")
 
-    Counts of the groups come to the driver, at most ``groups`` of them.
-    """
-    if not most:
-        return df
-    group = F.pmod(F.xxhash64(by), F.lit(groups))
-    counts = dict(df.groupBy(group.alias("g")).count().collect())
-    total, last = 0, groups
-    for g in range(groups):
-        total += counts.get(g, 0)
-        if total > most:
-            last = g
-            break
-    return df if last == groups else df.filter(group < last)
-
-
-def build_documents(df: DataFrame, meta: list[ColumnMeta], ignored: DataFrame | None = None, modes: dict[str, str] | None = None, limits: Limits = Limits(), stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+
+def build_documents(df: DataFrame, meta: list[ColumnMeta], ignored: DataFrame | None = None, modes: dict[str, str] | None = None, limits: Limits = Limits(), stored: DataFrame | None = None, mapped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, doc_rows): each text once by its key, and the rows that have it.
 
     ``stored`` documents (doc_key) are left out of ``documents``, so that a later build embeds only what is new.
-    The limits of a build always hold: documents are drawn by the hash of their key, then their mappings by the hash
-    of the row, so every part of the table is covered alike; what is left out shows in ``coverage``.
+    The limits of a build always hold and are filled. They are spread evenly over the table (``even_share``):
+    documents by the first row that has them, then their mappings by row. What is left out shows in ``coverage``.
+    The documents of the rows are made and written once; ``mapped`` is a written table of ``mapped_documents`` to use.
     """
     rows = suppress(df, ignored)
-    every = row_documents(rows, meta, modes or column_modes(df, meta, limits.sample_rows), limits)
-    mapped = every.select(document_key().alias("doc_key"), "row_num", "kind", "column_key", "text")
-    documents = mapped.groupBy("doc_key").agg(F.min("kind").alias("kind"), F.min("column_key").alias("column_key"), F.min("text").alias("text"))
-    documents = _within(documents, F.col("doc_key"), limits.documents)
+    if mapped is None:
+        mapped = cut(mapped_documents(rows, meta, modes or column_modes(df, meta, limits.sample_rows), limits))
+    first = [F.min("kind").alias("kind"), F.min("column_key").alias("column_key"), F.min("text").alias("text"), F.min("row_num").alias("_row")]
+    documents = mapped.groupBy("doc_key").agg(*first)
     doc_rows = mapped.select("doc_key", "row_num").distinct()
-    if limits.documents:
-        doc_rows = doc_rows.join(documents.select("doc_key"), "doc_key", "left_semi")
-    doc_rows = _within(doc_rows, F.col("row_num"), limits.mappings)
+    if limits.documents is not None or limits.mappings is not None:
+        span = df.agg(F.min("row_num"), F.max("row_num")).first()
+        documents = even_share(documents, "_row", "doc_key", limits.documents, span)
+        if limits.documents is not None:
+            doc_rows = doc_rows.join(documents.select("doc_key"), "doc_key", "left_semi")
+        pair = F.sha2(F.concat_ws(":", "doc_key", "row_num").cast("binary"), 256)
+        doc_rows = even_share(doc_rows.withColumn("_pair", pair), "row_num", "_pair", limits.mappings, span).drop("_pair")
     if stored is not None:
         documents = documents.join(stored.select("doc_key"), "doc_key", "left_anti")
-    return documents, doc_rows
+    return documents.drop("_row"), doc_rows
 
 
 def left_out(df: DataFrame, meta: list[ColumnMeta], modes: dict[str, str], limits: Limits = Limits()) -> DataFrame:
@@ -176,10 +174,13 @@ def left_out(df: DataFrame, meta: list[ColumnMeta], modes: dict[str, str], limit
     return per_row.agg(total("t").alias("cells_truncated"), total("c").alias("columns_omitted"), total("k").alias("chunks_omitted"))
 
 
-def coverage(df: DataFrame, meta: list[ColumnMeta], doc_rows: DataFrame, modes: dict[str, str], limits: Limits = Limits(), ignored: DataFrame | None = None) -> DataFrame:
-    """One row: documents and mappings seen, kept and left out; rows covered; what ``left_out`` counts."""
+def coverage(df: DataFrame, meta: list[ColumnMeta], doc_rows: DataFrame, modes: dict[str, str], limits: Limits = Limits(), ignored: DataFrame | None = None, mapped: DataFrame | None = None) -> DataFrame:
+    """One row: documents and mappings seen, kept and left out; rows covered; what ``left_out`` counts.
+
+    ``mapped``: as in ``build_documents``.
+    """
     rows = suppress(df, ignored)
-    every = row_documents(rows, meta, modes, limits).select(document_key().alias("doc_key"), "row_num").distinct()
+    every = (mapped if mapped is not None else mapped_documents(rows, meta, modes, limits)).select("doc_key", "row_num").distinct()
     seen = every.agg(F.count_distinct("doc_key").alias("documents_seen"), F.count(F.lit(1)).alias("mappings_seen"))
     kept = doc_rows.agg(F.count_distinct("doc_key").alias("documents_mapped"), F.count(F.lit(1)).alias("mappings_written"), F.count_distinct("row_num").alias("rows_covered"))
     both = seen.join(F.broadcast(kept)).withColumns({"documents_skipped": F.col("documents_seen") - F.col("documents_mapped"), "mappings_skipped": F.col("mappings_seen") - F.col("mappings_written")})
@@ -211,19 +212,88 @@ def vector_top_k(documents: DataFrame, vector: list[float], k: int = 256, min_sc
     return vector_scores(documents, vector, min_score, key, column).orderBy(F.desc("score"), key).limit(min(max(k, 1), 1024))
 
 
+#: So many questions are compared at a time, at most.
+QUESTIONS = 1024
+
+
+def vectors_top_k(documents: DataFrame, questions: DataFrame, k: int = 256, min_score: float = 0.38, key: str = "doc_key", column: str = "embedding") -> DataFrame:
+    """question, key, score: for each of several questions what ``vector_top_k`` gives, in one scan.
+
+    ``questions``: question and ``column``, up to ``QUESTIONS`` rows, which go to every task. Blocks of vectors are
+    multiplied by all of them at a time; a task keeps the best ``k`` of each question, and those of all tasks are
+    merged. Null and zero vectors, and those of another length, have no score.
+    """
+    k = min(max(k, 1), 1024)
+    asked = questions.select("question", F.col(column).cast("array<double>").alias("v")).limit(QUESTIONS + 1).collect()
+    if len(asked) > QUESTIONS:
+        raise ValueError(f"more than {QUESTIONS} questions at once")
+    kinds = dict(documents.dtypes)[key], dict(questions.dtypes)["question"]
+    kind = to_arrow_type(questions.schema["question"].dataType)
+    by_size: dict[int, tuple[list, list]] = {}
+    for name, v in asked:
+        v = np.asarray([np.nan if x is None else x for x in v or []], np.float64)
+        if len(v) and np.isfinite(v).all() and v.any():
+            names, vectors = by_size.setdefault(len(v), ([], []))
+            names.append(name)
+            vectors.append(v / np.linalg.norm(v))
+    shared = documents.sparkSession.sparkContext.broadcast({n: (names, np.stack(vectors)) for n, (names, vectors) in by_size.items()})
+
+    def best(table: pa.Table) -> pa.Table:
+        """The first ``k`` rows of each question by score, then key."""
+        table = table.sort_by([("at", "ascending"), ("score", "descending"), (key, "ascending")])
+        at = table.column("at").to_numpy()
+        head = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        return table.filter(pa.array(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at)))) < k))
+
+    def scan(batches):
+        held: dict[int, pa.Table] = {}
+        for batch in batches:
+            vectors = batch.column(1)
+            n = np.diff(np.asarray(vectors.offsets))
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.cumsum(np.where(vectors.is_null().to_numpy(zero_copy_only=False), 0, n))[:-1]])
+            for size, (_, asked_) in shared.value.items():
+                rows = np.flatnonzero((n == size) & ~vectors.is_null().to_numpy(zero_copy_only=False))
+                for low in range(0, len(rows), 4096):
+                    own = rows[low : low + 4096]
+                    x = flat[start[own][:, None] + np.arange(size)].astype(np.float64)
+                    norm = np.linalg.norm(x, axis=1)
+                    score = np.where(norm[:, None] > 0, x / np.where(norm > 0, norm, 1)[:, None], np.nan) @ asked_.T
+                    score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+                    i, q = np.nonzero(score >= min_score)
+                    found = pa.table({"at": pa.array(q, pa.int64()), key: batch.column(0).take(pa.array(own[i])), "score": pa.array(score[i, q])})
+                    held[size] = best(pa.concat_tables([held[size], found]) if size in held else found)
+        for size, table in held.items():
+            names = pa.array(shared.value[size][0], kind).take(table.column("at").combine_chunks())
+            yield from pa.table({"question": names, key: table.column(key), "score": table.column("score")}).to_batches()
+
+    found = documents.select(key, F.col(column).cast("array<double>").alias("v")).mapInArrow(scan, f"question {kinds[1]}, `{key}` {kinds[0]}, score double")
+    rank = F.row_number().over(W.partitionBy("question").orderBy(F.desc("score"), key))
+    return found.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+
+
 def select_rows(top: DataFrame, doc_rows: DataFrame) -> DataFrame:
     """Distinct rows of the retained documents."""
     return doc_rows.join(F.broadcast(top.select("doc_key")), "doc_key", "left_semi").select("row_num").distinct()
 
 
-def disclosure(selected: DataFrame, df: DataFrame, above: DataFrame, top: DataFrame, many: int = 10_000, share: float = 0.25) -> DataFrame:
-    """One row: rows selected, the table's, documents above the threshold and retained, and whether that is broad or cut off."""
+def disclosure(selected: DataFrame, df: DataFrame, above: DataFrame, top: DataFrame, many: int = 10_000, share: float = 0.25, covered: DataFrame | None = None) -> DataFrame:
+    """One row: rows selected, the table's, documents above the threshold and retained, and whether that is broad or cut off.
+
+    ``warnings`` say so in words and, with ``covered`` (the row of ``coverage``), what the documents themselves leave out.
+    """
     n = lambda d, name: F.broadcast(d.agg(F.count(F.lit(1)).alias(name)))
     out = selected.agg(F.count(F.lit(1)).alias("rows_selected")).join(n(df, "rows_total")).join(n(above, "documents_above")).join(n(top, "documents_retained"))
     broad = (F.col("rows_selected") > many) | (F.col("rows_selected") > share * F.col("rows_total"))
-    cut = F.col("documents_above") > F.col("documents_retained")
-    warn = F.array_compact(F.array(F.when(broad, F.lit("the selection is broad")), F.when(cut, F.concat((F.col("documents_above") - F.col("documents_retained")).cast("string"), F.lit(" documents above the threshold are not retained")))))
-    return out.withColumns({"broad": broad, "truncated": cut, "warnings": warn})
+    cut_off = F.col("documents_above") > F.col("documents_retained")
+    told = [F.when(broad, F.lit("the selection is broad")), F.when(cut_off, F.concat((F.col("documents_above") - F.col("documents_retained")).cast("string"), F.lit(" documents above the threshold are not retained")))]
+    parts = {"cells_truncated": "long cells cut", "columns_omitted": "columns of wide rows left out", "chunks_omitted": "chunks left out", "documents_skipped": "documents skipped", "mappings_skipped": "mappings of documents to rows skipped"}
+    columns = out.columns
+    if covered is not None:
+        out = out.join(F.broadcast(covered.select(*parts)))
+        said = F.array_join(F.array_compact(F.array(*[F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(f" {v}"))) for k, v in parts.items()])), ", ")
+        told.append(F.when(said != "", F.concat(F.lit("the documents are bounded: "), said, F.lit("; filters and searches read every row"))))
+    return out.select(*columns, broad.alias("broad"), cut_off.alias("truncated"), F.array_compact(F.array(*told)).alias("warnings"))
 
 
 def row_reasons(top: DataFrame, doc_rows: DataFrame, documents: DataFrame, k: int = 3) -> DataFrame:

@@ -29,7 +29,8 @@ def sort(df: DataFrame, spec: QuerySpec) -> DataFrame:
     return where(df, spec).orderBy(*order(spec))
 
 
-def _after(spec: QuerySpec) -> Column:
+def after(spec: QuerySpec) -> Column:
+    """Which rows come after the cursor in the view's order."""
     at, row = spec.cursor, F.col("row_num")
     beyond = row < at.row_num if spec.sort.descending else row > at.row_num
     if not spec.sort.column or at.value is None:
@@ -45,7 +46,7 @@ def page_frame(df: DataFrame, spec: QuerySpec) -> DataFrame:
         raise SpecError(f"unknown column {spec.sort.column}")
     found = where(df, spec)
     if spec.cursor:
-        found = found.filter(_after(spec))
+        found = found.filter(after(spec))
     return found.orderBy(*order(spec)).limit(min(max(spec.limit, 1), 5000) + 1)
 
 
@@ -71,16 +72,20 @@ def time_order(descending: bool = False) -> list[Column]:
     return [F.col("epoch_ms").isNull().asc(), turn("epoch_ms"), turn("row_num")]
 
 
+def after_time(spec: QuerySpec, descending: bool = False) -> Column:
+    """Which rows come after the cursor in the order of ``time_order``."""
+    row, epoch = F.col("row_num"), F.col("epoch_ms")
+    beyond = row < spec.cursor.row_num if descending else row > spec.cursor.row_num
+    if spec.cursor.value is None:
+        return epoch.isNull() & beyond
+    at = int(spec.cursor.value)
+    past = epoch < at if descending else epoch > at
+    return epoch.isNull() | past | ((epoch == at) & beyond)
+
+
 def page_by_time(df: DataFrame, row_time: DataFrame, spec: QuerySpec, descending: bool = False) -> DataFrame:
     """A page (and one row more) by time. The cursor's value is an epoch in milliseconds; without one it pages the rows that have no time."""
     found = where(df, replace(spec, cursor=None)).join(row_time.select("row_num", "epoch_ms"), "row_num", "left")
     if spec.cursor:
-        row, epoch = F.col("row_num"), F.col("epoch_ms")
-        beyond = row < spec.cursor.row_num if descending else row > spec.cursor.row_num
-        if spec.cursor.value is None:
-            found = found.filter(epoch.isNull() & beyond)
-        else:
-            at = int(spec.cursor.value)
-            past = epoch < at if descending else epoch > at
-            found = found.filter(epoch.isNull() | past | ((epoch == at) & beyond))
+        found = found.filter(after_time(spec, descending))
     return found.orderBy(*time_order(descending)).limit(min(max(spec.limit, 1), 5000) + 1)

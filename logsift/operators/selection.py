@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.storage import cut
@@ -111,3 +112,45 @@ def first_rows(df: DataFrame, order: list[str], k: int | None) -> DataFrame:
     one = tied.filter(least == v).limit(1)
     copies = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(need - before)))).drop("_copy")
     return rows.filter(below | (level & (least < v))).unionByName(copies)
+
+
+def fair_shares(demands: list[int], limit: int) -> list[int]:
+    """What each of several demands gets of a limit: equal shares, and what one doesn't need goes to the others.
+
+    What is left over of a division goes to some of equal demands that lie scattered among them.
+    """
+    out, left = [0] * len(demands), limit
+    for i, k in enumerate(sorted(range(len(demands)), key=lambda k: (demands[k], k * 2654435761 % 2**32))):
+        out[k] = min(demands[k], left // (len(demands) - i))
+        left -= out[k]
+    return out
+
+
+def even_share(df: DataFrame, position: str, key: str, limit: int | None, span: tuple[int, int] | None = None, strata: int = 1024) -> DataFrame:
+    """``limit`` rows that are spread evenly over ``position``, exactly as many if there are enough; all of them without.
+
+    The span of positions (given, or that of the rows) is cut into ``strata`` of equal width. Each gets an equal share of
+    the limit, unused shares go to those that have more (``fair_shares``). Within one the rows of the least ``key`` are
+    taken: a column of hexadecimal digits of a hash, different for each row. Its first three digits are counted for each
+    stratum; only rows with the digits where a share ends are put in order. What comes to the driver is a count
+    a stratum.
+    """
+    if limit is None:
+        return df
+    rows = cut(df)
+    if rows.count() <= limit:
+        return rows
+    low, high = span or rows.agg(F.min(position), F.max(position)).first()
+    stratum = F.floor((F.col(position) - low) * strata / F.lit(high - low + 1)).cast("int").alias("_stratum")
+    head = F.substring(key, 1, 3).alias("_head")
+    counts = cut(rows.groupBy(stratum, head).agg(F.count(F.lit(1)).alias("n")))
+    demand = dict(counts.groupBy("_stratum").agg(F.sum("n")).collect())
+    names = sorted(demand)
+    shares = df.sparkSession.createDataFrame(list(zip(names, fair_shares([demand[k] for k in names], limit))), "_stratum int, share long")
+    before = F.sum("n").over(W.partitionBy("_stratum").orderBy("_head").rowsBetween(W.unboundedPreceding, -1))
+    # of each stratum the digits where its share ends, and how many rows with them are in
+    ends = counts.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(shares), "_stratum").filter((F.col("before") <= F.col("share")) & (F.col("share") < F.col("before") + F.col("n"))).select("_stratum", F.col("_head").alias("_end"), (F.col("share") - F.col("before")).alias("_room"))
+    told = rows.withColumns({"_stratum": stratum, "_head": head}).join(F.broadcast(ends), "_stratum", "left")
+    whole = told.filter(F.col("_end").isNull() | (F.col("_head") < F.col("_end")))
+    last = told.filter(F.col("_head") == F.col("_end")).withColumn("_k", F.row_number().over(W.partitionBy("_stratum").orderBy(key))).filter(F.col("_k") <= F.col("_room"))
+    return whole.select(*df.columns).unionByName(last.select(*df.columns))

@@ -1,16 +1,22 @@
-"""Queries that meet a cap, held against SQL's ORDER BY and LIMIT."""
+"""Queries that meet a cap or stop on the way: limits, pages of written views, builds in batches, many questions."""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from logsift.operators import anomalies as an
 from logsift.operators import chains as ch
-from logsift.operators import rollups
+from logsift.operators import documents as docs
+from logsift.operators import laid_out, resumable, rollups
 from logsift.operators.rules import ignored_rows, load_rules
 from logsift.operators.selection import first_rows
 from logsift.plans import catalog as c
 from logsift.plans import details  # noqa: F401  gives the scan's SQL
+from logsift.spec import Cursor, QuerySpec, Sort
+from logsift.storage import checkpoint_folder
 
 query = c.query
 
@@ -64,3 +70,66 @@ def address_ranges(spark, d):
     log = c.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_num"), F.concat_ws(".", *[p.cast("long").cast("string") for p in parts]).alias("ip"))
     ranges = spark.createDataFrame([(_number(a), _number(b), x, k) for k, (a, b, x) in enumerate(reversed(_RANGES))], "low long, high long, label string, ord int")
     return rollups.ip_rollup(log, "ip", ranges).select("ip", "label", "rows")
+
+
+_KEYED = """r AS (SELECT event_id + 1 AS row_num, 'cell' AS kind, 'event_type' AS column_key, 'event type: ' || event_type AS text FROM events
+  UNION ALL SELECT event_id + 1, 'cell', 'props', 'details: ' || regexp_replace(props, '[0-9]+', '<number>', 'g') FROM events),
+k AS (SELECT row_num, text, sha256(strlen(kind) || ':' || kind || strlen(column_key) || ':' || column_key || strlen(text) || ':' || text) AS doc_key FROM r),
+m AS (SELECT DISTINCT doc_key, row_num, text, sha256(doc_key || ':' || row_num) AS pair FROM k)"""
+
+
+@query("documents_limited", f"""WITH RECURSIVE {_KEYED}, b AS (SELECT min(event_id) + 1 AS low, max(event_id) + 1 AS high FROM events),
+s AS (SELECT m.*, CAST(floor((row_num - low) * 1024 / (high - low + 1)) AS BIGINT) AS stratum FROM m, b),
+d AS (SELECT stratum, n, row_number() OVER (ORDER BY n, k * 2654435761 % 4294967296) AS i, count(*) OVER () AS strata FROM (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY stratum) - 1 AS k FROM s GROUP BY 1)),
+f(i, stratum, share, rest) AS (SELECT i, stratum, least(n, 3000 // strata), 3000 - least(n, 3000 // strata) FROM d WHERE i = 1
+  UNION ALL SELECT d.i, d.stratum, least(n, rest // (strata - d.i + 1)), rest - least(n, rest // (strata - d.i + 1)) FROM f JOIN d ON d.i = f.i + 1),
+o AS (SELECT s.*, row_number() OVER (PARTITION BY stratum ORDER BY pair) AS k FROM s)
+SELECT row_num, text FROM o JOIN f USING (stratum) WHERE k <= share""")
+def documents_limited(spark, d):
+    """The rows that documents keep under a limit of 3000 mappings, spread evenly over the log."""
+    documents, doc_rows = docs.build_documents(c.events_log(spark, d), c._DOC_META, modes=c._MODES, limits=docs.Limits(documents=None, mappings=3000))
+    return doc_rows.join(documents, "doc_key").select("row_num", "text")
+
+
+@query("documents_in_batches", c.ORACLE["documents_deduplicated"])
+def documents_in_batches(spark, d):
+    """A build in three batches that is stopped after the first and goes on."""
+    folder = f"{checkpoint_folder(spark)}/documents-{uuid.uuid4().hex}"
+    log = c.events_log(spark, d)
+    third = log.count() // 3 + 1
+    resumable.build_in_batches(log, c._DOC_META, c._MODES, folder, third, c._UNLIMITED, most=1)
+    documents, doc_rows = resumable.build_in_batches(log, c._DOC_META, c._MODES, folder, third, c._UNLIMITED)
+    return documents.join(doc_rows, "doc_key").groupBy("kind", "column_key", "text").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_folder(spark)}/view-{uuid.uuid4().hex}"
+
+
+@query("page_laid_out", c.ORACLE["page_after_cursor"])
+def page_laid_out(spark, d):
+    """The page after a cursor from a view that was written in its order."""
+    folder, spec = _folder(spark), QuerySpec(sort=Sort("event_type"))
+    laid_out.lay_out(c.events_log(spark, d), spec, folder, rows_per_file=500)
+    return laid_out.page_of(spark, folder, replace(spec, cursor=Cursor(40, "error"))).select("row_num", "event_type")
+
+
+@query("page_laid_out_by_time", """WITH t AS (SELECT event_id + 1 AS row_num, CASE WHEN event_type <> 'view' THEN epoch_us(ts) // 1000 END AS epoch_ms FROM events), m AS (SELECT CAST(median(epoch_ms) AS BIGINT) AS mid FROM t)
+SELECT row_num, epoch_ms FROM t, m WHERE epoch_ms IS NULL OR epoch_ms < mid ORDER BY epoch_ms DESC NULLS LAST, row_num DESC LIMIT 201""")
+def page_laid_out_by_time(spark, d):
+    """A page from the middle of a log that was written newest first."""
+    folder, log = _folder(spark), c.events_log(spark, d)
+    times = c.security_times(spark, d).join(log.filter("event_type <> 'view'").select("row_num"), "row_num", "left_semi")
+    laid_out.lay_out_by_time(log, times, QuerySpec(), folder, descending=True, rows_per_file=500)
+    at = int(times.agg(F.median("epoch_ms")).first()[0] + 0.5)
+    return laid_out.page_of_times(spark, folder, QuerySpec(cursor=Cursor(0, str(at))), descending=True).select("row_num", "epoch_ms")
+
+
+@query("vectors_many", f"""WITH q AS (SELECT vec_id AS question, embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 100),
+s AS (SELECT question, vec_id AS doc_key, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q)
+SELECT question, doc_key, score FROM s WHERE score >= {c._LEAST} QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_key) <= 20""")
+def vectors_many(spark, d):
+    """The 20 nearest vectors to each of the first hundred, in one scan."""
+    vectors = c.vectors(spark, d)
+    questions = vectors.orderBy("doc_key").limit(100).select(F.col("doc_key").alias("question"), "embedding")
+    return docs.vectors_top_k(vectors, questions, 20, c._LEAST)

@@ -334,7 +334,7 @@ def test_caps_of_documents_hold(spark):
     limits = documents.Limits(documents=1000, mappings=2500)
     found, rows = documents.build_documents(df, meta, modes=modes, limits=limits)
     n, m = found.count(), rows.count()
-    assert 900 <= n <= 1000 and n - 1 <= m <= 2500
+    assert (n, m) == (1000, 2500) or (n == 1000 and m < 2500 and m >= n - 1)
     assert rows.join(found, "doc_key", "left_anti").count() == 0
     told = documents.coverage(df, meta, rows, modes, limits).first()
     assert (told["documents_seen"], told["mappings_seen"], told["mappings_written"], told["cells_truncated"], told["columns_omitted"], told["chunks_omitted"]) == (3001, 6000, m, 0, 0, 0)
