@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.text import clip, text, trim
+from logsift.operators.matching import any_of
 from logsift.operators.rules import Role, header_key, suppress
 from logsift.spec import ColumnMeta
 
@@ -47,9 +48,8 @@ def _by_id(value: Column) -> Column:
     return F.coalesce(*[F.when(digits.isin(*ids), F.lit(name)) for name, ids in EVENT_IDS.items()])
 
 
-def _by_words(value: Column) -> Column:
-    low = F.lower(value)
-    return F.coalesce(*[F.when(low.rlike("|".join(words)), F.lit(name)) for name, words in WORDS.items()])
+def _by_words(low: Column) -> Column:
+    return F.coalesce(*[F.when(low.rlike(any_of(list(words))), F.lit(name)) for name, words in WORDS.items()])
 
 
 def classify_activity(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Role], ignored: DataFrame | None = None) -> DataFrame:
@@ -67,7 +67,8 @@ def classify_activity(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Ro
     v = {c: F.col(f"v{i}") for i, c in enumerate(used)}
     # cells first, then what each says, then the choice: nothing is computed twice
     rows = suppress(df, ignored).select("row_num", *[trim(text(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(used)])
-    rows = rows.withColumns({f"id{i}": _by_id(v[m.name]) for i, m in enumerate(ids)} | {f"words{i}": _by_words(v[m.name]) for i, m in enumerate(told)})
+    rows = rows.withColumns({f"low{i}": F.lower(v[m.name]) for i, m in enumerate(told)})
+    rows = rows.withColumns({f"id{i}": _by_id(v[m.name]) for i, m in enumerate(ids)} | {f"words{i}": _by_words(F.col(f"low{i}")) for i in range(len(told))})
     label = lambda category, detail, source: F.struct(category.alias("category"), detail.alias("detail"), F.lit(source).alias("source_column"))
     number = lambda c: F.concat(F.lit("Event ID "), F.regexp_extract(v[c], "^[0-9]+", 0).try_cast("long").cast("string"))
     tries = [F.when(F.col(f"id{i}").isNotNull(), label(F.col(f"id{i}"), number(m.name), m.original)) for i, m in enumerate(ids)]
@@ -75,13 +76,14 @@ def classify_activity(df: DataFrame, meta: list[ColumnMeta], roles: dict[str, Ro
     tries += [F.when(v[c] != "", label(F.lit(category), v[c], names[c])) for category, c in fallback]
     tries += [F.when(v[m.name] != "", label(F.lit("other"), v[m.name], m.original)) for m in told]
     tries.append(label(F.lit("other"), F.lit(""), ""))
-    # a generated row: what reads the parts later doesn't choose again
-    chosen = rows.select("row_num", F.explode(F.array(F.coalesce(*tries))).alias("a"))
+    chosen = rows.select("row_num", F.coalesce(*tries).alias("a"))
     return chosen.select("row_num", "a.category", clip(F.col("a.detail"), 120).alias("detail"), "a.source_column")
 
 
 def activity_summary(activity: DataFrame, top: int = 3) -> DataFrame:
     """Rows of each category, most first, with its label and its most frequent details."""
+    # a generated row: what reads the parts doesn't choose them again
+    activity = activity.select(F.explode(F.array(F.struct("category", "detail"))).alias("a")).select("a.*")
     details = activity.filter("detail <> ''").groupBy("category", "detail").agg(F.count(F.lit(1)).alias("n"))
     best = details.withColumn("k", F.row_number().over(W.partitionBy("category").orderBy(F.desc("n"), "detail"))).filter(F.col("k") <= top)
     told = best.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "detail", "n"))), lambda x: F.struct(x["detail"].alias("detail"), x["n"].alias("rows"))).alias("top_details"))
