@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions import times, values
@@ -64,55 +64,83 @@ def value_profile(df: DataFrame, columns: list[str], sample_rows: int | None = 5
     return marked.groupBy("column").agg(F.count(F.lit(1)).alias("total"), *[F.sum(F.coalesce(k, F.lit(0))).alias(k) for k in _TESTS[1:]])
 
 
-def score(role: str, meta: ColumnMeta, counts: dict[str, int]) -> tuple[float, list[str]]:
-    rule, reasons, total = ROLES[role], [], 0.0
-    compact = "".join(_tokens(meta.original))
+def header_points(role: str, meta: ColumnMeta) -> tuple[float, list[str]] | None:
+    """What a header says for a role, with the reason; None where it rules the role out."""
+    rule, compact = ROLES[role], "".join(_tokens(meta.original))
     if any(w in compact for w in rule.never):
-        return 0.0, []
+        return None
     named = not (role in ("process_name", "file_name") and "commandline" in compact)
     strong = next((w for w in rule.strong if w in compact), None) if named else None
     weak = next((w for w in rule.weak if w in compact), None)
     if strong:
-        total += rule.strong_weight
-        reasons.append(f"header has '{strong}'")
-    elif role == "ip" and "ip" in _tokens(meta.original):
-        total += 0.42
-        reasons.append("header has the word 'ip'")
-    elif weak:
-        total += rule.weak_weight
-        reasons.append(f"header has '{weak}'")
-    n = counts.get("total", 0)
-    for test, least, weight in rule.shares if n else ():
-        share = counts[test] / n
-        if share >= least:
-            total += share * weight
-            reasons.append(f"{counts[test]} of {n} values look like {test}")
-    if role == "timestamp" and counts.get("timed") and counts["absolute"] / counts["timed"] >= 0.5:
-        total += 0.08
-        reasons.append("most times have an offset or are epochs")
-    return total, reasons
+        return rule.strong_weight, [f"header has '{strong}'"]
+    if role == "ip" and "ip" in _tokens(meta.original):
+        return 0.42, ["header has the word 'ip'"]
+    return (rule.weak_weight, [f"header has '{weak}'"]) if weak else (0.0, [])
+
+
+def _share_points(role: str) -> list[tuple[Column, Column]]:
+    """(points, reason) of a role for each kind of values that a column may have enough of; null where it hasn't."""
+    share = lambda test: F.col(test) / F.col("total")
+    told = lambda test: F.concat(F.col(test).cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(f" values look like {test}"))
+    found = [(F.when(share(test) >= least, share(test) * weight), told(test)) for test, least, weight in ROLES[role].shares]
+    if role == "timestamp":
+        found.append((F.when((F.col("timed") > 0) & (F.col("absolute") / F.col("timed") >= 0.5), F.lit(0.08)), F.lit("most times have an offset or are epochs")))
+    return found
+
+
+def role_scores(df: DataFrame, meta: list[ColumnMeta], sample_rows: int | None = 500, wide: int = 500) -> DataFrame:
+    """role, column, score, total (filled cells judged) and reasons of every pair that reaches its role's threshold.
+
+    A table of more than ``wide`` columns has only those profiled whose header hints at a role. The plan is one grouped
+    aggregate over the cells, joined to the headers' points: eight rows a column. ``role_at`` and ``column_at`` tell
+    the orders of roles and columns, which decide ties.
+    """
+    spark = df.sparkSession
+    said = {(role, m.name): points for m in meta for role in ROLES if (points := header_points(role, m)) is not None}
+    headers = [(role, i, m.name, j, *said[role, m.name]) for i, role in enumerate(ROLES) for j, m in enumerate(meta) if (role, m.name) in said]
+    known = spark.createDataFrame(headers, "role string, role_at int, column string, column_at int, points double, said array<string>")
+    profiled = [m.name for m in meta if len(meta) <= wide or any(said.get((role, m.name), (0,))[0] > 0 for role in ROLES)]
+    if profiled:
+        rows = sample_rows if len(meta) <= wide or not sample_rows else min(sample_rows, 120)
+        known = known.join(value_profile(df, profiled, rows), "column", "left")
+    else:
+        known = known.withColumns({t: F.lit(None).cast("long") for t in _TESTS})
+    score, reasons = F.lit(None).cast("double"), F.lit(None).cast("array<string>")
+    for role in ROLES:
+        total, why = F.col("points"), F.col("said")
+        for points, reason in _share_points(role):
+            total = total + F.coalesce(points, F.lit(0.0))
+            why = F.when(points.isNotNull(), F.concat(why, F.array(reason))).otherwise(why)
+        mine = F.col("role") == role
+        score, reasons = F.when(mine, total).otherwise(score), F.when(mine, why).otherwise(reasons)
+    least = F.create_map(*[F.lit(x) for role, rule in ROLES.items() for x in (role, float(rule.threshold))])
+    scored = known.select("role", "role_at", "column", "column_at", score.alias("score"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), reasons.alias("reasons"))
+    return scored.filter(F.col("score") >= least[F.col("role")])
+
+
+def assigned(scores: DataFrame) -> DataFrame:
+    """role, column, confidence, total, reasons: the strongest remaining pair takes its role and its column.
+
+    The pairs (at most eight a column) are folded in the order of their scores, then of roles, then of columns.
+    """
+    pair = F.struct((-F.col("score")).alias("least"), "role_at", "column_at", "role", "column", "total", "reasons")
+    ranked = scores.agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    kind = ranked.schema["pairs"].dataType
+    taken = F.aggregate("pairs", F.array().cast(kind), lambda kept, x: F.when(F.exists(kept, lambda k: (k["role"] == x["role"]) | (k["column"] == x["column"])), kept).otherwise(F.concat(kept, F.array(x))))
+    return ranked.select(F.explode(taken).alias("p")).select("p.role", "p.column", F.least(F.lit(1.0), F.round(-F.col("p.least"), 6)).alias("confidence"), "p.total", "p.reasons")
 
 
 def detect_roles(df: DataFrame, meta: list[ColumnMeta], existing: dict[str, Role] | None = None, sample_rows: int | None = 500, wide: int = 500) -> dict[str, Role]:
     """The strongest remaining (role, column) pair takes its column; a role has at most one.
 
-    ``existing`` roles (decided ones) are kept. A table of more than ``wide`` columns has only those profiled whose
-    header hints at a role. The scores are arithmetic on eleven numbers a column.
+    ``existing`` roles (decided ones) are kept, and neither they nor their columns are judged (see ``role_scores``).
     """
     roles = dict(existing or {})
     taken = {r.column for r in roles.values()}
     free = [m for m in meta if m.name not in taken]
-    profiled = free if len(meta) <= wide else [m for m in free if any(score(role, m, {})[0] > 0 for role in ROLES)]
-    rows = value_profile(df, [m.name for m in profiled], sample_rows if len(meta) <= wide or not sample_rows else min(sample_rows, 120)).collect() if profiled else []
-    counts = {r["column"]: r.asDict() for r in rows}
-    found = []
-    for m in free:
-        for role, rule in ROLES.items():
-            total, reasons = score(role, m, counts.get(m.name, {}))
-            if role not in roles and total >= rule.threshold:
-                found.append((-total, list(ROLES).index(role), meta.index(m), role, m.name, tuple(reasons)))
-    for total, _, _, role, column, reasons in sorted(found):
-        if role not in roles and column not in taken:
-            roles[role] = Role(column, min(1.0, round(-total, 6)), "suggested", reasons)
-            taken.add(column)
+    if free:
+        scores = role_scores(df, free, sample_rows, wide if len(free) > wide or len(meta) <= wide else len(free) - 1)
+        for r in assigned(scores.filter(~F.col("role").isin(list(roles)))).collect():  # at most a row a role
+            roles[r["role"]] = Role(r["column"], r["confidence"], "suggested", tuple(r["reasons"]))
     return roles

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.text import text, trim
@@ -120,24 +122,52 @@ def dataset_profile(df: DataFrame, meta: list[ColumnMeta], by_role: dict, row_ti
     return out
 
 
-def narrative(found: TriageResult) -> list[tuple[str, str, list[int]]]:
-    """(section, line, cited rows), a headline first: five techniques, three chains, five anomalous rows, activity shares."""
-    lines = []
+#: Sections of the findings, in order.
+SECTIONS = ("headline", "techniques", "chains", "anomalies", "activity")
+
+
+def findings(found: TriageResult, techniques: int = 5, chains_: int = 3, anomalous: int = 5, cited: int = 3) -> DataFrame | None:
+    """section, rank, size, line and cited rows: leading techniques, chains and anomalous rows, activity shares; a headline counts them.
+
+    ``size`` is a technique's matches, a chain's or row's score, a label's rows. Each section is an aggregate or a
+    first few of an order; only their lines are written, and the headline is counted from those. None if there was nothing to tell.
+    """
+    parts = []
+
+    def tell(section: str, rows: DataFrame, order: list, size: str, line, cites) -> None:
+        ranked = rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # a few rows
+        parts.append(ranked.select(F.lit(section).alias("section"), F.col("rank").cast("int").alias("rank"), F.col(size).cast("long").alias("size"), line.alias("line"), cites.cast("array<long>").alias("rows")))
+
     if found.matches is not None:
-        best = matching.technique_counts(found.matches).limit(5).collect()
-        ids = [t["technique_id"] for t in best]
-        first = found.matches.filter(F.col("technique_id").isin(ids)).select("technique_id", "row_num").distinct()
-        from pyspark.sql import Window as W
-
-        cited = first.withColumn("k", F.row_number().over(W.partitionBy("technique_id").orderBy("row_num"))).filter("k <= 3").groupBy("technique_id").agg(F.array_sort(F.collect_list("row_num")).alias("rows"))
-        rows = {r["technique_id"]: r["rows"] for r in cited.collect()}
-        lines += [("techniques", f"{t['technique_id']} {t['technique_name']}: {t['matches']} matches on {t['rows']} rows", rows.get(t["technique_id"], [])) for t in best]
+        best = matching.technique_counts(found.matches).limit(techniques)
+        own = found.matches.join(F.broadcast(best.select("technique_id")), "technique_id").select("technique_id", "row_num").distinct()
+        first = own.withColumn("k", F.row_number().over(W.partitionBy("technique_id").orderBy("row_num"))).filter(F.col("k") <= cited)
+        rows = first.groupBy("technique_id").agg(F.array_sort(F.collect_list("row_num")).alias("first"))
+        line = F.format_string("%s %s: %d matches on %d rows", "technique_id", "technique_name", "matches", "rows")
+        tell("techniques", best.join(rows, "technique_id"), [F.desc("matches"), "technique_id"], "matches", line, F.col("first"))
     if found.chains is not None:
-        lines += [("chains", f"{c['host'] or '(no host)'}: {', '.join(c['tactics'])}, score {c['score']}", c["sample_rows"][:3]) for c in found.chains.orderBy("chain_id").limit(3).collect()]
+        best = found.chains.orderBy("chain_id").limit(chains_)
+        line = F.format_string("%s: %s, score %d", F.coalesce("host", F.lit("(no host)")), F.array_join("tactics", ", "), "score")
+        tell("chains", best, ["chain_id"], "score", line, F.slice("sample_rows", 1, cited))
     if found.anomalies is not None:
-        lines += [("anomalies", f"{r['best_reason']} (score {r['score']})", [r["row_num"]]) for r in anomalies.top_rows(found.anomalies, 5).collect()]
+        line = F.format_string("%s (score %d)", "best_reason", "score")
+        tell("anomalies", anomalies.top_rows(found.anomalies, anomalous), [F.desc("score"), "row_num"], "score", line, F.array("row_num"))
     if found.activity is not None:
-        lines += [("activity", f"{r['label']}: {r['rows']} rows, {r['share']} %", []) for r in rollups.activity_table(found.activity).collect()]
-    kinds = [s for s, _, _ in lines]
-    headline = f"{kinds.count('chains')} attack chains, {kinds.count('techniques')} leading techniques, {kinds.count('anomalies')} leading anomalies"
-    return [("headline", headline, []), *lines]
+        line = F.concat("label", F.lit(": "), F.col("rows").cast("string"), F.lit(" rows, "), F.col("share").cast("string"), F.lit(" %"))
+        tell("activity", rollups.activity_table(found.activity), [F.desc("rows"), "category"], "rows", line, F.array())
+    if not parts:
+        return None
+    lines = cut(reduce(DataFrame.union, parts))
+    of = lambda section: F.count_if(F.col("section") == section)
+    said = F.format_string("%d attack chains, %d leading techniques, %d leading anomalies", of("chains"), of("techniques"), of("anomalies"))
+    headline = lines.agg(F.count(F.lit(1)).alias("size"), said.alias("line")).select(F.lit("headline").alias("section"), F.lit(1).alias("rank"), "size", "line", F.array().cast("array<long>").alias("rows"))
+    return headline.union(lines)
+
+
+def narrative(found: TriageResult) -> list[tuple[str, str, list[int]]]:
+    """(section, line, cited rows) of the findings, a headline first; some twenty lines."""
+    told = findings(found)
+    if told is None:
+        return [("headline", "0 attack chains, 0 leading techniques, 0 leading anomalies", [])]
+    rows = sorted(told.collect(), key=lambda r: (SECTIONS.index(r["section"]), r["rank"]))
+    return [(r["section"], r["line"], list(r["rows"])) for r in rows]

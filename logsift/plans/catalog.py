@@ -6,7 +6,6 @@ derives a log of the usual columns from ``events``; its expressions are plain SQ
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -272,11 +271,32 @@ def value_predicates(spark, d):
     return security(spark, d).select("row_num", values.is_identity_like(c("account")).alias("identity"), values.is_process_name_like(c("process_name")).alias("process"), values.is_command_line_like(c("command_line")).alias("command"), values.parse_ip(c("source_ip")).alias("ip"))
 
 
-@query("roles_detected")
+# points of the headers as they stand in META; every value is judged by plain patterns
+_POINTS = [("user", 1, "account", 0.45), ("command_line", 2, "command_line", 0.55), ("process_name", 3, "process_name", 0.4), ("host", 5, "computer", 0.42), ("ip", 6, "source_ip", 0.48), ("text_evidence", 7, "message", 0.38)]
+_ROLES = _SEC.replace("WITH ", "WITH RECURSIVE ", 1) + f""", cells AS ({" UNION ALL ".join(f"SELECT {i} AS pos, '{m.name}' AS c, trim({m.name}) AS v FROM sec" for i, m in enumerate(META))}),
+f AS (SELECT *, lower(v) AS low, regexp_matches(v, '^[0-9]+([.][0-9]+){{3}}(:[0-9]+)?$') AS ip, strlen(v) >= 12 AND (regexp_matches(lower(v), '(powershell|certutil).*( -|="| /)') OR (regexp_matches(lower(v), 'powershell|certutil') AND strlen(v) >= 30) OR (lower(v) LIKE '%.exe%' AND regexp_matches(v, '[^ ] +[^ ]'))) AS cmd FROM cells WHERE v <> ''),
+p AS (SELECT c, pos, count(*) AS total, avg(CAST(NOT regexp_matches(v, '[\\\\/]|^[A-Za-z]:') AND low NOT LIKE '%.exe' AND NOT ip AND (regexp_matches(v, '^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+[.][A-Za-z0-9-]+$') OR (regexp_matches(v, '^[A-Za-z0-9_$-]{{2,64}}$') AND regexp_matches(v, '[A-Za-z]'))) AS INTEGER)) AS user_share,
+  avg(CAST(cmd AS INTEGER)) AS cmd_share, avg(CAST(strlen(v) >= 40 AS INTEGER)) AS long_share, avg(CAST(NOT cmd AND regexp_matches(low, '^[^ ]+[.]exe$') AS INTEGER)) AS process_share,
+  avg(CAST(NOT cmd AND regexp_matches(v, '[\\\\/]|^[A-Za-z]:.|[.][^.\\\\/]{{2,8}}$') AS INTEGER)) AS file_share, avg(CAST(NOT ip AND regexp_matches(v, '^[A-Za-z0-9._-]+$') AND regexp_matches(v, '[A-Za-z]') AS INTEGER)) AS host_share,
+  avg(CAST(ip AS INTEGER)) AS ip_share, avg(CAST(strlen(v) >= 25 AND regexp_matches(v, '\\s') AS INTEGER)) AS text_share FROM f GROUP BY ALL),
+h(role, role_at, c, points) AS (VALUES {", ".join(str(x) for x in _POINTS)}),
+r(role, role_at, least_points) AS (VALUES ('user', 1, 0.3), ('command_line', 2, 0.3), ('process_name', 3, 0.25), ('file_name', 4, 0.25), ('host', 5, 0.25), ('ip', 6, 0.3), ('text_evidence', 7, 0.25)),
+x AS (SELECT r.role, r.role_at, p.c, p.pos, p.total, least_points, coalesce(points, 0)::DOUBLE + CASE r.role WHEN 'user' THEN CASE WHEN user_share >= 0.35 THEN user_share * 0.42 ELSE 0 END
+  WHEN 'command_line' THEN CASE WHEN cmd_share >= 0.25 THEN cmd_share * 0.36 ELSE 0 END + CASE WHEN long_share >= 0.3 THEN long_share * 0.12 ELSE 0 END WHEN 'process_name' THEN CASE WHEN process_share >= 0.35 THEN process_share * 0.45 ELSE 0 END
+  WHEN 'file_name' THEN CASE WHEN file_share >= 0.35 THEN file_share * 0.42 ELSE 0 END WHEN 'host' THEN CASE WHEN host_share >= 0.35 THEN host_share * 0.38 ELSE 0 END
+  WHEN 'ip' THEN CASE WHEN ip_share >= 0.3 THEN ip_share * 0.45 ELSE 0 END ELSE CASE WHEN text_share >= 0.35 THEN text_share * 0.32 ELSE 0 END END AS score
+  FROM r CROSS JOIN p LEFT JOIN h ON h.role = r.role AND h.c = p.c WHERE NOT (r.role = 'user' AND p.c = 'user_agent')),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, role_at, pos) AS k FROM x WHERE score >= least_points),
+g(k, roles, cols) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL
+  SELECT k.k, CASE WHEN list_contains(roles, role) OR list_contains(cols, c) THEN roles ELSE list_append(roles, role) END, CASE WHEN list_contains(roles, role) OR list_contains(cols, c) THEN cols ELSE list_append(cols, c) END FROM g JOIN k ON k.k = g.k + 1),
+t AS (SELECT unnest(roles) AS role, unnest(cols) AS c FROM g WHERE g.k = (SELECT max(k) FROM g))
+SELECT role, c AS "column", round(least(1, score), 6) AS confidence, total FROM t JOIN k USING (role, c)"""
+
+
+@query("roles_detected", _ROLES)
 def roles_detected(spark, d):
     """Roles of the security log's columns from all of its rows."""
-    found = roles.detect_roles(security(spark, d), META, sample_rows=None)
-    return security(spark, d).agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), F.lit(v.column).alias("column"), F.lit(v.confidence).alias("confidence")) for k, v in sorted(found.items())])).alias("r")).select("rows", "r.*")
+    return roles.assigned(roles.role_scores(security(spark, d), META, sample_rows=None)).select("role", "column", "confidence", "total")
 
 
 @query("value_profile", _SEC + "SELECT 'process_name' AS \"column\", count(*) AS total, count(*) FILTER (process_name LIKE '%.exe') AS process, CAST(0 AS BIGINT) AS ip FROM sec UNION ALL SELECT 'source_ip', count(*), 0, count(*) FROM sec")
@@ -697,12 +717,3 @@ def report_tactic(spark, d):
 @query("dataset_profile", _SEC + ", u AS (SELECT account, count(*) AS n FROM sec GROUP BY 1 ORDER BY n DESC, account LIMIT 3), h AS (SELECT computer, count(*) AS n FROM sec GROUP BY 1 ORDER BY n DESC, computer LIMIT 3) SELECT 'rows' AS item, '' AS value, count(*) AS rows FROM sec UNION ALL SELECT 'top user', account, n FROM u UNION ALL SELECT 'top host', computer, n FROM h")
 def dataset_profile(spark, d):
     return triage.dataset_profile(security(spark, d), META, ROLES).filter("item = 'rows' or item like 'top %'")
-
-
-@query("triage_findings")
-def triage_findings(spark, d):
-    """The whole triage of the security log, told in lines."""
-    log = security(spark, d)
-    found = triage.triage(log, META, decided=ROLES, row_time=security_times(spark, d), cap=None, sample_rows=None)
-    lines = triage.narrative(found)
-    return log.agg(F.count(F.lit(1)).alias("table_rows")).select("table_rows", F.explode(F.from_json(F.lit(json.dumps([{"section": s, "line": x, "rows": r} for s, x, r in lines])), "array<struct<section:string,line:string,rows:array<long>>>")).alias("x")).select("table_rows", "x.*")
