@@ -161,14 +161,20 @@ def documents_left_out(spark, d):
     return docs.left_out(c.docs_log(spark, d).select("row_num", "text"), [ColumnMeta("text", "Text")], {"text": "text"})
 
 
-@query("selection_disclosed", f"""{_TOP}, n AS (SELECT (SELECT count(DISTINCT row_num) FROM r JOIN t USING (doc_key)) AS rows_selected, (SELECT count(DISTINCT row_num) FROM r) AS rows_total, (SELECT count(*) FROM s WHERE score >= {c._LEAST}) AS documents_above, (SELECT count(*) FROM t) AS documents_retained)
-SELECT *, rows_selected > 10000 OR rows_selected > 0.25 * rows_total AS broad, documents_above > documents_retained AS truncated FROM n""")
+@query("selection_disclosed", f"""{_TOP}, n AS (SELECT (SELECT count(DISTINCT row_num) FROM r JOIN t USING (doc_key)) AS rows_selected, (SELECT count(DISTINCT row_num) FROM r) AS rows_total, (SELECT count(*) FROM s WHERE score >= {c._LEAST}) AS documents_above, (SELECT count(*) FROM t) AS documents_retained),
+lo AS ({c.ORACLE["documents_left_out"]}),
+b AS (SELECT *, rows_selected > 10000 OR rows_selected > 0.25 * rows_total AS broad, documents_above > documents_retained AS truncated FROM n),
+told AS (SELECT concat_ws(', ', CASE WHEN cells_truncated > 0 THEN cells_truncated || ' long cells cut' END, CASE WHEN columns_omitted > 0 THEN columns_omitted || ' columns of wide rows left out' END, CASE WHEN chunks_omitted > 0 THEN chunks_omitted || ' chunks left out' END) AS parts FROM lo)
+SELECT b.*, concat_ws('; ', CASE WHEN broad THEN 'the selection is broad' END, CASE WHEN truncated THEN (documents_above - documents_retained) || ' documents above the threshold are not retained' END, CASE WHEN parts <> '' THEN 'the documents are bounded: ' || parts || '; filters and searches read every row' END) AS warnings FROM b, told""")
 def selection_disclosed(spark, d):
-    """Whether a vector selection is broad or cut off."""
+    """Whether a vector selection is broad or cut off, and what the documents of all texts leave out."""
     top = c.vector_top_k(spark, d)
     above = docs.vector_scores(c.vectors(spark, d), c._first_vector(spark, d), c._LEAST)
     table = c.vec_rows(spark, d).select("row_num").distinct()
-    return docs.disclosure(docs.select_rows(top, c.vec_rows(spark, d)), table, above, top).drop("warnings")
+    # this build has no limit of documents or rows
+    covered = documents_left_out(spark, d).withColumns({"documents_skipped": F.lit(0), "mappings_skipped": F.lit(0)})
+    found = docs.disclosure(docs.select_rows(top, c.vec_rows(spark, d)), table, above, top, covered=covered)
+    return found.withColumn("warnings", F.array_join("warnings", "; "))
 
 
 # --- report --------------------------------------------------------------------------------------------------
