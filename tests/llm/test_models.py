@@ -136,3 +136,29 @@ def test_vocabulary_covers_every_byte():
     assert {bytes([b]) for b in range(256)} <= set(pieces)
     lattice = Lattice(pieces, logp)
     assert np.isfinite(lattice.words(np.frombuffer("你é~\x00".encode(), np.uint8), np.array([0, 3, 7]))).all()
+
+
+def test_lm_score_is_not_far_below_the_base_on_held_out_rows(spark):
+    held = [r for r in lm_score.query(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    assert all(math.isfinite(r["score"]) for r in held)
+    assert sum(r["score"] for r in held) >= 1.1 * sum(r["base_score"] for r in held)
+
+
+def test_a_fitted_models_chances_add_up_to_one(spark):
+    model = lm_score.Model(12, 4, 2, 1, 1, fitted=True)
+    counts, unseen = np.array([1, 2, 7, 0]), 0.25  # three seen words and all others, whose pieces' sums are these
+    lattice = np.log([0.25, 0.25, 0.25, unseen])
+    word = model.word(counts, lattice)
+    assert np.exp(word).sum() == pytest.approx(1)
+    # a text's last word, given the words before it
+    for before in ([], [0], [2, 2, 1], [3, 3]):
+        ways = [model.texts(word[[*before, w]], np.array([*before, w]), np.array([0, len(before) + 1]))[-1] - model.on() for w in range(4)]
+        assert sum(10**x for x in ways) == pytest.approx(1)
+
+
+def test_expected_uses_of_pieces():
+    pieces = {b" ": 0.1, b" a": 0.2, b"a": 0.3, b"b": 0.4}
+    lattice = Lattice(list(pieces), np.log(list(pieces.values())))
+    # " ab" is " "+"a"+"b" (0.012) or " a"+"b" (0.08)
+    got = lattice.uses(np.frombuffer(b"abb", np.uint8), np.array([0, 2, 3]), np.array([True, False]))
+    assert got == pytest.approx([0.012 / 0.092, 0.08 / 0.092, 0.012 / 0.092, 1])
