@@ -16,11 +16,17 @@ def _most(spec: QuerySpec) -> int:
     return min(max(spec.limit, 1), 5000) + 1
 
 
+#: So many ranges are dealt out at most: the driver samples each of them for its bounds.
+RANGES = 256
+
+
 def _write(rows: DataFrame, by: list[Column], last: Column, folder: str, rows_per_file: int) -> None:
-    """Rows by range of their order, one file a range, and an index of the last row of each file."""
+    """Rows by range of their order, a range in files of ``rows_per_file``, and an index of the last row of each file."""
     files = max(1, -(-rows.count() // rows_per_file))
-    rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.parquet(f"{folder}/rows")
-    # written files are numbered in the order of the ranges
+    # a range's files are numbered in three digits, after which their names are no longer in order
+    ranges = min(files, max(RANGES, -(-files // 300)))
+    rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{folder}/rows")
+    # written files are numbered in the order of the ranges, then within them
     named = rows.sparkSession.read.parquet(f"{folder}/rows").withColumn("_path", F.col("_metadata.file_path"))
     index = named.groupBy("_path").agg(last.alias("_last"), F.count(F.lit(1)).alias("_n"))
     index.select("_last.*", "_path", "_n").coalesce(1).write.parquet(f"{folder}/index")

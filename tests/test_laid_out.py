@@ -74,3 +74,13 @@ def test_many_questions_are_each_answered_as_alone(spark, small):
     assert 101 not in got and 102 not in got and got[103] == [(-1.0, "short")] and sorted(got[100])[:2] == [(-1.0, "copy1"), (-1.0, "copy2")]
     with pytest.raises(ValueError):
         documents.vectors_top_k(table, spark.range(2000).select(F.col("id").alias("question"), F.array(F.lit(1.0)).alias("embedding")))
+
+
+def test_many_files_come_from_a_bounded_number_of_ranges(spark, tmp_path):
+    log = spark.range(700).selectExpr("id * 7 % 701 + 1 AS row_num", "cast(id % 5 as string) AS kind")
+    spec, folder = QuerySpec(sort=Sort("kind"), limit=1000), str(tmp_path / "view")
+    laid_out.lay_out(log, spec, folder, rows_per_file=2)
+    paths = [r["_path"] for r in spark.read.parquet(f"{folder}/index").collect()]
+    assert len(paths) >= 350 and len({p.split("/part-")[1][:5] for p in paths}) <= laid_out.RANGES
+    assert spark.read.parquet(f"{folder}/index").selectExpr("max(_n)").first()[0] == 2
+    assert laid_out.page_of(spark, folder, spec).collect() == paging.page_frame(log, spec).collect()
