@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from logsift.operators.documents import Limits, build_documents, mapped_documents
 from logsift.spec import ColumnMeta
-from logsift.storage import cut
+from logsift.storage import cut, spread
 
 _COMMIT = "batch long, first_row long, last_row long, documents long, mappings long"
 _DOCUMENTS = "doc_key string, kind string, column_key string, text string"
@@ -52,7 +52,7 @@ def commit_batch(rows: DataFrame, batch: int, folder: str, meta: list[ColumnMeta
             return None
         return max(0, (limit if total_rows is None else limit * min(last or 0, total_rows) // total_rows) - used)
 
-    mapped = cut(mapped_documents(rows, meta, modes, limits))
+    mapped = cut(mapped_documents(spread(rows), meta, modes, limits))
     new = mapped.join(known.select("doc_key"), "doc_key", "left_anti")
     old = mapped.join(known.select("doc_key"), "doc_key", "left_semi")
     documents, _ = build_documents(rows, meta, modes=modes, limits=replace(limits, documents=allowed(limits.documents, sum(c["documents"] for c in before)), mappings=None), mapped=new)
