@@ -17,7 +17,7 @@ from logsift.functions.values import parse_ip
 from logsift.operators.rules import suppress
 from logsift.operators.selection import even_share
 from logsift.spec import ColumnMeta
-from logsift.storage import cut
+from logsift.storage import cut, spread
 
 # Headers of columns that are only compared whole, and of columns that hold prose.
 EXACT = ("timestamp", "time generated", "date", "source ip", "src ip", "destination ip", "dst ip", "address", "hash", "guid", "uuid", "sid", "account", "user name", "username", "computer", "device name", "host name", "hostname", "report id", "session id", "port", "id")
@@ -134,7 +134,7 @@ def build_documents(df: DataFrame, meta: list[ColumnMeta], ignored: DataFrame |
     documents by the first row that has them, then their mappings by row. What is left out shows in ``coverage``.
     The documents of the rows are made and written once; ``mapped`` is a written table of ``mapped_documents`` to use.
     """
-    rows = suppress(df, ignored)
+    rows = suppress(spread(df), ignored) if mapped is None else df
     if mapped is None:
         mapped = cut(mapped_documents(rows, meta, modes or column_modes(df, meta, limits.sample_rows), limits))
     first = [F.min("kind").alias("kind"), F.min("column_key").alias("column_key"), F.min("text").alias("text"), F.min("row_num").alias("_row")]
@@ -179,7 +179,7 @@ def coverage(df: DataFrame, meta: list[ColumnMeta], doc_rows: DataFrame, modes:
 
     ``mapped``: as in ``build_documents``.
     """
-    rows = suppress(df, ignored)
+    rows = suppress(spread(df), ignored)
     every = (mapped if mapped is not None else mapped_documents(rows, meta, modes, limits)).select("doc_key", "row_num").distinct()
     seen = every.agg(F.count_distinct("doc_key").alias("documents_seen"), F.count(F.lit(1)).alias("mappings_seen"))
     kept = doc_rows.agg(F.count_distinct("doc_key").alias("documents_mapped"), F.count(F.lit(1)).alias("mappings_written"), F.count_distinct("row_num").alias("rows_covered"))
