@@ -17,6 +17,8 @@ BANDS, ROWS = 14, 6
 RADIUS = 2
 #: Up to so many sets, of so many bytes together, are compared with one another in one place.
 MOST, MOST_BYTES = 2048, 8 << 20
+#: Common elements are told by so many sets, and so many of them are known to the tasks; both only decide how fast it goes.
+SAMPLE, HOT = 4096, 1 << 17
 _CHUNK = 4096
 
 
@@ -112,6 +114,45 @@ def _sent(shingle: int):
     return scan
 
 
+def _elements(shingle: int):
+    """The 32-bit hashes of all rows' sets, as they are compared."""
+
+    def scan(batches):
+        for flush in flushes(batches, most=1 << 20):
+            starts, ends, first = word_spans(flush)
+            h, at = sets(flush, ranges(LOWER[flush.bytes], starts, ends), first, shingle)
+            for a, b in zip(at[:-1], at[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique((h[a:b] >> np.uint64(32)).astype(np.int64)))], names=["element"])
+
+    return scan
+
+
+def _prefixes(shingle: int, least: float, hot: np.ndarray, often: np.ndarray):
+    """Each set's rarest elements, so many that two sets of similarity ``least`` share one of them: an entry each.
+
+    Of n elements they are all but those that the similarity asks for, and one more. Any order of the elements will
+    do, if it is the same for all sets; with the rare ones first, few sets meet.
+    """
+
+    def scan(batches):
+        for flush in flushes(batches, most=1 << 20):
+            starts, ends, first = word_spans(flush)
+            h, at = sets(flush, ranges(LOWER[flush.bytes], starts, ends), first, shingle)
+            chosen = []
+            for a, b in zip(at[:-1], at[1:]):
+                x = np.unique((h[a:b] >> np.uint64(32)).astype(np.int64))
+                k = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
+                weight = np.where(hot[k] == x, often[k], 0) if len(hot) else np.zeros(len(x), np.int64)
+                chosen.append(x[np.lexsort((x, weight))[: len(x) - int(np.ceil(least * len(x) - 0.01)) + 1]])
+            row = np.repeat(np.arange(flush.n), [len(x) for x in chosen])
+            element = np.concatenate(chosen).astype(np.uint64)
+            key = mix(flush.longs("cluster").view(np.uint64)[row] ^ mix(element + MULT))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(flush.longs("sig")[row]), pa.array(flush.longs("part_of")[row])], names=["key", "sig", "part_of"])
+        give_back()
+
+    return scan
+
+
 def linked(held: list[np.ndarray], least: float) -> np.ndarray:
     """Number of the first set that each one reaches by links of Jaccard similarity ``least`` or more.
 
@@ -173,6 +214,50 @@ def _freed(df: DataFrame) -> DataFrame:
     return df
 
 
+def _links(source: DataFrame, places: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between the sets that share a place. ``places``: doc_id, text_hash, sig and the set's places."""
+    found = source.join(few(places), ["doc_id", "text_hash"]).select("text", "sig", "places")
+    sent = _freed(found).mapInArrow(_sent(shingle), "bucket int, place long, sig long, held binary")
+    return cut(sent.groupBy("bucket").applyInArrow(_compare(least), "a long, b long"))
+
+
+def _remaining(source: DataFrame, large: DataFrame, groups: DataFrame, n: int, shingle: int, least: float, most: int, most_bytes: int) -> DataFrame | None:
+    """Places where the sets of a large cluster meet that its keys left in different groups, or None if there are none.
+
+    No pair that can be a link is left out: sets of similarity ``least`` share one of their rarest elements (``_prefixes``).
+    What shares one, in different groups, is joined to smaller clusters. Where such a one is still over the bounds, it is
+    dealt out in parts, and so is what isn't of its largest group; each of these meets each of those in a place of its own.
+    """
+    rest = large.join(groups, F.col("sig") == F.col("node"), "left").select("first.doc_id", "first.text_hash", "sig", "size", "cluster", F.coalesce("component", "sig").alias("part_of"))
+    several = rest.groupBy("cluster").agg(F.min("part_of").alias("low"), F.max("part_of").alias("high")).filter("low <> high").select("cluster")
+    rest = cut(rest.join(several, "cluster"))
+    total = rest.count()
+    if not total:
+        return None
+    id_ = ["doc_id", "text_hash"]
+    sample = rest.filter(F.pmod(F.xxhash64("sig"), F.lit(max(1, total // SAMPLE))) == 0).select(*id_)
+    counts = source.join(few(cut(sample)), id_).select("text").mapInArrow(_elements(shingle), "element long").groupBy("element").count()
+    hot = counts.filter("count > 2").orderBy(F.desc("count"), "element").limit(HOT).toArrow().sort_by("element")
+    scan = _prefixes(shingle, least, hot["element"].to_numpy(), hot["count"].to_numpy())
+    entries = cut(source.join(few(rest), id_).select("text", "sig", "cluster", "part_of").mapInArrow(scan, "key long, sig long, part_of long"))
+    keys = entries.groupBy("key").agg(F.min("sig").alias("leader"), F.min("part_of").alias("low"), F.max("part_of").alias("high")).filter("low <> high")
+    nearer = components(entries.select("key", "sig").join(keys.select("key", "leader"), "key").select("sig", "leader"), "sig", "leader")
+    inside = cut(rest.join(nearer, F.col("sig") == F.col("node")).select(*id_, "sig", "size", "part_of", F.col("component").alias("nearer")))
+    shares = inside.groupBy("nearer", "part_of").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    shares = shares.groupBy("nearer").agg(F.max(F.struct("n", "bytes", "part_of")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    once = (F.col("n") <= most) & (F.col("bytes") <= most_bytes)
+    parts = lambda count, size: F.when(once, 1).otherwise(F.greatest(F.ceil(2 * count / most), F.ceil(2 * size / most_bytes))).cast("int")
+    shares = shares.select("nearer", once.alias("once"), F.col("main.part_of").alias("main"), parts(F.col("n"), F.col("bytes")).alias("all"), parts(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others"))
+    inside = inside.join(shares, "nearer")
+    mine = lambda of: F.pmod(F.xxhash64("sig"), F.col(of)).cast("int")
+    row = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: F.xxhash64("nearer", mine("others"), j))
+    column = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.xxhash64("nearer", i, mine("all")))
+    met = F.array_distinct(F.when(F.col("part_of") == F.col("main"), column).otherwise(F.concat(row, column)))
+    # places of parts are groups of their own, so that no task holds several
+    bucket = lambda x: F.when(F.col("once"), F.pmod(F.xxhash64(x), F.lit(n))).otherwise(n + F.pmod(F.xxhash64(x), F.lit(1 << 30))).cast("int")
+    return cut(inside.select(*id_, "sig", F.transform(met, lambda x: F.struct(bucket(x).alias("bucket"), x.alias("place"))).alias("places")))
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, text_hash, copies, component_id, kept): groups of documents by links of similarity ``least`` or more.
 
@@ -182,8 +267,10 @@ def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, most: int
     clusters of candidates by the least node of each key: an entry a key and no pairs. Then every candidate's set is sent
     once to its cluster's task, where all are compared exactly. In clusters over ``most`` sets or ``most_bytes`` it is
     sent once for each of its keys instead, and sets that share a key are compared, keys of more than ``most`` sets or their
-    bytes in parts that each have the key's least node. A pair is a link only if its sets have a Jaccard similarity of
-    ``least`` or more; components of the links are the groups.
+    bytes in parts that each have the key's least node; then those of their sets that are in different groups are compared
+    as far as they can be alike (``_remaining``). So all pairs of a cluster are settled, whatever its size: the bounds
+    decide where sets are compared, not which. A pair is a link only if its sets have a Jaccard similarity of ``least`` or
+    more; components of the links are the groups.
 
     Sets are sent as 32-bit hashes: of n shingles one is taken for another with a chance of about n²/2³³ a pair, which
     moves the similarity by 1/n.
@@ -214,10 +301,12 @@ def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, most: int
     spread = shared.join(members.filter("large").select("sig"), "sig").withColumn("part", F.explode(part)).withColumn("place", F.xxhash64("key", "part"))
     spread = spread.select("sig", F.struct(bucket("place"), "place").alias("at")).groupBy("sig").agg(F.collect_list("at").alias("places"))
     places = cut(members.join(own.unionByName(spread), "sig").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "sig", "places"))
-    found = source.join(few(places), ["doc_id", "text_hash"]).select("text", "sig", "places")
-    sent = _freed(found).mapInArrow(_sent(shingle), "bucket int, place long, sig long, held binary")
-    links = cut(sent.groupBy("bucket").applyInArrow(_compare(least), "a long, b long"))
+    links = _links(source, places, shingle, least)
     groups = components(_freed(links), "a", "b")
+    large = members.filter("large")
+    more = None if large.isEmpty() else _remaining(source, large, groups, n, shingle, least, most, most_bytes)
+    if more is not None:
+        groups = components(links.union(_links(source, more, shingle, least)), "a", "b")
     named = nodes.select("sig", "first").join(groups, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("component"), "first")
     winner = named.groupBy("component").agg(F.min("first").alias("least"))
     told = named.join(winner, "component").select("sig", "least")

@@ -134,6 +134,32 @@ def test_large_clusters_meet_by_their_keys(spark):
         assert sum(got[d] == expected[d] for d in docs) >= 0.95 * len(docs)
 
 
+def _families(near):
+    """Pairs just over 0.8 in which most keys are those that the base gives to all others, just below; near ones are one group."""
+    rng = np.random.default_rng(10)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 1000)]
+    other = _replaced(base, rng, 60)
+
+    def changed(w, n):
+        at = set((2 + 5 * rng.choice(len(w) // 5, n, replace=False)).tolist())  # each takes five shingles of its own
+        return [f"y{rng.integers(0, 50_000)}" if i in at else x for i, x in enumerate(w)]
+
+    docs = {k: " ".join(changed(other, 2)) for k in range(near)}
+    for k in range(60):
+        family = [f"f{k}x{i}" if i % 160 == 82 else x for i, x in enumerate(base)]
+        docs |= {1000 + 2 * k + j: " ".join(changed(family, 11)) for j in range(2)}
+    return docs
+
+
+@pytest.mark.parametrize("near, bounds", [(0, {"most": 16}), (40, {"most_bytes": 64_000})])
+def test_links_between_the_parts_of_a_large_cluster(spark, near, bounds):
+    docs = _families(near)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got, whole = ({r["doc_id"]: r["component_id"] for r in near_groups(frame, **b).collect()} for b in (bounds, {}))
+    assert len(set(plain(docs).values())) > 50
+    assert got == whole == plain(docs)
+
+
 def test_links_of_sets_are_exact():
     rng = np.random.default_rng(9)
     held = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint32)) for _ in range(60)]
