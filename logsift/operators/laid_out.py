@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logsift.operators.filters import where
 from logsift.operators.paging import after, after_time, order, time_order
 from logsift.spec import QuerySpec
+from logsift.storage import cut
 
 
 def _most(spec: QuerySpec) -> int:
@@ -25,7 +26,9 @@ def _write(rows: DataFrame, by: list[Column], last: Column, folder: str, rows_pe
     files = max(1, -(-rows.count() // rows_per_file))
     # a range's files are numbered in three digits, after which their names are no longer in order
     ranges = min(files, max(RANGES, -(-files // 300)))
-    rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{folder}/rows")
+    # tasks move their own files to the folder: by the other way the driver moves all, one by one, and a view is only read by its index
+    written = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    written.option("maxRecordsPerFile", rows_per_file).parquet(f"{folder}/rows")
     # written files are numbered in the order of the ranges, then within them
     named = rows.sparkSession.read.parquet(f"{folder}/rows").withColumn("_path", F.col("_metadata.file_path"))
     index = named.groupBy("_path").agg(last.alias("_last"), F.count(F.lit(1)).alias("_n"))
@@ -40,8 +43,11 @@ def lay_out(df: DataFrame, spec: QuerySpec, folder: str, rows_per_file: int = 1_
 
 
 def lay_out_by_time(df: DataFrame, row_time: DataFrame, spec: QuerySpec, folder: str, descending: bool = False, rows_per_file: int = 1_000_000) -> None:
-    """The same in order of time; rows without a time come last."""
-    found = where(df, replace(spec, cursor=None)).join(row_time.select("row_num", "epoch_ms"), "row_num", "left")
+    """The same in order of time; rows without a time come last.
+
+    Rows and times are joined once and written to the checkpoint folder: they are counted, sampled and sorted.
+    """
+    found = cut(where(df, replace(spec, cursor=None)).join(row_time.select("row_num", "epoch_ms"), "row_num", "left"))
     turn = (lambda c: -F.col(c)) if descending else F.col
     at = F.max_by(F.struct("epoch_ms", "row_num"), F.struct(F.col("epoch_ms").isNull(), turn("epoch_ms"), turn("row_num")))
     _write(found, time_order(descending), at, folder, rows_per_file)
@@ -65,8 +71,9 @@ def page_files(spark: SparkSession, folder: str, beyond: Column | None, most: in
 
 
 def _read(spark: SparkSession, folder: str, beyond: Column | None, by: list[Column], most: int) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/rows").schema
     files = page_files(spark, folder, beyond, most)
+    # one file tells the schema, without a list of all
+    schema = spark.read.parquet(files[0] if files else f"{folder}/rows").schema
     found = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
     return (found if beyond is None else found.filter(beyond)).orderBy(*by).limit(most)
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from logsift.operators import anomalies as an
 from logsift.operators import chains as ch
 from logsift.operators import documents as docs
-from logsift.operators import laid_out, resumable, rollups
+from logsift.operators import laid_out, resumable, rollups, timestamps
 from logsift.operators.rules import ignored_rows, load_rules
-from logsift.operators.selection import first_rows
+from logsift.operators.selection import first_rows, median
 from logsift.plans import catalog as c
 from logsift.plans import details  # noqa: F401  gives the scan's SQL
 from logsift.spec import Cursor, QuerySpec, Sort
-from logsift.storage import checkpoint_folder
+from logsift.storage import checkpoint_folder, cut, spread
 
 query = c.query
 
@@ -119,10 +119,12 @@ SELECT row_num, epoch_ms FROM t, m WHERE epoch_ms IS NULL OR epoch_ms < mid ORDE
 def page_laid_out_by_time(spark, d):
     """A page from the middle of a log that was written newest first."""
     folder, log = _folder(spark), c.events_log(spark, d)
-    times = c.security_times(spark, d).join(log.filter("event_type <> 'view'").select("row_num"), "row_num", "left_semi")
+    source = spread(log.filter("event_type <> 'view'").select("row_num", F.concat("ts", F.lit("Z")).alias("ts")))
+    times = cut(timestamps.normalize_timestamps(source, "ts").select("row_num", "epoch_ms"))
     laid_out.lay_out_by_time(log, times, QuerySpec(), folder, descending=True, rows_per_file=500)
-    at = int(times.agg(F.median("epoch_ms")).first()[0] + 0.5)
-    return laid_out.page_of_times(spark, folder, QuerySpec(cursor=Cursor(0, str(at))), descending=True).select("row_num", "epoch_ms")
+    at = median(times, F.col("epoch_ms"))
+    cursor = None if at is None else Cursor(0, str(round(at)))
+    return laid_out.page_of_times(spark, folder, QuerySpec(cursor=cursor), descending=True).select("row_num", "epoch_ms")
 
 
 @query("vectors_many", f"""WITH q AS (SELECT vec_id AS question, embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 100),

@@ -1,11 +1,14 @@
 """Pages of written views, and many questions in one scan."""
 
+import datetime
+import statistics
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.operators import documents, laid_out, paging
+from __spark_entry__ import queries
+from logsift.operators import documents, laid_out, paging, selection
 from logsift.spec import Cursor, Filter, QuerySpec, Sort
 
 
@@ -84,3 +87,40 @@ def test_many_files_come_from_a_bounded_number_of_ranges(spark, tmp_path):
     assert len(paths) >= 350 and len({p.split("/part-")[1][:5] for p in paths}) <= laid_out.RANGES
     assert spark.read.parquet(f"{folder}/index").selectExpr("max(_n)").first()[0] == 2
     assert laid_out.page_of(spark, folder, spec).collect() == paging.page_frame(log, spec).collect()
+
+
+def test_rows_and_times_of_a_view_are_joined_once(spark, log, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def parsed(x):
+        read.add(1)
+        return x * 7919 % 500
+
+    times = log.select("row_num", parsed.asNondeterministic()("row_num").alias("epoch_ms")).filter("epoch_ms >= 0")
+    laid_out.lay_out_by_time(log, times, QuerySpec(), str(tmp_path / "view"), rows_per_file=90)
+    assert read.value == 2000
+
+
+def test_a_page_lists_no_folder_of_rows(spark, log, tmp_path, monkeypatch):
+    spec, folder = QuerySpec(sort=Sort("v"), limit=30), str(tmp_path / "view")
+    laid_out.lay_out(log, spec, folder, rows_per_file=100)
+    seen, kind = [], type(spark.read)
+    monkeypatch.setattr(kind, "parquet", lambda self, *paths, f=kind.parquet, **o: seen.extend(paths) or f(self, *paths, **o))
+    assert laid_out.page_of(spark, folder, spec).count() == 31
+    assert f"{folder}/rows" not in seen
+
+
+@pytest.mark.parametrize("values", [[], [None], [5], [2, 3], [3, 4], [7, 7, 7, 9], [-(2**62), 2**62, 5], [4, 1, None, 9, 9, 2]])
+def test_the_median_is_found_by_counted_ranges(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "t long")
+    known = [v for v in values if v is not None]
+    assert selection.median(rows, F.col("t")) == (statistics.median(known) if known else None)
+
+
+@pytest.mark.parametrize("kinds, expected", [(["view", "view"], [2, 1]), (["click", "click"], []), (["click", "click", "view"], [3])])
+def test_a_page_before_the_middle_of_few_times(spark, tmp_path, kinds, expected):
+    # two times of 2 and 3 ms: the middle of 2.5 ms is 2 as a whole number, and no time is before it
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, 0, 0, 2000 + 1000 * i), 1, kind, 1.0, "{}") for i, kind in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r["row_num"] for r in queries()["page_laid_out_by_time"](spark, str(tmp_path)).collect()] == expected
