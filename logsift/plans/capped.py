@@ -27,7 +27,7 @@ _LATE = "category NOT IN ('rare_process', 'rare_user_host', 'off_hours')"
 def anomalies_capped(spark, d):
     """All detectors over the security log under a cap of 150 findings."""
     log = c.security(spark, d)
-    found = an.scan_anomalies(log, c.META, c.ROLES, c.security_times(spark, d), ignored_rows(log, load_rules(), c.META, c.ROLES), cap=150, profile_caps=(None, None, None))
+    found = an.scan_anomalies(log, c.META, c.ROLES, c.security_times(spark, d), ignored_rows(log, load_rules(), c.META, c.ROLES), cap=150, profile_caps=(None, None, None), beginning=c.BEGINNING)
     return found.select("row_num", "category", "score")
 
 

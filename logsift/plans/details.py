@@ -118,7 +118,7 @@ UNION ALL SELECT row_num, 'off_hours', 20 FROM n WHERE off AND (SELECT count(*)
 def anomaly_scan(spark, d):
     """All detectors over the security log, ignored rows left out, no cap."""
     log = c.security(spark, d)
-    found = an.scan_anomalies(log, c.META, c.ROLES, c.security_times(spark, d), ignored_rows(log, load_rules(), c.META, c.ROLES), cap=None)
+    found = an.scan_anomalies(log, c.META, c.ROLES, c.security_times(spark, d), ignored_rows(log, load_rules(), c.META, c.ROLES), cap=None, beginning=c.BEGINNING)
     return found.select("row_num", "category", "score")
 
 
