@@ -162,3 +162,31 @@ def test_expected_uses_of_pieces():
     # " ab" is " "+"a"+"b" (0.012) or " a"+"b" (0.08)
     got = lattice.uses(np.frombuffer(b"abb", np.uint8), np.array([0, 2, 3]), np.array([True, False]))
     assert got == pytest.approx([0.012 / 0.092, 0.08 / 0.092, 0.012 / 0.092, 1])
+
+
+def test_pieces_are_fitted_to_very_long_words_too(spark):
+    # one over LONG by far, one at it and one a byte over it; the last is of a row that isn't trained on
+    texts = [("ab" * 400, 1), ("abcaab" * 50, 1), ("b" * Lattice.LONG, 1), ("b" * (Lattice.LONG + 1), 1), ("c" * 700, 0)]
+    pieces = {b" ": 0.1, b" a": 0.2, b"a": 0.15, b"b": 0.15, b"ab": 0.1, b"ba": 0.1, b"aba": 0.1, b"c": 0.1}
+    logp = np.log(list(pieces.values()))
+    types = lm_score.word_types(spark.createDataFrame(texts, "text string, train int"), 3).cache()
+    expected = logp
+    for _ in range(lm_score.ROUNDS):
+        lattice, weight = Lattice(list(pieces), expected), lm_score.PRIOR * np.exp(logp)
+        for text, train in texts:
+            if train:
+                weight += lattice.expected(np.frombuffer(b" " + text.encode(), np.uint8).reshape(1, -1))
+        expected = np.log(weight / weight.sum())
+    assert lm_score.fit(types, list(pieces), logp) == pytest.approx(expected)
+
+
+def test_uses_of_a_very_long_word_are_those_of_all_its_segmentations():
+    pieces, logp = vocabulary(model_path())
+    lattice = Lattice(pieces, logp)
+    word = ("underwriting" * 40 + "çé漢" * 30 + "=" * 60).encode()
+    data, at = np.frombuffer(word, np.uint8), np.array([0, len(word)])
+    got = lattice.uses(data, at, np.array([True]))
+    assert got == pytest.approx(lattice.expected(np.frombuffer(b" " + word, np.uint8).reshape(1, -1)))
+    # the pieces of any segmentation make up the word
+    assert got @ np.array([len(p) for p in pieces]) == pytest.approx(len(word) + 1)
+    assert not lattice.uses(data, at, np.array([False])).any()
